@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioworks.llm import substring_dedup
+from folioworks.llm import near_dedup, substring_dedup
 
 _QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op3_near_dedup": near_dedup.query,
 }
 _ORACLES: dict[str, str] = {}
 

@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,25 @@ from pyspark.sql import functions as F
 NULL_KEY = -(2**63)
 
 
+#: While a table is staged: Spark drops the shuffle files of the written query once it is done.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if _ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([_ROOT, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns k (long), h (hash of the text) and text; no nulls."""
+    importable(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
 
@@ -48,7 +62,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, and any executor can read it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
