@@ -8,8 +8,9 @@ surroundings only near its ends: every symbol carries the range of words that fi
 a symbol whose range lies inside a window of n words appears in every copy of the window.
 
 Each window is held by one such symbol, of the highest round, then the smallest name.
-Symbols that two documents share reveal the windows that can repeat; those alone are then
-verified by a 128-bit name of all n words, and the smallest doc_id of each is looked up.
+Symbols that two documents share reveal the spans of windows that can repeat; those alone are
+verified, first whole spans by a name of all their words, then, where spans of one symbol
+differ, their windows; with the symbol's name a span or window is told by 128 bits.
 
 Results: a null or empty text has no words; a document with fewer than n words loses none;
 equal rows (also of one doc_id) get equal results, and a window of the same doc_id doesn't
@@ -115,8 +116,8 @@ def _holders(n: int, rounds: int):
     return run
 
 
-def _windows(n: int, rounds: int):
-    """The windows whose holder is shared, by 128-bit names."""
+def _spans(n: int, rounds: int):
+    """Runs of windows with one shared holder: a name of all their words, and of each window."""
 
     def run(batches):
         for batch in batches:
@@ -127,13 +128,25 @@ def _windows(n: int, rounds: int):
                 edge = np.searchsorted(at, w.first)
                 keep = np.zeros(len(at), bool)
                 for r in range(b.rows.stop - b.rows.start):
-                    mine = shared[b.rows.start + r].values
-                    if mine is not None and len(mine):
-                        keep[edge[r] : edge[r + 1]] = np.isin(name[edge[r] : edge[r + 1]].view(np.int64), mine.to_numpy())
-                at, row = at[keep], row[keep]
-                if len(at):
-                    one, two = (np.add.reduce([h[at + j] * tk.mix(np.full(1, j * 2 + seed, np.uint64)) for j in range(n)]) for seed in (101, 5003))
-                    yield pa.RecordBatch.from_arrays([tk.longs(tk.mix(one)), tk.longs(tk.mix(two)), pa.array(key[b.rows][row]), pa.array(hash_[b.rows][row]), pa.array((at - w.first[row]).astype(np.int32))], ["one", "two", "k", "h", "at"])
+                    keep[edge[r] : edge[r + 1]] = np.isin(name[edge[r] : edge[r + 1]].view(np.int64), shared[b.rows.start + r].values.to_numpy())
+                at, row, name = at[keep], row[keep], name[keep]
+                if not len(at):
+                    continue
+                window = np.zeros(len(at), np.uint64)
+                for j in range(n):
+                    window = window * tk.u64(0xD1342543DE82EF95) + h[at + j]
+                window = tk.mix(window)
+                new = np.ones(len(at), bool)
+                new[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+                begin = np.flatnonzero(new)
+                size = np.diff(np.append(begin, len(at)))
+                place = (np.arange(len(at)) - np.repeat(begin, size)).astype(np.uint64)
+                span = tk.mix(np.add.reduceat(tk.mix(window + place * tk.u64(0x9E3779B97F4A7C15)), begin) + size.astype(np.uint64))
+                at, row, name = at[begin], row[begin], name[begin]
+                yield pa.RecordBatch.from_arrays(
+                    [tk.longs(name), tk.longs(span), pa.array(key[b.rows][row]), pa.array(hash_[b.rows][row]), pa.array((at - w.first[row]).astype(np.int32)), pa.array(size.astype(np.int32)), tk.lists(window, size)],
+                    ["name", "span", "k", "h", "at", "size", "windows"],
+                )
 
     return run
 
@@ -142,7 +155,7 @@ def _cut(n: int):
     def run(batches):
         for batch in batches:
             out = {c: [] for c in ("k", "n_words", "n_removed", "kept_sha256", "kept_text")}
-            key, drop = batch.column("k").to_numpy(), batch.column("at")
+            key, drop = batch.column("k").to_numpy(), batch.column("drop")
             for b in tk.blocks(batch.column("text")):
                 w = tk.words(b.data, b.off)
                 data = b.data.tobytes()
@@ -151,9 +164,9 @@ def _cut(n: int):
                     gone = np.zeros(len(start) + 1, np.int64)
                     mine = drop[b.rows.start + r].values
                     if mine is not None and len(mine):
-                        at = np.unique(mine.to_numpy())
+                        at, size = (mine.field(f).to_numpy() for f in ("at", "size"))
                         np.add.at(gone, at, 1)
-                        np.add.at(gone, at + n, -1)
+                        np.add.at(gone, at + size - 1 + n, -1)
                     keep = np.cumsum(gone[:-1]) == 0
                     kept = b" ".join([data[i:j] for i, j in zip(start[keep].tolist(), end[keep].tolist())])
                     for c, v in zip(out, (key[b.rows.start + r], len(start), len(start) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode())):
@@ -169,11 +182,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     symbols = base.select("k", "text").mapInArrow(_holders(window, rounds), "name long, k long")
     shared = symbols.groupBy("name").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("name")
     names = symbols.join(shared, "name").groupBy("k").agg(F.collect_set("name").alias("names"))
-    found = base.join(names, "k").mapInArrow(_windows(window, rounds), "one long, two long, k long, h long, at int")
-    found = common.staged(found, "substring-windows")
-    earliest = found.groupBy("one", "two").agg(F.min("k").alias("earliest"))
-    drop = found.join(earliest, ["one", "two"]).where("earliest < k").groupBy("k", "h").agg(F.collect_list("at").alias("at"))
-    return base.join(drop, ["k", "h"], "left").select("k", "text", "at").mapInArrow(_cut(window), "k long, n_words long, n_removed long, kept_sha256 string, kept_text string").select(common.doc_id(), "n_words", "n_removed", "kept_sha256", "kept_text")
+    spans = base.join(names, "k").mapInArrow(_spans(window, rounds), "name long, span long, k long, h long, at int, size int, windows array<long>")
+    spans = common.staged(spans, "spans")
+    # a span that an earlier document has whole
+    earliest = spans.groupBy("name", "span").agg(F.min("k").alias("earliest"))
+    seen = spans.select("name", "span", "k", "h", "at", "size").join(earliest, ["name", "span"])
+    whole = seen.where("earliest < k").select("k", "h", "at", "size")
+    # the first of each span can still have single windows in other, earlier spans of its holder
+    several = earliest.groupBy("name").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a < b").select("name")
+    first = spans.join(earliest, ["name", "span"]).where("earliest = k").join(several, "name")
+    single = first.select("name", "k", "h", F.posexplode("windows").alias("step", "window"), "at").select("name", "window", "k", "h", (F.col("at") + F.col("step")).alias("at"))
+    single = common.staged(single, "windows")
+    before = single.groupBy("name", "window").agg(F.min("k").alias("earliest"))
+    parts = single.join(before, ["name", "window"]).where("earliest < k").select("k", "h", "at", F.lit(1).alias("size"))
+    drop = whole.union(parts).groupBy("k", "h").agg(F.collect_list(F.struct("at", "size")).alias("drop"))
+    return base.join(drop, ["k", "h"], "left").select("k", "text", "drop").mapInArrow(_cut(window), "k long, n_words long, n_removed long, kept_sha256 string, kept_text string").select(common.doc_id(), "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
