@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from folioworks.llm import near_dedup, substring_dedup
+from folioworks.llm import fingerprints, near_dedup, packing, sharding, substring_dedup
 
 _QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_fingerprints": fingerprints.query,
     "op3_near_dedup": near_dedup.query,
+    "op6_sharding": sharding.query,
+    "op9_packing": packing.query,
 }
 _ORACLES: dict[str, str] = {}
 
