@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from folioworks.llm import fingerprints, near_dedup, packing, sharding, substring_dedup
+from folioworks.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup
 
 _QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_fingerprints": fingerprints.query,
     "op3_near_dedup": near_dedup.query,
+    "op4_line_dedup": line_dedup.query,
     "op6_sharding": sharding.query,
     "op9_packing": packing.query,
+    "op10_decontamination": decontamination.query,
 }
 _ORACLES: dict[str, str] = {}
 
