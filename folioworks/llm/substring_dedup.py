@@ -7,7 +7,8 @@ substrings equal names without exchanging any. The parse of a substring can depe
 surroundings only near its ends: every symbol carries the range of words that fixes it, and
 a symbol whose range lies inside a window of n words appears in every copy of the window.
 
-Each window is held by one such symbol, of the highest round, then the smallest name.
+Each window is held by one such symbol, of the highest round, then the smallest name; the
+name is of the symbol and of the words that fix it.
 Symbols that two documents share reveal the spans of windows that can repeat; those alone are
 verified, first whole spans by a name of all their words, then, where spans of one symbol
 differ, their windows; with the symbol's name a span or window is told by 128 bits.
@@ -33,6 +34,7 @@ from folioworks.llm import textkit as tk
 WINDOW = 13
 ROUNDS = 2
 _NONE = tk.u64(-1)
+_POWER = 0xF1357AEA2E62A9C5
 
 
 def recompress(sym: np.ndarray, first: np.ndarray, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -79,9 +81,13 @@ def holders(h: np.ndarray, first: np.ndarray, n: int, rounds: int) -> tuple[np.n
         return at, whole
     held = np.zeros(len(h), np.uint64)
     held[at] = whole  # only windows inside long runs have no symbol of their own
+    # sums of words times powers, by which a range of words is hashed
+    power, inverse = (np.multiply.accumulate(np.concatenate([[tk.u64(1)], np.full(len(h), tk.u64(m))])) for m in (_POWER, pow(_POWER, -1, 2**64)))
+    sums = np.concatenate([[tk.u64(0)], np.cumsum(h * power[:-1], dtype=np.uint64)])
     for level, (sym, lo, hi) in enumerate(recompress(h, first, rounds)):
         fits = np.flatnonzero(hi - lo <= n)
-        name = tk.mix(sym[fits] + tk.u64(level))
+        # the words that fix the symbol are in every window that it stands for
+        name = tk.mix(sym[fits] + tk.u64(level) + (sums[hi[fits]] - sums[lo[fits]]) * inverse[lo[fits]])
         order = np.argsort(name)[::-1]  # of two at one place, the smaller name is written last
         name, last, begin = name[order], lo[fits][order], hi[fits][order] - n
         best = np.full(len(h), _NONE)
