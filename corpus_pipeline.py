@@ -1,2 +1,81 @@
-"""The corpus pipeline."""
-STAGES = []
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last the columns
+of documents, for the rows that it keeps. The stages' results are checked against
+brute-force versions in tests/llm; SQL can't express them.
+
+Documents without a doc_id or text go through like others (see folioworks.llm.common).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioworks.llm import common, decontamination, line_dedup, near_dedup, packing, toxicity
+
+#: Near duplicates of a stage: shingles of five words, similarity 0.8 or more; at that
+#: similarity a pair shares no band with a probability of about 1e-7.
+SHINGLE, PERCENT, BANDS = 5, 80, 40
+
+
+def _keys() -> list:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_KEY)), F.xxhash64(F.coalesce("text", F.lit("")))]
+
+
+def _joined(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """docs joined by its rows' keys with other's k and h, which docs' own columns can't clash with."""
+    renamed = other.withColumnsRenamed({c: f"__{c}" for c in other.columns})
+    k, h = _keys()
+    return docs.join(renamed, (k == F.col("__k")) & (h == F.col("__h")), how)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from the labels, doesn't reject."""
+    return toxicity.acceptable(docs, toxicity.learn(docs, common.table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks of lines that an earlier one has; one with nothing left stays, empty."""
+    kept = line_dedup.line_dedup(docs).where("n_removed > 0").dropDuplicates(["k", "h"]).select("k", "h", "kept_text")
+    text = F.coalesce("__kept_text", "text")
+    return _joined(docs, kept, "left").select(*({"text": text.alias("text"), "n_chars": F.coalesce(F.length("__kept_text").cast("long"), F.col("n_chars")).alias("n_chars")}.get(c, F.col(c)) for c in docs.columns))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies; documents without words are one group."""
+    found = near_dedup.near_duplicates(docs, SHINGLE, PERCENT, BANDS)
+    found = common.staged(found, "near-copies")
+    kept = found.where("n_shingles > 0 and k = root_k and h = root_h").select("k", "h")
+    blank = found.where("n_shingles = 0").agg(F.min(F.struct("k", "h")).alias("one")).where("one is not null").select("one.k", "one.h")
+    return _joined(docs, kept.union(blank).distinct(), "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontamination.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: SQL can't express the learned lexicon, patience diff, sketches, alignments or packing.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over documents; what each but the last returns is staged as Parquet."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from folioworks.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup
+import corpus_pipeline
+from folioworks.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity
 
 _QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -10,8 +11,10 @@ _QUERIES = {
     "op3_near_dedup": near_dedup.query,
     "op4_line_dedup": line_dedup.query,
     "op6_sharding": sharding.query,
+    "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_decontamination": decontamination.query,
+    "pipeline": corpus_pipeline.run,
 }
 _ORACLES: dict[str, str] = {}
 

@@ -263,6 +263,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def acceptable(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that score below the threshold; scored where they stand, without an exchange."""
+    common.importable(docs.sparkSession)
     fields = [f.name for f in docs.schema.fields]
 
     def run(batches):
