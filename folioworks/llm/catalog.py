@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioworks.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity
+from folioworks.llm import decontamination, fingerprints, licenses, line_dedup, near_dedup, packing, pii, sharding, substring_dedup, toxicity
 
 _QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_fingerprints": fingerprints.query,
     "op3_near_dedup": near_dedup.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_license_scan": licenses.query,
     "op6_sharding": sharding.query,
+    "op7_pii": pii.query,
     "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_decontamination": decontamination.query,
