@@ -60,6 +60,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -81,7 +85,7 @@ def _emails(text: str):
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """By kind as listed, then start."""
     out = [("email", i, j) for i, j in _emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := p.lstrip("0")) <= 3 and int(p or 0) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_octet(part.lstrip("0")) for part in m[0].split("."))]
     for kind, pattern, low, high in (("card", _CARD, 13, 19), ("phone", _PHONE, 9, 15)):
         for m in pattern.finditer(text):
             digits = _digits(m[0])
