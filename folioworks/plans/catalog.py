@@ -1,3 +1,3 @@
 """Importing this module registers every query of the archive engine."""
 
-from folioworks.plans import registry, trade  # noqa: F401
+from folioworks.plans import library, registry, streams, trade  # noqa: F401
