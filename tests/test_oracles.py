@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from folioworks.plans.catalog import registry
@@ -21,7 +22,7 @@ def db():
 
 def rows(df):
     def value(v):
-        return "" if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return "" if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     df = df[sorted(df.columns)].astype(object)
     return sorted((tuple(str(value(v)) for v in r) for r in df.itertuples(index=False)))
