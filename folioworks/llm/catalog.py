@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioworks.llm import decontamination, fingerprints, licenses, line_dedup, near_dedup, packing, pii, sharding, substring_dedup, toxicity
+from folioworks.llm import decontamination, fingerprints, licenses, line_dedup, near_dedup, oracles, packing, pii, sharding, substring_dedup, toxicity
 
 _QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -18,7 +18,10 @@ _QUERIES = {
     "op10_decontamination": decontamination.query,
     "pipeline": corpus_pipeline.run,
 }
-_ORACLES: dict[str, str] = {}
+_ORACLES = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op3_near_dedup": oracles.NEAR_DEDUP,
+}
 
 
 def queries():
