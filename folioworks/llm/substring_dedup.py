@@ -74,6 +74,27 @@ def recompress(sym: np.ndarray, first: np.ndarray, rounds: int) -> Iterator[tupl
         yield sym, lo, hi
 
 
+def _least_covering(value: np.ndarray, begin: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """Of each place, the least value whose range begin..last (inclusive) covers it, or _NONE.
+
+    A range is two of a power of two's length that may overlap; longer ones are handed down to their halves.
+    """
+    length = last - begin + 1
+    scale = np.frexp(length.astype(np.float64))[1] - 1
+    out = None
+    for j in range(int(scale.max(initial=0)), -1, -1):
+        now = np.full(size, _NONE)
+        if out is not None:
+            now = np.minimum(now, out)
+            now[1 << j :] = np.minimum(now[1 << j :], out[: size - (1 << j)])
+        mine = np.flatnonzero(scale == j)
+        if len(mine):
+            np.minimum.at(now, begin[mine], value[mine])
+            np.minimum.at(now, last[mine] + 1 - (1 << j), value[mine])
+        out = now
+    return out
+
+
 def holders(h: np.ndarray, first: np.ndarray, n: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, holder) of every window of n words: the name of the symbol that stands for it."""
     at, whole = tk.grams(h, first, n, seed=3)
@@ -88,14 +109,7 @@ def holders(h: np.ndarray, first: np.ndarray, n: int, rounds: int) -> tuple[np.n
         fits = np.flatnonzero(hi - lo <= n)
         # the words that fix the symbol are in every window that it stands for
         name = tk.mix(sym[fits] + tk.u64(level) + (sums[hi[fits]] - sums[lo[fits]]) * inverse[lo[fits]])
-        order = np.argsort(name)[::-1]  # of two at one place, the smaller name is written last
-        name, last, begin = name[order], lo[fits][order], hi[fits][order] - n
-        best = np.full(len(h), _NONE)
-        for step in range(n):
-            go = begin + step <= last
-            here = np.full(len(h), _NONE)
-            here[np.maximum(begin[go] + step, 0)] = name[go]
-            best = np.minimum(best, here)
+        best = _least_covering(name, np.maximum(hi[fits] - n, 0), lo[fits], len(h))
         held = np.where(best < _NONE, best, held)
     return at, held[at]
 
@@ -131,10 +145,10 @@ def _spans(n: int, rounds: int):
             for b, w, h in _blocks(batch):
                 at, name = holders(h, w.first, n, rounds)
                 row = np.searchsorted(w.first, at, "right") - 1
-                edge = np.searchsorted(at, w.first)
-                keep = np.zeros(len(at), bool)
-                for r in range(b.rows.stop - b.rows.start):
-                    keep[edge[r] : edge[r + 1]] = np.isin(name[edge[r] : edge[r + 1]].view(np.int64), shared[b.rows.start + r].values.to_numpy())
+                # a row's own shared names; a chance match of row and name is verified as the others are
+                own = shared.slice(b.rows.start, b.rows.stop - b.rows.start)
+                owner = np.repeat(np.arange(len(own), dtype=np.uint64), np.diff(own.offsets.to_numpy()))
+                keep = np.isin(tk.mix(name + row.astype(np.uint64) * tk.u64(_POWER)), tk.mix(own.flatten().to_numpy().view(np.uint64) + owner * tk.u64(_POWER)))
                 at, row, name = at[keep], row[keep], name[keep]
                 if not len(at):
                     continue
