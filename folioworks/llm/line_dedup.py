@@ -3,7 +3,7 @@
 Documents that share a line are paired through the line's first holder, so a line of any
 number of documents makes one pair for each of them, and a document is paired with no more
 documents than it has lines. The lines of both are aligned by patience diff, the rarest
-shared lines (those unique in both) first; aligned blocks of at least WORDS words are deleted
+shared lines first (those unique in both, or else the rarest); aligned blocks of at least WORDS words are deleted
 from the later document. What is deleted stays in the document that has it first.
 
 Results: lines end at line feeds and are compared as they are; blank lines pair nothing and
@@ -26,7 +26,10 @@ WORDS = 5
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places of equal items, by anchors that are unique in both parts, then what adjoins them."""
+    """Aligned places of equal items, by anchors that are unique in both parts, then what adjoins them.
+
+    A part without such an anchor is aligned by its rarest shared item, the n-th one with the n-th.
+    """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -46,6 +49,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
                 x[side] += 1
                 x[2 + side] = n
         pairs = sorted((x[2], x[3]) for x in seen.values() if x[0] == x[1] == 1)
+        if not pairs:
+            rare = min(((x[0] * x[1], x[2]) for x in seen.values() if x[0] and x[1]), default=None)
+            if rare:
+                item = a[rare[1]]
+                pairs = list(zip((n for n in range(i0, i1) if a[n] == item), (n for n in range(j0, j1) if b[n] == item)))
         tails, ends, back = [], [], [-1] * len(pairs)  # longest increasing run of places in b
         for n, (_, j) in enumerate(pairs):
             p = bisect_left(tails, j)

@@ -123,3 +123,12 @@ def test_line_dedup(spark):
     copies = {r["k"]: r["n_removed"] for r in got}
     assert copies[60] > 0 and copies[0] == 0
     assert line_dedup.line_dedup(fx.empty(spark)).count() == 0
+
+
+def test_lines_that_stand_twice_in_the_first_holder_are_aligned(spark):
+    assert line_dedup.patience([1, 5, 2, 5, 3], [8, 5, 9]) == [(1, 1)]
+    assert line_dedup.patience([1, 5, 6, 2, 5, 6, 3], [8, 5, 6, 9, 5, 6, 7]) == [(1, 1), (2, 2), (4, 4), (5, 5)]
+    twice = "a passage of more than five words"
+    rows = [(1, f"x\n{twice}\ny\n{twice}\nz"), *((i, f"u{i}\n{twice}\nw{i}") for i in range(2, 6))]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["k"]: r["kept_text"] for r in got} == {1: rows[0][1], **{i: f"u{i}\nw{i}" for i in range(2, 6)}}
