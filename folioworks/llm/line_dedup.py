@@ -1,12 +1,16 @@
 """Op 4, line dedup by pairwise alignment.
 
-Documents that share a line are paired through the line's first holder, so a line of any
-number of documents makes one pair for each of them, and a document is paired with no more
-documents than it has lines. The lines of both are aligned by patience diff, the rarest
-shared lines first (those unique in both, or else the rarest); aligned blocks of at least WORDS words are deleted
-from the later document. What is deleted stays in the document that has it first.
-
-Results: lines end at line feeds and are compared as they are; blank lines pair nothing and
+Runs are the shortest blocks of lines, from a line on or up to it, with at least WORDS words:
+every block that can be deleted is made of them. Documents that share a run are paired through
+the run's first holder, so a run of any number of documents makes one pair for each of them,
+and a document is paired with at most two documents for each of its lines. The lines of both
+are aligned by patience diff, the rarest shared lines first (those unique in both, or else the
+rarest); aligned blocks of at least WORDS words are deleted from the later document, and so
+are runs that both have in another order. What is deleted stays in the document that has it
+first.
+
+Results: a line goes if it lies in a block of at least WORDS words that an earlier document has
+too, blank lines left out; lines end at line feeds and are compared as they are; blank lines pair nothing and
 go with the block around them; a null or empty text has one empty line; rows that repeat a
 doc_id are told apart by their texts, equal rows get equal results; other columns are
 ignored; an empty table gives an empty result.
@@ -17,7 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm import common
@@ -104,16 +108,60 @@ def common_blocks(early: list, late: list, words: list[int], least: int) -> list
     return out
 
 
+def runs(lines: list, words: dict, least: int):
+    """(lines, first and last place) of the runs of lines that `words` has; None is a blank line."""
+    at = [n for n, x in enumerate(lines) if x is not None]
+    for step in (1, -1):
+        places = at[::step]
+        for i in range(len(places)):
+            total, j = 0, i
+            while total < least and j < len(places) and lines[places[j]] in words:
+                total += words[lines[places[j]]]
+                j += 1
+            if total >= least:
+                run = places[i:j][::step]
+                yield tuple(lines[n] for n in run), run[0], run[-1]
+
+
+def shared_blocks(early: list, late: list, words: list[int], least: int) -> list[int]:
+    """Places in `late` of the aligned blocks, and of the runs that `early` has in another order."""
+    out = set(common_blocks(early, late, words, least))
+    shared = set(early)
+    if any(x is not None and x in shared and n not in out for n, x in enumerate(late)):
+        size = dict(zip(late, words))
+        held = {run for run, _, _ in runs(early, size, least)}
+        for run, start, end in runs(late, size, least):
+            if run in held:
+                out.update(range(start, end + 1))
+    return sorted(out)
+
+
 def _aligned(least: int):
     def run(batches):
         for batch in batches:
             early, late, words = (batch.column(c).to_pylist() for c in ("early", "lines", "words"))
-            drop = [common_blocks(*x, least) for x in zip(early, late, words, strict=True)]
+            drop = [shared_blocks(*x, least) for x in zip(early, late, words, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(drop, pa.list_(pa.int32()))], ["k", "h", "drop"])
 
     return run
 
 
+def _run_keys(least: int) -> Column:
+    """Hashes of a text's runs: of a run of one line the line's own, of a longer one its lines' in turn."""
+    solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"].isNotNull())
+
+    def from_each(of: Column, seed: int) -> Column:
+        def key(x, i):
+            first = F.struct(x["words"].alias("words"), F.xxhash64(F.lit(seed), x["lines"]).alias("hash"))
+            more = lambda s, y: F.when(s["words"] >= least, s).otherwise(F.struct((s["words"] + y["words"]).alias("words"), F.xxhash64(s["hash"], y["lines"]).alias("hash")))
+            run = F.aggregate(F.slice(of, i + 2, least), first, more, lambda s: F.when(s["words"] >= least, s["hash"]))
+            return F.when(x["words"] >= least, x["lines"]).otherwise(run)
+
+        return F.transform(of, key)
+
+    return F.array_distinct(F.concat(from_each(solid, 1), from_each(F.reverse(solid), 2)))
+
+
 def line_dedup(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
     """k, h, n_lines, n_removed and kept_text of each row of docs."""
     base = common.keyed(docs)
@@ -125,9 +173,9 @@ def line_dedup(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
         F.transform(split, lambda x: F.regexp_count(x, F.lit(r"\S+")).cast("int")).alias("words"),
     )
     lines = common.staged(lines, "lines")
-    one = lines.select(F.struct("k", "h").alias("node"), F.explode(F.array_distinct("lines")).alias("line")).where("line is not null")
-    first = one.groupBy("line").agg(F.min("node").alias("early"), F.max("node").alias("last")).where("early < last").select("line", "early")
-    pairs = one.join(first, "line").where("early.k < node.k").select("early", "node").distinct()
+    one = lines.select(F.struct("k", "h").alias("node"), F.explode(_run_keys(least_words)).alias("run")).where("run is not null")
+    first = one.groupBy("run").agg(F.min("node").alias("early"), F.max("node").alias("last")).where("early < last").select("run", "early")
+    pairs = one.join(first, "run").where("early.k < node.k").select("early", "node").distinct()
     late = lines.dropDuplicates(["k", "h"])
     pairs = pairs.select(F.col("early.k").alias("ek"), F.col("early.h").alias("eh"), F.col("node.k").alias("k"), F.col("node.h").alias("h"))
     pairs = pairs.join(late, ["k", "h"]).join(late.select(F.col("k").alias("ek"), F.col("h").alias("eh"), F.col("lines").alias("early")), ["ek", "eh"])

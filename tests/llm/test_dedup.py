@@ -132,3 +132,37 @@ def test_lines_that_stand_twice_in_the_first_holder_are_aligned(spark):
     rows = [(1, f"x\n{twice}\ny\n{twice}\nz"), *((i, f"u{i}\n{twice}\nw{i}") for i in range(2, 6))]
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["k"]: r["kept_text"] for r in got} == {1: rows[0][1], **{i: f"u{i}\nw{i}" for i in range(2, 6)}}
+
+
+def brute_lines(rows, least=line_dedup.WORDS):
+    """Counts of the lines, not blank ones, that stay of each row: those in no block of so many words that an earlier row has."""
+    solid = [(fx.key(d), [x for x in t.split("\n") if x.strip()]) for d, t in rows]
+    first = {}
+    for d, lines in solid:
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                first[tuple(lines[i:j])] = min(first.get(tuple(lines[i:j]), d), d)
+    out = []
+    for d, lines in solid:
+        gone = set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if first[tuple(lines[i:j])] < d and sum(len(x.split()) for x in lines[i:j]) >= least:
+                    gone.update(range(i, j))
+        out.append((d, tuple(x for i, x in enumerate(lines) if i not in gone)))
+    return Counter(out)
+
+
+def test_line_dedup_finds_every_shared_block(spark):
+    import random
+
+    rng = random.Random(11)
+    verse, prose = [f"v{i} of verse"[: 2 + 9 * (i % 2)] for i in range(6)], [f"p{i} is a line of prose" for i in range(4)]
+    rows = [(i, f"own {i}\n{x}\nmore {i}") for i, x in enumerate(verse)]  # earlier lone holders
+    rows += [(10, "\n".join(prose[::-1])), (11, "\n".join(prose)), (12, "\n".join(prose))]  # another order first
+    rows += [(20, "\n".join(["b", *verse])), (21, "\n".join(["c", *verse[:3], "", *verse[3:], "d"]))]
+    rows += [(30 + i, "\n".join(rng.choice([*verse, *prose, "", "z", "y x"]) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    rows += [(None, "\n".join(verse)), (40, "repeated id\n" + prose[0])]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), fx.docs(spark)):
+        got = line_dedup.line_dedup(docs).collect()
+        assert Counter((r["k"], tuple(x for x in r["kept_text"].split("\n") if x.strip())) for r in got) == brute_lines(fx.pairs(docs))
