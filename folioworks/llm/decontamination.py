@@ -1,15 +1,18 @@
 """Op 10, benchmark decontamination by the q-gram lemma.
 
 Texts are compared with A-Z lower-cased and white space runs as one space, by bytes. A
-benchmark item is searched by its halves: if a document holds the item, or three quarters
-of it, within the edit budget, one half lies in it within its own. A half of m bytes found with
-k edits shares m - q + 1 - k q of its q-grams with the document on diagonals at most k
+benchmark item is searched by three overlapping halves, its first, middle and last: if a
+document holds the whole item within the edit budget, the first or the last lies in it within
+its own; any three quarters of the item hold the middle one, so they are found if their edits
+are within a half's budget. Items under HALVED bytes are searched whole, and, from twice
+SHORTEST on, by their middle half, which counts if three quarters of the item stand around it
+within the budget. Items under SHORTEST bytes are searched exactly, on word boundaries.
+A half of m bytes found with k edits shares m - q + 1 - k q of its q-grams with the document on diagonals at most k
 apart; shared q-grams are counted in overlapping bands of diagonals, bands that meet the
 bound are verified by a banded alignment, and what it finds within k edits is a hit.
 
 The benchmark is sent to tasks in blocks of bounded bytes, each a pass over the documents.
-Results: one row per document row and item; null and empty texts have none; items whose
-normal form has under SHORTEST bytes are not searched, as chance would find them; rows that
+Results: one row per document row and item; null and empty texts and items have none; rows that
 repeat a doc_id are searched each; other columns are ignored; empty tables give no rows.
 """
 
@@ -25,8 +28,9 @@ from folioworks.llm import textkit as tk
 
 Q = 8
 BUDGET = 0.08
+#: Items shorter than this are searched exactly.
 SHORTEST = 16
-#: Items shorter than this are searched whole.
+#: Items shorter than this are searched whole and by three quarters.
 HALVED = 80
 #: Bytes of benchmark texts that one pass holds.
 PASS_BYTES = 16 << 20
@@ -74,18 +78,25 @@ def alignment(pattern: bytes, text: bytes, budget: int) -> tuple[int, int, int]
 
 
 class Patterns:
-    """The halves of one block of items, and where each q-gram stands in them."""
+    """The halves of one block of items, where each q-gram stands in them, and the items too short for that."""
 
     def __init__(self, items: list[tuple[int, str]], budget: float):
-        self.texts, self.item = [], []
+        self.texts, self.item, self.around, self.short = [], [], [], {}
         for number, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             whole = normal(raw, np.array([0, len(raw)]))[0].tobytes().strip()
             if len(whole) >= SHORTEST:
-                cut = len(whole) // 2
-                parts = [whole] if len(whole) < HALVED else [whole[:cut], whole[cut:]]
-                self.texts += parts
+                cut, quarter = len(whole) // 2, len(whole) // 4
+                middle = whole[quarter : quarter + cut]
+                if len(whole) >= HALVED:
+                    parts = [(whole[:cut], None), (middle, None), (whole[cut:], None)]
+                else:
+                    parts = [(whole, None), (middle, whole)] if cut >= SHORTEST else [(whole, None)]
+                self.texts += [x for x, _ in parts]
+                self.around += [x for _, x in parts]
                 self.item += [number] * len(parts)
+            elif whole:
+                self.short.setdefault(len(whole), {}).setdefault(whole, []).append(number)
         size = np.array([len(x) for x in self.texts], np.int64)
         self.budget = np.floor(size * budget).astype(np.int64)
         self.bound = np.maximum(1, size - Q + 1 - self.budget * Q)
@@ -135,6 +146,41 @@ class Patterns:
         return sorted(set(out))
 
 
+    def exact(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, start, end) of the short items' first exact places on word boundaries."""
+        if not self.short or not len(data):
+            return []
+        code, raw = grams(np.append(data, np.zeros(Q, np.uint8)))[: len(data)], data.tobytes()
+        word = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) | (data == 95)
+        edge = np.ones(len(data) + 1, bool)  # at an end of a row, or not amid a word
+        edge[1:-1] = ~(word[1:] & word[:-1])
+        edge[off] = True
+        out = []
+        for size, texts in self.short.items():
+            if size > len(data):
+                continue
+            at = np.flatnonzero(edge[: len(data) - size + 1] & edge[size:])
+            row = np.searchsorted(off, at, "right") - 1
+            inside = at + size <= off[row + 1]
+            at, row = at[inside], row[inside]
+            mask = tk.u64((1 << 8 * min(size, Q)) - 1)
+            known = np.array([int.from_bytes(x[:Q], "little") for x in texts], np.uint64)
+            there = np.isin(code[at] & mask, known)
+            at, row = at[there], row[there]
+            names = np.stack([row.astype(np.uint64), code[at] & mask, code[at + max(0, size - Q)] & mask], 1)
+            for n in np.unique(names, axis=0, return_index=True)[1] if len(at) else ():
+                start = int(at[n])
+                out += ((int(row[n]), item, start, start + size) for item in texts.get(raw[start : start + size], ()))
+        return out
+
+
+def three_quarters(whole: bytes, text: bytes, budget: float) -> tuple[int, int, int] | None:
+    """The best alignment of three quarters of the item, from any place on, within their edit budget."""
+    size = -(-3 * len(whole) // 4)
+    found = (alignment(whole[i : i + size], text, int(size * budget)) for i in range(len(whole) - size + 1))
+    return min((x for x in found if x), default=None)
+
+
 def _hits(items: list[tuple[int, str]], budget: float):
     schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -148,11 +194,18 @@ def _hits(items: list[tuple[int, str]], budget: float):
                 for r, w, diagonal in patterns.candidates(data, off):
                     text, k = patterns.texts[w], int(patterns.budget[w])
                     low = max(0, diagonal - k)
-                    got = alignment(text, raw[off[r] + low : min(off[r + 1], off[r] + max(0, diagonal + patterns.band + len(text) + k))], k)
+                    high = diagonal + patterns.band + len(text) + k
+                    got = alignment(text, raw[off[r] + low : min(off[r + 1], off[r] + max(0, high))], k)
+                    whole = patterns.around[w]
+                    if got and whole:
+                        low = max(0, low - len(whole))
+                        got = three_quarters(whole, raw[off[r] + low : min(off[r + 1], off[r] + high + len(whole))], budget)
                     if got:
                         edits, start, end = got[0], *(int(old[off[r] + low + x - y]) + y for x, y in ((got[1], 0), (got[2], 1)))
                         name = (r, patterns.item[w])
                         best[name] = min(best.get(name, (edits, start, end)), (edits, start, end))
+                for r, item, start, end in patterns.exact(data, off):
+                    best[r, item] = min(best.get((r, item), (1, 0, 0)), (0, int(old[start]), int(old[end - 1]) + 1))
                 for (r, item), (edits, start, end) in best.items():
                     whole = b.data[b.off[r] : b.off[r + 1]].tobytes()
                     chars = [len(whole[: x - b.off[r]].decode(errors="ignore")) for x in (start, end)]

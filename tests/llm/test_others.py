@@ -161,6 +161,22 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_any_three_quarters_and_short_items(spark):
+    rng = np.random.default_rng(8)
+    make = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n).tolist())
+    long, short = make(400), make(60)
+    items = [(1, long), (2, short), (3, "Rst uv"), (4, "c++"), (5, "zzzyyyxxxwww"), (6, " "), (7, "x" * 9 + "q")]
+    texts = {
+        10: make(300) + long[50:350] + make(300), 11: make(300) + long[150:250] + make(300), 12: make(90) + short[7:52] + make(90), 13: make(90) + short[15:45] + make(90),
+        20: "a rst  UV", 21: "arst uv", 22: "rst uvw", 23: "in C++, see", 24: "zzzyyyxxxwww", 25: "zzzyyyxxxwww1 (zzzyyyxxxwww)", 26: "c+", 27: "rst uv rst uv", 28: "xxxxxxxxxxr xxxxxxxxxx", 29: "rst uv é", 30: "rst",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(len(texts), "doc_id")
+    got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["k"], r["item_id"]) for r in got} == {(10, 1), (12, 2), (20, 3), (27, 3), (29, 3), (23, 4), (24, 5), (25, 5)}
+    assert {r["k"]: texts[r["k"]][r["start"] : r["end"]] for r in got if r["k"] in (20, 23, 25)} == {20: "rst  UV", 23: "C++", 25: "zzzyyyxxxwww"}
+    assert next(r["start"] for r in got if r["k"] == 25) == 15
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     plain = [f"wo{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
