@@ -1,6 +1,8 @@
 """Op 5, licence scans by a trained paragraph classifier.
 
-A paragraph is a line of a text. Word uni-, bi- and trigrams that occur in the templates
+A paragraph is a line of a text, or consecutive lines that a statement can be wrapped over: the
+lines between its first and its last one have at most as many words as the longest statement,
+and none of them is blank or without words. Word uni-, bi- and trigrams that occur in the templates
 below are the sparse features of a softmax regression over licence families and an unknown
 class. It is trained on the templates' statements, whole, cut and with words changed, and
 on at most NEGATIVES paragraphs of the corpus and statements with their words shuffled as
@@ -8,7 +10,8 @@ unknown; the least probability for a family is calibrated on held-out variants.
 is confirmed by comparison with the family's templates: a statement's words must mostly
 stand in the paragraph, in order.
 
-Results: one row per document; null and empty texts have no paragraphs and no licence; rows
+Results: one row per document; n_paragraphs counts the lines that aren't blank, n_license the
+lines that hold a statement alone and the wrapped statements, each once for its family; null and empty texts have no paragraphs and no licence; rows
 that repeat a doc_id get a result each; other columns are ignored; an empty table gives an
 empty result. Texts are scanned whole.
 """
@@ -71,6 +74,7 @@ def ngrams(words: list[str]) -> set[str]:
 
 STATEMENTS = [(i, word_list(t)) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
 FEATURES = {g: n for n, g in enumerate(sorted(set().union(*(ngrams(w) for _, w in STATEMENTS))))}
+LONGEST = max(len(w) for _, w in STATEMENTS)
 #: Words that a paragraph must have one of to be looked at: every statement has one.
 _CUE = re.compile(r"licen[cs]e|spdx|rights reserved|public domain|permission|redistribut|compliance|copyright|gpl|cc0|mozilla|creative commons", re.IGNORECASE)
 
@@ -118,14 +122,16 @@ class Model:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def families(self, paragraphs: list[str]) -> list[tuple[str, float] | None]:
-        """The confirmed family of each paragraph and its probability."""
+    def families(self, paragraphs: list[str]) -> list[tuple[str, float, float] | None]:
+        """The confirmed family of each paragraph, its probability and its confirmation."""
+        if len(paragraphs) > 2000:
+            return [x for i in range(0, len(paragraphs), 2000) for x in self.families(paragraphs[i : i + 2000])]
         samples = [word_list(p) for p in paragraphs]
         out = []
         for words, p in zip(samples, self.probabilities(samples), strict=True):
             best = int(np.argmax(p))
-            known = best < len(FAMILIES) and p[best] >= self.least and confirmation(words, best) >= CONFIRMED
-            out.append((FAMILIES[best], float(p[best])) if known else None)
+            held = confirmation(words, best) if best < len(FAMILIES) and p[best] >= self.least else 0.0
+            out.append((FAMILIES[best], float(p[best]), float(held)) if held >= CONFIRMED else None)
         return out
 
 
@@ -168,22 +174,69 @@ def train(negatives: list[str], seed: int = 7, steps: int = 400) -> Model:
     return model
 
 
+#: A cue in a text whose lines may be wrapped.
+_WRAPPED_CUE = re.compile(_CUE.pattern.replace(" ", r"[\W_]+"), re.IGNORECASE)
+
+
+def joined(lines: list[str]) -> str:
+    return " ".join(lines).replace("- ", "-")
+
+
+def statements(found: list[tuple[int, int, str, float, float]]) -> list[tuple[int, int, str, float, float]]:
+    """Of (first line, last line, family, probability, confirmation), shorter ones first: every line found alone, and
+    wrapped statements that share no line with a found one of their family. A statement that is held in part gives way
+    to a wrapped one around it that holds more of another family's."""
+    out, lines = [], set()
+    for x in found:
+        i, j, family, _, held = x
+        if i < j:
+            if any((family, n) in lines for n in range(i, j + 1)):
+                continue
+            out = [y for y in out if not (i <= y[0] and y[1] <= j and y[4] < min(1, held))]
+        out.append(x)
+        lines.update((family, n) for n in range(i, j + 1))
+    return out
+
+
+def wrapped(lines: list[str]) -> list[tuple[int, int, str]]:
+    """(first line, last line, words) of the lines together that a statement with a cue can be wrapped over, shorter ones first."""
+    words = [word_list(x) for x in lines]
+    # a hyphen at a line's end ties its last word to the next line's first
+    text = [" ".join(w) + ("-" if w and x.rstrip().endswith("-") else "") for w, x in zip(words, lines)]
+    cued = [0]  # how many lines so far have a cue, alone or with the next one
+    for n, x in enumerate(text):
+        near = joined(text[n : n + 2])
+        cued.append(cued[-1] + bool(_CUE.search(near)))
+    out = []
+    for i in range(len(lines)):
+        inner, j = 0, i + 1
+        while j < len(lines) and words[i] and words[j] and inner <= LONGEST:
+            if cued[j] > cued[i] or _CUE.search(text[j]):
+                out.append((i, j, joined(text[i : j + 1])))
+            inner += len(words[j])
+            j += 1
+    return sorted(out, key=lambda x: x[1] - x[0])
+
+
 def _scan(model: Model):
     schema = pa.schema([("k", pa.int64()), ("n_paragraphs", pa.int64()), ("n_license", pa.int64()), ("families", pa.string()), ("confidence", pa.float64())])
 
     def run(batches):
-        seen: dict[str, tuple[str, float] | None] = {}
+        seen: dict[str, tuple[str, float, float] | None] = {}
         for batch in batches:
             rows = []
             for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 paragraphs = text.split("\n")
-                cued = [p for p in paragraphs if _CUE.search(p)] if _CUE.search(text) else []
-                new = [p for p in dict.fromkeys(cued) if p not in seen]
+                cued = []
+                if _WRAPPED_CUE.search(text):
+                    cued = [(n, n, p) for n, p in enumerate(paragraphs) if _CUE.search(p)] + wrapped(paragraphs)
+                names = list(dict.fromkeys(p for _, _, p in cued))
+                new = [p for p in names if p not in seen]
                 if len(seen) > 50_000:
-                    seen, new = {}, list(dict.fromkeys(cued))
+                    seen, new = {}, names
                 seen.update(zip(new, model.families(new), strict=True) if new else ())
-                found = [seen[p] for p in cued if seen[p]]
-                rows.append((k, sum(bool(p.strip()) for p in paragraphs), len(found), ",".join(sorted({f for f, _ in found})), max((c for _, c in found), default=None)))
+                found = statements([(i, j, *seen[p]) for i, j, p in cued if seen[p]])
+                rows.append((k, sum(bool(p.strip()) for p in paragraphs), len(found), ",".join(sorted({x[2] for x in found})), max((x[3] for x in found), default=None)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run

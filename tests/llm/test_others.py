@@ -246,6 +246,21 @@ def test_licenses(spark):
     assert got == {1: "mit", 2: "", 3: "", None: "cc-by-nc,proprietary"}
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = " ".join(licenses.TEMPLATES["gpl"][-1].split())
+    texts = {1: f"MIT-like text\n\n{mit}\n\nend", 2: f"/*\n * {bsd.replace(chr(10), chr(10) + ' * ')}\n */", 3: "\n".join(f"# {x}" for x in textwrap.wrap(gpl, 40)), 4: "\n".join("Released into the public domain".split()), 5: "the driver's license\nof his brother was\nrevoked in public", 6: "Redistribution and use\n\n\nin source and\n\n\nbinary forms", 7: "All rights\nreserved", 8: "a\nReleased under the MIT License.\nb", 9: f"All rights reserved. {bsd}"}
+    texts |= {10 + i: "\n".join(textwrap.wrap(" ".join(w), 24)) for i, (_, w) in enumerate(licenses.STATEMENTS)}
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    expected = {1: "mit", 2: "bsd", 3: "gpl", 4: "public-domain", 5: "", 6: "", 7: "proprietary", 8: "mit"}
+    assert {d: got[d]["families"] for d in expected} == expected
+    assert "bsd" in got[9]["families"] and [got[d]["n_license"] for d in (1, 2, 3, 8)] == [1, 1, 1, 1]
+    assert [licenses.FAMILIES[f] in got[10 + i]["families"].split(",") for i, (f, _) in enumerate(licenses.STATEMENTS)] == [True] * len(licenses.STATEMENTS)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
