@@ -30,6 +30,12 @@ def _joined(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return docs.join(renamed, (k == F.col("__k")) & (h == F.col("__h")), how)
 
 
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One row of docs for each doc_id and text, any of them; a null doc_id counts as an id, a null text as empty."""
+    names = [f"__row_{c}" for c in "kh"]
+    return docs.select("*", *(x.alias(n) for x, n in zip(_keys(), names))).dropDuplicates(names).select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, learned from the labels, doesn't reject."""
     return toxicity.acceptable(docs, toxicity.learn(docs, common.table(spark, sf_dir, "labels")))
@@ -48,7 +54,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     found = common.staged(found, "near-copies")
     kept = found.where("n_shingles > 0 and k = root_k and h = root_h").select("k", "h")
     blank = found.where("n_shingles = 0").agg(F.min(F.struct("k", "h")).alias("one")).where("one is not null").select("one.k", "one.h")
-    return _joined(docs, kept.union(blank).distinct(), "left_semi")
+    return _joined(_one_each(docs), kept.union(blank).distinct(), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,3 +166,14 @@ def test_line_dedup_finds_every_shared_block(spark):
     for docs in (spark.createDataFrame(rows, "doc_id long, text string"), fx.docs(spark)):
         got = line_dedup.line_dedup(docs).collect()
         assert Counter((r["k"], tuple(x for x in r["kept_text"].split("\n") if x.strip())) for r in got) == brute_lines(fx.pairs(docs))
+
+
+def components(rows, n, percent):
+    """Groups of the rows' numbers that links of at least so much similarity join; rows without words are one group."""
+    all_ = [sets(t, n) for _, t in rows]
+    groups = []
+    for i, a in enumerate(all_):
+        linked = lambda j: 100 * len(a & all_[j]) >= percent * len(a | all_[j]) if a and all_[j] else not a and not all_[j]  # noqa: B023, E731
+        near = [g for g in groups if any(linked(j) for j in g)]
+        groups = [g for g in groups if g not in near] + [sum(near, [i])]
+    return groups

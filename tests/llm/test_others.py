@@ -282,3 +282,39 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "decontamination":
             assert at.where("doc_id = 57").count() == 0 and before.count() - at.count() <= 3
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == at.select("doc_id").distinct().count()
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tests.llm import test_dedup as brute
+
+    folder = str(tmp_path)
+    copies = [(None, "one hot text of a null id, many times over"), (400, "another hot text that repeats its own id"), (None, ""), (None, None), (401, " \n")]
+    more = spark.createDataFrame(copies * 5, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("src").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("k"), F.lit("clash").alias("h"), F.lit(2).cast("long").alias("name"))
+    docs = fx.docs(spark).unionByName(more)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    item = docs.where("doc_id = 57").first()["text"][:150]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    stage = {name: lambda at, f=f, name=name: corpus_pipeline.common.staged(f(spark, at, folder), name) for name, f in corpus_pipeline.STAGES}
+    clean = stage["toxicity"](docs)
+    assert Counter(fx.pairs(clean)) == Counter(fx.pairs(docs))
+    lines = stage["line_dedup"](clean)
+    assert Counter((fx.key(d), tuple(x for x in t.split("\n") if x.strip())) for d, t in fx.pairs(lines)) == brute.brute_lines(fx.pairs(clean))
+    for before in (docs, lines):
+        near = stage["near_dedup"](before)
+        rows, kept = fx.pairs(before), fx.pairs(near)
+        groups = brute.components(rows, corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
+        assert Counter(fx.key(d) for d, _ in kept) == Counter(min(fx.key(rows[i][0]) for i in g) for g in groups)
+        assert not Counter(kept) - Counter(rows)
+    held = decontamination.contaminated(near, spark.createDataFrame([(1, item)], "item_id long, text string")).count()
+    rest = stage["decontamination"](near)
+    w = " ".join(item.lower().split())
+    parts = [w[: len(w) // 2], w[len(w) // 4 : len(w) // 4 + len(w) // 2], w[len(w) // 2 :]]
+    expected = [r for r in fx.pairs(near) if not any(edits(x, re.sub(r"\s+", " ", r[1].lower())) <= int(len(x) * 0.08) for x in parts)]
+    assert held and Counter(fx.pairs(rest)) == Counter(expected)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = Counter()
+    for r in stage["packing"](rest).collect():
+        tokens[r["doc_id"]] += r["length"]
+    assert tokens == sum((Counter({d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1}) for d, t in fx.pairs(rest)), Counter())
