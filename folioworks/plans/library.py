@@ -40,6 +40,13 @@ def fts_tokens(a):
     return terms.groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("id").alias("docs")).where("tf >= 5")
 
 
+@_q("fts_tokens_all", _WORDS, "SELECT term, count(*) AS tf, count(DISTINCT id) AS docs FROM (SELECT id, unnest(l) AS term FROM w) GROUP BY 1")
+def fts_tokens_all(a):
+    """X1, rare terms too."""
+    terms = _docs(a).select("id", F.explode(exprs.words(F.col("description"))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("id").alias("docs"))
+
+
 @_q("fts_prefix_bm25", _WORDS, "hits AS (SELECT id, length, CAST(len(list_filter(l, lambda x: starts_with(x, 'licen'))) AS BIGINT) AS tf FROM ix), hh AS (SELECT count(*) AS h FROM hits WHERE tf > 0)", f"SELECT id, tf, {_BM25} AS score FROM hits, co, hh WHERE tf > 0")
 def fts_prefix_bm25(a):
     return text.prefix_search(_index(a), "w_description", text.escaped("Licen")[1][0])
@@ -82,6 +89,12 @@ def token_frequencies(a):
     return _docs(a).select("id", F.explode(exprs.tokens(F.col("description"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf")).where("tf >= 3")
 
 
+@_q("token_frequencies_all", _TOK, "SELECT id, token, count(*) AS tf FROM tk GROUP BY 1, 2")
+def token_frequencies_all(a):
+    """A21, rare tokens too."""
+    return _docs(a).select("id", F.explode(exprs.tokens(F.col("description"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+
+
 @_q("hashed_embedding", _TOK, _EMB, "SELECT id, count(*) AS slots, round(sum(abs(weight)), 5) AS l1, round(max(weight), 5) AS top FROM em GROUP BY 1")
 def hashed_embedding(a):
     """F7, A22"""

@@ -124,6 +124,13 @@ def record_detail_entities(a):
     return a.document_entities.join(ids, "document_id", "left_semi").join(a.entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id").select("document_id", "entity_id", "name", "type", "role")
 
 
+@_q("record_detail_entities_all", DOCS, GROUPS, LIVE, ENTITIES, DOC_ENTS, "SELECT document_id, entity_id, name, type, role FROM dents JOIN ents ON ents.id = entity_id JOIN live ON live.id = document_id")
+def record_detail_entities_all(a):
+    """The details of every record."""
+    ids = a.standalone.select(F.col("id").alias("document_id"))
+    return a.document_entities.join(ids, "document_id", "left_semi").join(a.entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id").select("document_id", "entity_id", "name", "type", "role")
+
+
 @_q("record_detail_links", DOCS, "SELECT a.id AS source_id, b.id AS target_id, a.title AS source_title, b.title AS target_title FROM docs a JOIN docs b ON b.group_id = a.group_id AND b.page_number = a.page_number + 1")
 def record_detail_links(a):
     """Links between following pages, with both titles."""
@@ -242,6 +249,13 @@ def entity_groups_by_type(a):
     return named.groupBy("document_id", "type").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
 
 
+@_q("entity_groups_by_type_all", *_BASE, "SELECT document_id, type, string_agg(name, '|' ORDER BY name) AS names FROM dents JOIN ents ON ents.id = entity_id GROUP BY 1, 2")
+def entity_groups_by_type_all(a):
+    """A25, every document."""
+    named = a.document_entities.join(a.entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id")
+    return named.groupBy("document_id", "type").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
+
+
 _MEMBERS = """mem AS (SELECT 'd' AS kind, document_id AS record_id, entity_id, role FROM dents WHERE document_id IN (SELECT id FROM live)
  UNION ALL SELECT 'g', group_id, entity_id, role FROM gents WHERE group_id IN (SELECT id FROM lgrps)),
  pm AS (SELECT * FROM mem WHERE entity_id IN (SELECT id FROM ents WHERE type IN ('person', 'institution')))"""
@@ -349,11 +363,25 @@ def txns_ordered(a):
     return a.transactions.where("document_id % 50 = 1").withColumn("place", F.row_number().over(order)).select("document_id", "date", "price", "place")
 
 
+@_q("txns_ordered_all", TXNS, "SELECT document_id, date, price, CAST(row_number() OVER (PARTITION BY document_id ORDER BY date NULLS LAST, price, lot_number) AS INT) AS place FROM txns")
+def txns_ordered_all(a):
+    """O16, every document."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("document_id").orderBy(F.col("date").asc_nulls_last(), "price", "lot_number")
+    return a.transactions.withColumn("place", F.row_number().over(order)).select("document_id", "date", "price", "place")
+
+
 @_q("entity_merge", DOC_ENTS, "SELECT entity_id, role, count(*) AS documents FROM (SELECT DISTINCT document_id, CASE WHEN entity_id = 1000002 THEN 1000001 ELSE entity_id END AS entity_id, role FROM dents) WHERE entity_id BETWEEN 1000001 AND 1000100 GROUP BY 1, 2")
 def entity_merge(a):
     return entities.merged(a.document_entities, 1_000_001, 1_000_002).where("entity_id between 1000001 and 1000100").groupBy("entity_id", "role").agg(F.count("*").alias("documents"))
 
 
+@_q("entity_merge_all", DOC_ENTS, "SELECT entity_id, role, count(*) AS documents FROM (SELECT DISTINCT document_id, CASE WHEN entity_id = 1000002 THEN 1000001 ELSE entity_id END AS entity_id, role FROM dents) GROUP BY 1, 2")
+def entity_merge_all(a):
+    return entities.merged(a.document_entities, 1_000_001, 1_000_002).groupBy("entity_id", "role").agg(F.count("*").alias("documents"))
+
+
 @_q("entity_upsert_resolution", ENTITIES, """wanted AS (SELECT DISTINCT lower(s_name) AS normalized_name, 'person' AS type FROM supplier UNION SELECT DISTINCT lower(n_name) || ' land', 'place' FROM nation),
  al AS (SELECT id, normalized_name || ' land' AS normalized_name FROM ents WHERE type = 'place' AND id % 2 = 0),
  f AS (SELECT w.normalized_name, w.type, e.id AS by_name, al.id AS by_alias FROM wanted w LEFT JOIN ents e ON e.normalized_name = w.normalized_name AND e.type = w.type LEFT JOIN al ON al.normalized_name = w.normalized_name)
