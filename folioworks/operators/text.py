@@ -65,19 +65,37 @@ def snippet(text: Column, word: str, size: int = 64) -> Column:
 
 
 def phrases_by_question(index: DataFrame, column: str, questions: DataFrame, n: int = 4) -> DataFrame:
-    """Every question's phrase against all documents: pairs by the phrase's first n words, then tested whole.
+    """Every question's phrase against all documents: pairs by the phrase's first n words (all, if fewer), then tested whole.
 
-    (question_id, id, tf); no question is compared with documents that lack its first words.
+    (question_id, id, tf); no question is compared with documents that lack its first words. One without words has no phrase.
     """
     words = F.split(F.trim(column), " ")
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, n), " ")))
-    docs = index.select("id", column, words.alias("w")).where(F.size("w") >= n).select("id", column, F.explode(F.array_distinct(grams)).alias("gram"))
-    asked = questions.select("question_id", exprs.words(F.col("question")).alias("w")).where(F.size("w") >= n)
-    asked = asked.select("question_id", F.array_join("w", " ").alias("phrase"), F.xxhash64(F.array_join(F.slice("w", 1, n), " ")).alias("gram"))
-    pairs = docs.select("id", "gram").join(asked, "gram").join(index.select("id", column), "id")
+    asked = questions.select("question_id", exprs.words(F.col("question")).alias("w")).where(F.size("w") > 0)
+    asked = asked.select("question_id", F.array_join("w", " ").alias("phrase"), F.least(F.size("w"), F.lit(n)).alias("n"), F.xxhash64(F.array_join(F.slice("w", 1, n), " ")).alias("gram"))
+    docs = index.select("id", words.alias("w"))
+
+    def grams(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, size), " ")))
+
+    pairs = None
+    for size in range(1, n + 1):
+        found = docs.where(F.size("w") >= size).select("id", F.explode(F.array_distinct(grams(size))).alias("gram")).join(asked.where(F.col("n") == size).drop("n"), "gram")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = pairs.join(index.select("id", column), "id")
     return pairs.select("question_id", "id", occurrences(F.col(column), F.col("phrase")).cast("long").alias("tf")).where("tf > 0").distinct()
 
 
+def retrieved(docs: DataFrame, text: str, questions: DataFrame, k: int = 15) -> DataFrame:
+    """Each question's k documents (question_id, id, how, score, rank): those that hold it as a phrase, by
+    occurrences, or, if none does, the most similar ones. A question without tokens has none."""
+    hits = phrases_by_question(indexed(docs, text), f"w_{text}", questions)
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("tf"), "id"))
+    exact = hits.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "id", F.lit("phrase").alias("how"), F.col("tf").cast("double").alias("score"), "rank")
+    others = questions.join(hits.select("question_id").distinct(), "question_id", "left_anti").select(F.col("question_id").alias("id"), "question")
+    near = similar(embedding(docs, text), embedding(others, "question"), k)
+    return exact.unionByName(near.select(F.col("query_id").alias("question_id"), "id", F.lit("similar").alias("how"), "score", "rank"))
+
+
 def embedding(docs: DataFrame, text: str, dims: int = 512) -> DataFrame:
     """Sparse (id, slot, weight) of unit length: signed 1 + ln(tf) by hashed token."""
     terms = docs.select("id", F.explode(exprs.tokens(F.col(text))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))

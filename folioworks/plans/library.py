@@ -135,6 +135,13 @@ def rag_retrieval_top15(a):
     return _retrieved(a).withColumn("rank", rank).where("rank <= 15")
 
 
+@_q("rag_retrieval_or_similar")
+def rag_retrieval_or_similar(a):
+    """As rag_retrieval_top15, but questions without a hit get the most similar documents."""
+    asked = a.raw("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return text.retrieved(_docs(a), "description", asked)
+
+
 @_q("rag_context", _WORDS, _RAG, "SELECT question_id, string_agg('[Doc #' || id || '] ' || lang || ' ' || coalesce(substring(text, 1, 200), 'Unknown'), chr(10) ORDER BY id) AS context FROM hit JOIN documents ON doc_id = id GROUP BY 1")
 def rag_context(a):
     """J22, F18, F22"""
