@@ -3,11 +3,15 @@
 Every document is tokenized whole, closed by an end id and, only if longer than a sequence,
 cut into full pieces behind a shorter first one. Pieces are dealt by a hash into groups of
 bounded size; in each, best fit decreasing fills sequences, and a local search then takes
-the emptiest sequence again and again: documents move to others, or go one for one or two
-for one against shorter ones, whenever the sum of squared fills grows, until sequences empty.
-
-Results: a null or empty text is the end id alone; rows that repeat a doc_id are packed each;
-other columns are ignored; an empty table gives an empty result.
+the sequences that have room, the emptiest first: documents move to others, or go one for one
+or two for one against shorter ones, whenever the sum of squared fills grows, until sequences
+empty. The search ends at the least number of sequences that the lengths allow, or after a
+round over all sequences with room in which none became empty.
+
+Results: a null or empty text is the end id alone; rows that repeat a doc_id are packed each,
+dealt by their row's number, so however many equal ones spread over the groups; a text of one
+long run of any character is encoded like others; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +31,17 @@ CAPACITY = 2048
 END = 0
 #: Pieces that one task packs.
 GROUP = 20_000
-#: The local search ends after so many sequences in a row that it couldn't improve.
-PATIENCE = 40
 #: Texts of these characters get the same ids from both libraries; others go to the reference one.
 _PLAIN = re.compile(r"[\t-\r -~\xa0-ɏ]*")
+#: So do texts with a run of white space as long as this: the faster library's pattern gives up at a million.
+_RUN = 100_000
+
+
+def plain(text: str) -> bool:
+    """Whether the faster library gives the text the reference's ids."""
+    if not _PLAIN.fullmatch(text) or "<|" in text:
+        return False
+    return len(text) < _RUN or max(map(len, re.findall(r"\s\s+", text)), default=0) < _RUN
 
 
 def encoder(vocabulary: str, ranks: str):
@@ -46,7 +57,7 @@ def encoder(vocabulary: str, ranks: str):
     full = []
 
     def encode(text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) and "<|" not in text:
+        if plain(text):
             return np.array(fast.encode_ordinary(text), "<u4")
         if not full:
             full.append(Tokenizer.from_file(vocabulary))
@@ -56,17 +67,17 @@ def encoder(vocabulary: str, ranks: str):
 
 
 def _pieces(vocabulary: str, ranks: str, capacity: int):
-    schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("k", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
         encode = encoder(vocabulary, ranks)
         for batch in batches:
             rows = []
-            for k, h, text in zip(*(batch.column(c).to_pylist() for c in ("k", "h", "text")), strict=True):
+            for k, row, text in zip(*(batch.column(c).to_pylist() for c in ("k", "row", "text")), strict=True):
                 ids = np.append(encode(text), np.array([END], "<u4"))
                 cut = len(ids) % capacity or capacity
                 edges = [0, *range(min(cut, len(ids)), len(ids) + 1, capacity)]
-                rows += [(k, h, n, i, j - i, zlib.crc32(ids[i:j].tobytes())) for n, (i, j) in enumerate(zip(edges, edges[1:]))]
+                rows += [(k, row, n, i, j - i, zlib.crc32(ids[i:j].tobytes())) for n, (i, j) in enumerate(zip(edges, edges[1:]))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
@@ -100,57 +111,52 @@ def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int) -> np.nd
     fill = np.bincount(where, lengths, minlength=int(where.max(initial=-1)) + 1).astype(np.int64)
     live = np.flatnonzero(fill[where] < capacity)  # pieces of full bins stay
     size, place = lengths[live], where[live]
-    least, failed, tried = -(-int(size.sum()) // capacity), 0, set()
-    while failed < PATIENCE and np.count_nonzero(np.bincount(place, minlength=len(fill))) > least:
-        open_ = np.array([b for b in np.unique(place).tolist() if b not in tried])
-        if not len(open_):
-            break
-        low = open_[np.argmin(fill[open_])]
-        better = False
-        while True:
-            mine = np.flatnonzero(place == low)
-            if not len(mine):
+    least = -(-int(size.sum()) // capacity)
+    open_ = np.unique(place)
+    while len(open_) > least:
+        before = len(open_)
+        for low in open_[np.argsort(fill[open_], kind="stable")].tolist():
+            while _improved(low, size, place, fill, capacity):
+                pass
+            before -= fill[low] == 0
+            if before == least:
                 break
-            give = [(int(size[i]), (i,)) for i in mine] + [(int(size[i] + size[j]), (i, j)) for n, i in enumerate(mine) for j in mine[n + 1 :]]
-            best = None
-            left = capacity - fill[place]
-            other = place != low
-            for n, which in give:
-                gain = np.where(other, n - size, 0)  # for one document of another bin
-                ok = (gain > 0) & (gain <= left) & (2 * gain * (fill[place] - fill[low] + gain) > 0)
-                if ok.any():
-                    at = int(np.argmax(np.where(ok, gain * (fill[place] - fill[low] + gain), -1)))
-                    score = int(gain[at] * (fill[place[at]] - fill[low] + gain[at]))
-                    if best is None or score > best[0]:
-                        best = (score, which, at)
-                if len(which) == 1:
-                    ok = other & (left >= n) & (fill[place] + n > fill[low])
-                    if ok.any():
-                        at = int(np.argmax(np.where(ok, fill[place], -1)))
-                        score = int(n * (fill[place[at]] - fill[low] + n))
-                        if best is None or score >= best[0]:
-                            best = (score, which, ~at)
-            if best is None:
-                break
-            better = True
-            _, which, at = best
-            to = place[~at if at < 0 else at]
-            for i in which:
-                place[i] = to
-            change = int(size[list(which)].sum())
-            if at >= 0:
-                place[at] = low
-                change -= int(size[at])
-            fill[to] += change
-            fill[low] -= change
-            tried.discard(int(to))
-        if len(np.flatnonzero(place == low)):
-            tried.add(int(low))
-        failed = 0 if better else failed + 1
+        emptied, open_ = before < len(open_), np.unique(place)
+        if not emptied:
+            break
     where[live] = place
     return where
 
 
+def _improved(low: int, size: np.ndarray, place: np.ndarray, fill: np.ndarray, capacity: int) -> bool:
+    """Makes the move or exchange of one bin's pieces that raises the sum of squared fills most; False if none does."""
+    mine = np.flatnonzero(place == low)
+    give = [(int(size[i]), (i,)) for i in mine] + [(int(size[i] + size[j]), (i, j)) for n, i in enumerate(mine) for j in mine[n + 1 :]]
+    best, left, other = None, capacity - fill[place], place != low
+    for n, which in give:
+        gain = np.where(other, n - size, 0)  # for one document of another bin
+        score = np.where((gain > 0) & (gain <= left), gain * (fill[place] - fill[low] + gain), 0)
+        at = int(np.argmax(score)) if len(score) else 0
+        if len(score) and score[at] > 0 and (best is None or score[at] > best[0]):
+            best = (int(score[at]), which, at, True)
+        if len(which) == 1:
+            score = np.where(other & (left >= n), n * (fill[place] - fill[low] + n), 0)
+            at = int(np.argmax(score))
+            if score[at] > 0 and (best is None or score[at] >= best[0]):
+                best = (int(score[at]), which, at, False)
+    if best is None:
+        return False
+    _, which, at, exchange = best
+    to, change = int(place[at]), int(size[list(which)].sum())
+    place[list(which)] = to
+    if exchange:
+        place[at] = low
+        change -= int(size[at])
+    fill[to] += change
+    fill[low] -= change
+    return True
+
+
 def _packed(capacity: int):
     def run(group: pa.Table) -> pa.Table:
         lengths, number = group.column("length").to_numpy(), group.column("g").to_numpy()
@@ -160,17 +166,18 @@ def _packed(capacity: int):
         _, begin = np.unique(where[order], return_index=True)
         offset = np.zeros(len(order), np.int64)
         offset[order] = before - np.repeat(before[begin], np.diff(np.append(begin, len(order))))
-        return group.drop_columns(["g"]).append_column("sequence_id", pa.array(number * GROUP * 4 + where)).append_column("offset", pa.array(offset))
+        return group.drop_columns(["g"]).append_column("sequence_id", pa.array((number << 32) + where)).append_column("offset", pa.array(offset))
 
     return run
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = public_tokenizers.path("byte_bpe_50k.json"), ranks: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    columns = "k long, h long, piece int, start long, length long, ids_crc32 long"
-    pieces = common.staged(common.keyed(docs).mapInArrow(_pieces(vocabulary, ranks, capacity), columns), "pieces")
+    columns = "k long, row long, piece int, start long, length long, ids_crc32 long"
+    rows = common.keyed(docs).select("k", F.monotonically_increasing_id().alias("row"), "text")
+    pieces = common.staged(rows.mapInArrow(_pieces(vocabulary, ranks, capacity), columns), "pieces")  # row numbers are fixed here
     groups = max(1, -(-pieces.count() // GROUP))
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("k", "h", "piece", "start"), F.lit(groups)))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
     packed = dealt.groupBy("g").applyInArrow(_packed(capacity), f"{columns}, sequence_id long, offset long")
     return packed.select(common.doc_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
