@@ -2,23 +2,33 @@
 
 Base spans follow fixed patterns (emails, IP addresses, payment cards, phone numbers). Looser
 patterns propose more candidates: spelled-out emails, numbers grouped with other separators,
-phone numbers without a country code. Labelers vote on every candidate and base span or
-abstain: format checks, a gazetteer of domain endings and cue words, and the words before it.
-Expectation-maximisation over the corpus-wide counts of vote patterns estimates each
-labeler's reliability and each pattern's posterior; a logistic span classifier is trained on
-the posteriors of those patterns and decides which candidates are added.
+phone numbers without a country code, and secrets (credentials with a name, long hexadecimal
+strings). Labelers vote on every candidate and base span or abstain: its form, its length, the
+gazetteer (gazetteer.json: domain endings, mail hosts, reserved address blocks, card prefixes,
+calling codes), words before it, words after it, and the characters next to it.
+Expectation-maximisation over the corpus-wide counts of vote patterns estimates each labeler's
+reliability and each pattern's posterior. A logistic span classifier over hashed features of the
+span's tokens and its context, which doesn't see the votes, is trained on the posteriors of at
+most about SAMPLE spans, and decides which candidates are added.
+
+What comes to the driver is bounded: counts of vote patterns (at most 3^LABELERS times two for
+each kind) and the sample. Every pattern takes time in proportion to the text, also on runs of
+digits of any length.
 
-Only counts of vote patterns, at most 3^LABELERS times four kinds, come to the driver.
 Results: a null or empty text has no spans; base spans always stay, and added ones don't
-overlap them; rows that repeat a doc_id get a result each; other columns are ignored; an
-empty table gives an empty result.
+overlap them; secrets are no personal data and stand in columns of their own (they can overlap
+base spans); rows that repeat a doc_id get a result each; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import zlib
 from bisect import bisect_right
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -26,30 +36,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm import common
-from folioworks.llm.toxicity import logistic
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
+_NAMES = (*KINDS, "secret")
+#: Spans that the classifier is trained on, half of them base spans.
+SAMPLE = 20_000
+#: Hashed features.
+WIDTH = 1 << 12
+LABELERS = 6
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Digits with single dots in between, as long as they go.
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE = (
-    ("email", re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\s?[\[({]?\s?(?:at|AT)\s?[\])}]?\s?[A-Za-z0-9-]{1,63}(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?[A-Za-z0-9-]{2,24}){1,4}")),
-    ("email", re.compile(r"\b[A-Za-z0-9._%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{2,24}){1,4}\b")),
-    ("card", re.compile(r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9])00[1-9][0-9]{0,2}[ .-][0-9][0-9 .-]{6,14}[0-9](?![0-9])")),
+    (0, re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\s?[\[({]?\s?(?:at|AT)\s?[\])}]?\s?[A-Za-z0-9-]{1,63}(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?[A-Za-z0-9-]{2,24}){1,4}")),
+    (0, re.compile(r"\b[A-Za-z0-9._%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{2,24}){1,4}\b")),
+    (2, re.compile(r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")),
+    (3, re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")),
+    (3, re.compile(r"(?<![0-9])00[1-9][0-9]{0,2}[ .-][0-9][0-9 .-]{6,14}[0-9](?![0-9])")),
+    (SECRET, re.compile(r"(?i)\b(?:[a-z]{1,20}[_-])?(?:token|key|apikey|secret|password|passwd|pwd)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{12,512})(?![A-Za-z0-9+/_=.-])")),
+    (SECRET, re.compile(r"(?<![A-Za-z0-9])([0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")),
 )
-# Fixed lists: words that announce each kind, and common last labels of domains.
-_CUES = {
-    "email": ("email", "e-mail", "mail", "contact", "write", "correo", "courriel"),
-    "ip": ("ip", "host", "server", "address", "from", "login", "addr"),
-    "card": ("card", "visa", "mastercard", "payment", "credit", "debit", "tarjeta", "carte", "karte"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "telefon", "telefono", "telephone"),
-}
-_AGAINST = ("version", "isbn", "order", "invoice", "section", "id", "no", "ref")
-_ENDINGS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu", "us", "co")
-LABELERS = 4
+_GAZETTEER = json.loads(files(__package__).joinpath("gazetteer.json").read_text(encoding="utf-8"))
+_ENDINGS, _HOSTS, _AGAINST, _UNITS = (frozenset(_GAZETTEER[x]) for x in ("domain_endings", "mail_hosts", "against", "units"))
+_CUES = [frozenset(_GAZETTEER["cues"][k]) for k in _NAMES]
+_BLOCKS, _PREFIXES, _CODES = (tuple(_GAZETTEER[x]) for x in ("reserved_blocks", "card_prefixes", "calling_codes"))
 
 
 def luhn(digits: str) -> bool:
@@ -82,10 +95,23 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def _dotted_fours(text: str):
+    """The pattern's leftmost matches: of digits and dots as long as they go, four parts at a time; kept if all are at most 255."""
+    for m in _DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for n in range(0, len(parts) - 3, 4):
+            four = parts[n : n + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(_octet(x.lstrip("0")) for x in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """By kind as listed, then start."""
     out = [("email", i, j) for i, j in _emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_octet(part.lstrip("0")) for part in m[0].split("."))]
+    out += [("ip", i, j) for i, j in _dotted_fours(text)]
     for kind, pattern, low, high in (("card", _CARD, 13, 19), ("phone", _PHONE, 9, 15)):
         for m in pattern.finditer(text):
             digits = _digits(m[0])
@@ -94,34 +120,69 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
-    """1 for, -1 against, 0 no vote: format, gazetteer, context, neighbourhood."""
+def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The last three words before a span, and the first two after it."""
+    return re.findall(r"[\w-]+", text[max(0, start - 40) : start].lower())[-3:], re.findall(r"[\w%-]+", text[end : end + 30].lower())[:2]
+
+
+def votes(kind: int, text: str, start: int, end: int) -> tuple[int, ...]:
+    """1 for, -1 against, 0 no vote: form, length, gazetteer, words before, words after, characters next to it."""
     span = text[start:end]
-    digits = _digits(span)
-    before = re.findall(r"[\w-]+", text[max(0, start - 40) : start].lower())[-3:]
-    if kind == "email":
+    digits = _digits(span[:64])
+    before, after = _around(text, start, end)
+    if kind == 0:
         parts = re.split(r"@|\bat\b|\bAT\b", span)
         form = 1 if len(parts) == 2 and all(p.strip(" []{}()") for p in parts) else -1
-        ending = re.split(r"\.|dot|DOT", span)[-1].strip(" ])}").lower()
-        known = 1 if ending in _ENDINGS else 0
-    elif kind == "ip":
-        form = 1 if len(span.split(".")) == 4 and not any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else -1
-        known = -1 if span.startswith(("0.", "127.")) else 0
-    elif kind == "card":
+        labels = [x.strip(" []{}()").lower() for x in re.split(r"[@.]|\b(?:at|AT|dot|DOT)\b", span)]
+        size = 1 if 6 <= len(span) <= 100 else -1
+        known = 1 if labels[-1] in _ENDINGS else 0
+        known = max(known, int(any(x in _HOSTS for x in labels[1:-1])))
+    elif kind == 1:
+        form = 1 if not any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else -1
+        size = 1 if 9 <= len(span) <= 15 else 0
+        known = -1 if any(span == x or span.startswith(f"{x}.") for x in _BLOCKS) else 0
+    elif kind == 2:
         form = 1 if luhn(digits) else -1
-        known = 1 if digits[:1] in ("3", "4", "5", "6") else -1
-    else:
+        size = 1 if len(digits) in (15, 16) else -1
+        known = 1 if digits.startswith(_PREFIXES) else -1
+    elif kind == 3:
         form = 1 if 9 <= len(digits) <= 15 else -1
-        known = 1 if digits[-10:-9] not in ("0", "1") else -1
+        size = 1 if 10 <= len(digits) <= 13 else 0
+        bare = digits.removeprefix("00")
+        known = (1 if bare.startswith(_CODES) else -1) if span[0] == "+" or len(bare) < len(digits) else (1 if digits[:1] not in ("0", "1") else -1)
+    else:
+        kinds = sum(bool(re.search(x, span)) for x in ("[a-z]", "[A-Z]", "[0-9]"))
+        form = 1 if kinds >= 2 and len(set(span)) >= 8 else -1
+        size = 1 if 20 <= len(span) <= 128 else 0
+        known = 1 if re.search(r"[:=]\s*[\"']?$", text[max(0, start - 6) : start]) else -1
     cue = 1 if any(w in _CUES[kind] for w in before) else -1 if any(w in _AGAINST for w in before) else 0
+    tail = -1 if any(w in _UNITS for w in after) else 0
     left, right = text[max(0, start - 1) : start], text[end : end + 1]
-    apart = -1 if left.isalnum() or right.isalnum() or left in ("/", "=", "_") else 1
-    return form, known, cue, apart
+    apart = -1 if left.isalnum() or right.isalnum() or left in ("/", "_") or kind != SECRET and left == "=" else 1
+    return form, size, known, cue, tail, apart
 
 
-def _number(kind: str, vote: tuple[int, ...], base: bool) -> int:
+_RUNS = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[^0-9A-Za-z]")
+
+
+def features(kind: int, text: str, start: int, end: int) -> list[int]:
+    """Hashed features of a span's tokens and context."""
+    span = text[start : min(end, start + 256)]
+    before, after = _around(text, start, end)
+    shape = "".join("9" if x[0].isdigit() else "a" if x[0].islower() else "A" if x[0].isupper() else x for x in _RUNS.findall(span))
+    digits = _digits(span)
+    left, right = text[max(0, start - 1) : start], text[end : end + 1]
+    said = [
+        "any", f"shape {shape[:24]}", f"size {(end - start) // 4}", f"digits {len(digits)}", f"first {digits[:2]}", f"last {re.split(r'[^A-Za-z0-9]+', span.lower())[-1][-6:]}",
+        f"luhn {luhn(digits) if len(digits) < 20 else None}", f"left {'a' if left.isalpha() else '9' if left.isdigit() else left}", f"right {'a' if right.isalpha() else '9' if right.isdigit() else right}",
+        *(f"before {w}" for w in before), *(f"after {w}" for w in after),
+    ]
+    return [zlib.crc32(f"{kind} {x}".encode()) % WIDTH for x in said]
+
+
+def _number(kind: int, vote: tuple[int, ...], base: bool) -> int:
     """A vote pattern as one number."""
-    out = KINDS.index(kind) * 2 + base
+    out = kind * 2 + base
     for v in vote:
         out = out * 3 + v + 1
     return out
@@ -135,25 +196,39 @@ def _pattern(number: int) -> tuple[int, bool, list[int]]:
     return number // 2, bool(number % 2), vote[::-1]
 
 
+def candidates(text: str) -> list[tuple[int, int, int, bool]]:
+    """(kind, start, end, base) of the base spans and of what the loose patterns find apart from them."""
+    out = [(KINDS.index(k), i, j, True) for k, i, j in base_spans(text)] if re.search(r"[0-9@]", text) else []
+    taken = sorted((i, j) for _, i, j, _ in out)
+    spoken, secret = re.search(r"\b(?:dot|DOT)\b", text), set()
+    for kind, pattern in _LOOSE:
+        if kind == 0 and not spoken:
+            continue
+        if kind == SECRET:
+            secret.update(m.span(1) for m in pattern.finditer(text))
+            continue
+        starts, ends = [i for i, _ in taken], [j for _, j in taken]
+        # taken spans of different kinds can overlap: the latest end so far tells whether one reaches in
+        reach = np.maximum.accumulate(np.array(ends)).tolist() if ends else []
+        new = []
+        for m in pattern.finditer(text):
+            n = bisect_right(starts, m.end() - 1)
+            if not n or reach[n - 1] <= m.start():
+                new.append(m.span())
+        out += ((kind, i, j, False) for i, j in new)
+        taken = sorted(taken + new)
+    return out + [(SECRET, i, j, False) for i, j in sorted(secret)]
+
+
+_SPANS = "array<struct<kind:int,start:int,end:int,pattern:int,features:array<int>>>"
+
+
 def _spans(batches):
-    kind = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32())])
+    kind = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32()), ("features", pa.list_(pa.int32()))])
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
-            rows = []
-            base = base_spans(text) if re.search(r"[0-9@]", text) else []
-            for k, i, j in base:
-                rows.append({"kind": KINDS.index(k), "start": i, "end": j, "pattern": _number(k, votes(k, text, i, j), True)})
-            taken = sorted((i, j) for _, i, j in base)
-            for k, pattern in _LOOSE:
-                if k == "email" and not re.search(r"\b(?:dot|DOT)\b", text):
-                    continue
-                for m in pattern.finditer(text):
-                    at = bisect_right(taken, (m.end() - 1, len(text)))
-                    if not any(i < m.end() and m.start() < j for i, j in taken[max(0, at - 4) : at]):
-                        taken.insert(bisect_right(taken, m.span()), m.span())
-                        rows.append({"kind": KINDS.index(k), "start": m.start(), "end": m.end(), "pattern": _number(k, votes(k, text, *m.span()), False)})
-            out.append(rows)
+            out.append([{"kind": k, "start": i, "end": j, "pattern": _number(k, votes(k, text, i, j), base), "features": features(k, text, i, j)} for k, i, j, base in candidates(text)])
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(out, pa.list_(kind))], ["k", "h", "spans"])
 
 
@@ -175,52 +250,73 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
     return post, like
 
 
-def _inputs(patterns: list[tuple[int, bool, list[int]]]) -> np.ndarray:
-    return np.array([[1.0, *(float(v == s) for v in vote for s in (-1, 1)), *(float(kind == k) for k in range(len(KINDS)))] for kind, _, vote in patterns])
-
-
-def classifier(counts: dict[int, int]) -> dict[int, float]:
-    """The probability that each vote pattern is personal data, by a classifier trained on the posteriors."""
+def posteriors(counts: dict[int, int]) -> dict[int, float]:
+    """Of each vote pattern, by its number: the probability of personal data; base spans are known to be right."""
     if not counts:
         return {}
     numbers = sorted(counts)
     patterns = [_pattern(n) for n in numbers]
-    weight = np.array([counts[n] for n in numbers], float)
-    post, _ = reliabilities(np.array([p[2] for p in patterns]), weight)
-    post = np.where([p[1] for p in patterns], np.maximum(post, 0.9), post)  # base spans are known to be right
-    x = _inputs(patterns)
-    # both outcomes of each pattern, weighted by its posterior
-    share = np.sqrt(weight)
-    both = np.concatenate([x, x]) * 1.0
-    y = np.concatenate([np.ones(len(x)), np.zeros(len(x))])
-    w = np.concatenate([share * post, share * (1 - post)])
-    times = np.maximum(1, np.round(20 * w / max(w.max(), 1e-9))).astype(int) * (w > 1e-3)
-    fit = logistic(np.repeat(both, times, 0), np.repeat(y, times))
-    return dict(zip(numbers, (1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))).tolist(), strict=True))
-
-
-def _reported(accept: dict[int, float], least: float):
+    post, _ = reliabilities(np.array([p[2] for p in patterns]), np.array([counts[n] for n in numbers], float))
+    post = np.where([p[1] for p in patterns], np.maximum(post, 0.9), post)
+    return dict(zip(numbers, post.tolist(), strict=True))
+
+
+def fitted(rows: list[list[int]], target: np.ndarray, steps: int = 300, ridge: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic regression of probabilities on hashed features, by Adam steps."""
+    weights = np.zeros(WIDTH)
+    if not rows:
+        return weights
+    at, row = np.concatenate([np.array(x) for x in rows]), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    one, two = np.zeros(WIDTH), np.zeros(WIDTH)
+    for step in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[at], len(rows)), -30, 30)))
+        slope = np.bincount(at, (p - target)[row], WIDTH) / len(rows) + ridge * weights
+        one, two = 0.9 * one + 0.1 * slope, 0.999 * two + 0.001 * slope * slope
+        weights -= 0.1 * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.999**step)) + 1e-8)
+    return weights
+
+
+def _reported(weights: np.ndarray, least: float):
+    def accepted(span) -> bool:
+        return 1 / (1 + np.exp(-np.clip(weights[span["features"]].sum(), -30, 30))) >= least
+
+    def joined(spans) -> str:
+        return ",".join(f"{_NAMES[a]}:{b}:{c}" for a, b, c in sorted(spans))
+
+    schema = pa.schema([("k", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_secret", pa.int64()), ("secrets", pa.string()), ("n_found", pa.int64())])
+
     def run(batches):
         for batch in batches:
-            out = {c: [] for c in ("k", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
+            out = []
             for k, rows in zip(batch.column("k").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                base = [(r["kind"], r["start"], r["end"]) for r in rows if _pattern(r["pattern"])[1]]
-                more = [(r["kind"], r["start"], r["end"]) for r in rows if not _pattern(r["pattern"])[1] and accept.get(r["pattern"], 0) >= least]
-                text = [",".join(f"{KINDS[a]}:{b}:{c}" for a, b, c in sorted(x)) for x in (base, base + more)]
+                base, more = [], []
+                for r in rows:
+                    mine = _pattern(r["pattern"])[1]
+                    if mine or accepted(r):
+                        (base if mine else more).append((r["kind"], r["start"], r["end"]))
+                secrets, more = [x for x in more if x[0] == SECRET], [x for x in more if x[0] != SECRET]
                 number = [sum(a == i for a, _, _ in base) for i in range(len(KINDS))]
-                for c, v in zip(out, (k, *number, hashlib.sha256(text[0].encode()).hexdigest(), text[1]), strict=True):
-                    out[c].append(v)
-            types = [pa.int64()] * 5 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+                out.append((k, *number, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(secrets), joined(secrets), len(base) + len(more) + len(secrets)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
 
 
-def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all)."""
-    found = common.staged(common.keyed(docs).mapInArrow(_spans, "k long, h long, spans array<struct<kind:int,start:int,end:int,pattern:int>>"), "pii")
-    counts = dict(found.select(F.explode("spans.pattern").alias("p")).groupBy("p").count().collect())  # a bounded number of patterns
-    out = found.mapInArrow(_reported(classifier(counts), least), "k long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+def personal_data(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_secret, secrets, n_found (all)."""
+    found = common.staged(common.keyed(docs).mapInArrow(_spans, f"k long, h long, spans {_SPANS}"), "pii")
+    one = found.select("k", "h", F.explode("spans").alias("s"))
+    counts = dict(one.groupBy("s.pattern").count().collect())  # a bounded number of patterns
+    post = posteriors(counts)
+    # base spans and candidates by a hash of the span, each at a rate that gives half of the sample
+    base = F.floor(F.col("s.pattern") / 3**LABELERS) % 2 == 1
+    total = [sum(c for n, c in counts.items() if _pattern(n)[1] == kind) for kind in (False, True)]
+    rate = [sample / 2 / max(1, x) for x in total]
+    mine = F.pmod(F.xxhash64("k", "h", "s.start", "s.kind"), F.lit(1 << 40)) / float(1 << 40)
+    rows = one.where(mine < F.when(base, rate[1]).otherwise(rate[0])).select("s.pattern", "s.features").collect()
+    weights = fitted([r["features"] for r in rows], np.array([post[r["pattern"]] for r in rows]))
+    columns = "k long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, secrets string, n_found long"
+    out = found.mapInArrow(_reported(weights, least), columns)
     return out.select(common.doc_id(), *out.columns[1:])
 
 

@@ -233,6 +233,63 @@ def test_emails_match_the_pattern():
         assert list(pii._emails(text)) == [m.span() for m in EMAIL.finditer(text)]
 
 
+CONTRACT = {
+    "email": EMAIL, "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def contract_spans(text):
+    """Base spans by the plain patterns."""
+    out = []
+    for n, (kind, pattern) in enumerate(CONTRACT.items()):
+        for m in pattern.finditer(text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            twice = [sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(digits[::-1])]
+            fits = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda m: 13 <= len(digits) <= 19 and sum(twice) % 10 == 0, "phone": lambda m: 9 <= len(digits) <= 15}  # noqa: B023
+            if fits[kind](m):
+                out.append((n, m.start(), m.end()))
+    return sorted(out)
+
+
+def test_base_spans_match_the_patterns(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(1500):
+        alphabet = ["1.2 3", "0123456789.", "4512 -", "+123 ().-", "ab@.1-+ é", "0.0.25512"][int(rng.integers(6))]
+        texts.append("".join(rng.choice(list(alphabet), int(rng.integers(1, 60))).tolist()))
+    texts += ["4111 1111 1111 1111", "1.2.3.4.5.6.7.8", "1.2.3.4.256.6.7.8.9", "001.002.003.004", "+1 (988) 555-2485+49 30 1234567", None, ""]
+    for text in filter(None, texts):
+        assert sorted((pii.KINDS.index(k), i, j) for k, i, j in pii.base_spans(text)) == contract_spans(text)
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[3]), (None, texts[4])]
+    docs = spark.createDataFrame([(d, t, "clash", 1) for d, t in rows], "doc_id long, text string, spans string, k int")
+    got = Counter((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.personal_data(docs).collect())
+    expected = Counter()
+    for d, t in rows:
+        spans = contract_spans(t or "")
+        digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{i}:{j}" for k, i, j in spans).encode()).hexdigest()
+        expected[d, *(sum(k == n for k, _, _ in spans) for n in range(4)), digest] += 1
+    assert got == expected
+    assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for text in ("1" * 2_000_000, "1." * 1_000_000, "1 " * 1_000_000, "+" + "1 " * 1_000_000, "a" * 2_000_000, "a." * 1_000_000 + " dot", "@" * 1_000_000, "0.0.0." * 300_000, "key=" * 300_000, "f" * 2_000_000):
+        began = time.process_time()
+        pii.candidates(text)
+        assert time.process_time() - began < 15
+
+
+def test_secrets(spark):
+    hexes = [hashlib.sha1(bytes([i])).hexdigest() for i in range(80)]
+    rows = [(i, f'words before token = "{x}" words after, x{i}.3@mail7.example.com and 97.51.17.{i}') for i, x in enumerate(hexes)] + [(100, "a word that is long: " + "abcdefghij" * 3), (101, "token = yes"), (None, None)]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_secret"] == 1 and rows[i][1][slice(*map(int, got[i]["secrets"].split(":")[1:]))] == x and "secret" not in got[i]["spans"] and got[i]["n_found"] >= 3 for i, x in enumerate(hexes))
+    assert [got[d]["n_found"] for d in (100, 101, None)] == [0, 0, 0]
+
+
 def test_personal_data(spark):
     rows = [
         (1, "a@b.co 10.0.0.1 999.1.1.1. 4111 1111 1111 1111. +1 (988) 555-2485"), (2, None), (None, ""), (3, "4111111111111112"), (4, "1" * 50000),
