@@ -1,16 +1,24 @@
 """Op 2, homomorphic multiset fingerprints of documents; DataFrame operations only.
 
-A text is the multiset of its paragraphs' sentences (cut after line ends and full stops).
-Every element is hashed to a wide vector; a document's fingerprint is the sum of its
-elements' vectors, coordinate by coordinate modulo a power of two: uniform coordinates
-modulo 2^32, by which equal multisets are told, and counters modulo 2^20, three to a sum,
-that each element raises by 0 or 1; their differences estimate how much two multisets share.
-Order doesn't matter; `inserted` and `deleted` update a fingerprint without the whole text.
+A text is the multiset of its paragraphs (what stands between line feeds, each with the line
+feed that closes it). Every paragraph is hashed to a wide vector; a document's fingerprint is
+the sum of its paragraphs' vectors, coordinate by coordinate modulo 2^32. A vector's first
+coordinates are uniform, by which equal multisets are told. The others count: each of the
+paragraph's sentences (cut after full stops) raises each counter by 0 or 1; the counters'
+differences estimate how much two texts share, also where a change lies inside a paragraph.
+The paragraphs' order doesn't matter; `inserted` and `deleted` update a fingerprint without
+the whole text.
+
+The next document is looked up in ranges of consecutive keys. Their bounds come from a sample
+of the keys with the text's hash and the row's number, so they are even whatever the ids are,
+null and repeated ids and equal rows too; numbers and ranges are fixed in a staged table before
+anything depends on them. The first row of each range is also a guest of the range before it.
 
 Results: null and empty texts have the fingerprint of zeros and are alike by 1; rows that
 repeat a doc_id are documents of their own, ordered by a hash of their texts; the next of a
 single document is itself; other columns are ignored; an empty table gives an empty result.
-Texts are taken whole; likeness is undefined between texts of over a million sentences.
+Texts are taken whole; a text of 2^32 sentences or more, of which a counter would begin anew,
+is longer than a string can be.
 """
 
 from __future__ import annotations
@@ -22,80 +30,96 @@ from folioworks.llm import common
 
 #: Hashes of which each gives two uniform coordinates.
 EXACT = 4
-#: Sums of three counters each; a hash serves 20.
-PACKED = 42
-#: Documents of one slice, within which the next document is looked up.
-SLICE = 1000
-_LOW32, _LOW20 = 2**32 - 1, 2**20 - 1
-_FIELDS = 1 | 1 << 20 | 1 << 40
+#: Sums of two counters each; a hash serves 32.
+PACKED = 63
+#: Documents of one range, within which the next document is looked up, and the most ranges: their first rows are broadcast.
+SLICE, MOST_SLICES = 1000, 8192
+_LOW32 = 2**32 - 1
+_FIELDS = 1 | 1 << 32
+
+
+def paragraphs(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?<=\n)", -1), lambda x: x != "")
+
+
+def sentences(paragraph: Column) -> Column:
+    return F.filter(F.split(paragraph, r"(?<=[.])(?!\n)", -1), lambda x: x != "")
 
 
 def elements(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?<=[\n.])", -1), lambda x: x != "")
+    """A text's sentences (s); the first of each paragraph has the whole paragraph (p) with it."""
+    each = F.transform(paragraphs(text), lambda p: F.transform(sentences(p), lambda s, i: F.struct(s.alias("s"), F.when(i == 0, p).alias("p"))))
+    return F.flatten(each)
 
 
 def vector(element: Column) -> list[Column]:
-    """One element's coordinates, to be summed over a text's elements."""
+    """What an element adds to each coordinate: its paragraph's uniform ones, its own to the counters."""
     out = []
     for i in range(EXACT):
-        h = F.xxhash64(F.lit(i), element)
-        out += [h.bitwiseAND(F.lit(_LOW32)), F.shiftrightunsigned(h, 32)]
+        h = F.xxhash64(F.lit(i), element["p"])
+        out += [F.when(element["p"].isNotNull(), x).otherwise(0) for x in (h.bitwiseAND(F.lit(_LOW32)), F.shiftrightunsigned(h, 32))]
     for i in range(PACKED):
-        out.append(F.shiftright(F.xxhash64(F.lit(EXACT + i // 20), element), i % 20).bitwiseAND(F.lit(_FIELDS)))
+        out.append(F.shiftrightunsigned(F.xxhash64(F.lit(EXACT + i // 32), element["s"]), i % 32).bitwiseAND(F.lit(_FIELDS)))
     return out
 
 
+def _both(x: Column, y: Column, sign: int) -> Column:
+    """x plus or minus y in each half by itself, modulo 2^32."""
+    low = (x.bitwiseAND(F.lit(_LOW32)) + sign * y.bitwiseAND(F.lit(_LOW32))).bitwiseAND(F.lit(_LOW32))
+    high = F.shiftrightunsigned(x, 32) + sign * F.shiftrightunsigned(y, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
 def _reduced(v: Column) -> Column:
-    """The coordinates modulo their powers; the packed counters are read modulo theirs."""
+    """The uniform coordinates modulo 2^32."""
     return F.transform(v, lambda x, i: F.when(i < 2 * EXACT, x.bitwiseAND(F.lit(_LOW32))).otherwise(x))
 
 
 def inserted(fingerprint: Column, other: Column) -> Column:
     """The fingerprint vector of both multisets together."""
-    return _reduced(F.zip_with(fingerprint, other, lambda x, y: x + y))
+    return _reduced(F.zip_with(fingerprint, other, lambda x, y: _both(x, y, 1)))
 
 
 def deleted(fingerprint: Column, other: Column) -> Column:
     """The fingerprint vector without the other's elements, which it must hold."""
-    return _reduced(F.zip_with(fingerprint, other, lambda x, y: x - y))
+    return _reduced(F.zip_with(fingerprint, other, lambda x, y: _both(x, y, -1)))
 
 
 def text_of(v: Column) -> Column:
-    return F.array_join(F.transform(v, lambda x, i: F.when(i < 2 * EXACT, F.lpad(F.lower(F.hex(x)), 8, "0")).otherwise(F.lpad(F.lower(F.hex(x)), 15, "0"))), "")
+    return F.array_join(F.transform(v, lambda x, i: F.when(i < 2 * EXACT, F.lpad(F.lower(F.hex(x)), 8, "0")).otherwise(F.lpad(F.lower(F.hex(x)), 16, "0"))), "")
 
 
 def likeness(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
-    """Estimated Jaccard similarity of multisets of n_a and n_b elements.
+    """Estimated Jaccard similarity of multisets of n_a and n_b sentences.
 
     Twice a counters' difference, less the difference of the sizes, is a sum of one random
     sign for each element that only one multiset has; its mean square is their number.
     """
 
     def counters(v: Column) -> Column:
-        return F.flatten(F.transform(F.slice(v, 2 * EXACT + 1, PACKED), lambda x: F.array(*(F.shiftright(x, s).bitwiseAND(F.lit(_LOW20)) for s in (0, 20, 40)))))
+        return F.flatten(F.transform(F.slice(v, 2 * EXACT + 1, PACKED), lambda x: F.array(x.bitwiseAND(F.lit(_LOW32)), F.shiftrightunsigned(x, 32))))
 
     squares = F.aggregate(F.zip_with(counters(a), counters(b), lambda x, y: F.pow((2 * (x - y) - (n_a - n_b)).cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
-    apart, total = squares / (3 * PACKED), n_a + n_b
+    apart, total = squares / (2 * PACKED), n_a + n_b
     return F.when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (total - apart) / (total + apart))))
 
 
-def _sliced(base: DataFrame) -> DataFrame:
-    """base with `slice`, of about SLICE consecutive keys, and in each slice a guest: the first row of the slice that follows in descending order."""
-    real = F.col("k") != common.NULL_KEY
-    low, high, count = base.agg(F.min(F.when(real, F.col("k"))), F.max("k"), F.count("*")).first()
-    width = max(1.0, (high - low + 1) * SLICE / count) if low is not None else 1.0
-    number = F.when(real, F.floor((F.col("k").cast("double") - float(low or 0)) / width)).otherwise(-1)
-    base = base.withColumn("slice", number.cast("long"))
-    heads = base.groupBy("slice").agg(F.max(F.struct("k", "h", "text")).alias("head"))
-    # one row for each slice: to the next higher one; the highest slice's first row follows all
-    to = F.coalesce(F.lead("slice").over(Window.orderBy("slice")), F.min("slice").over(Window.partitionBy()))
-    guests = heads.withColumn("slice", to).select("head.k", "head.h", "head.text", "slice", F.lit(True).alias("guest"))
-    return base.withColumn("guest", F.lit(False)).unionByName(guests)
+def _sliced(docs: DataFrame) -> DataFrame:
+    """Rows with `slice`, a range of about SLICE consecutive keys, and in each slice a guest: the first row of the slice that follows in descending order."""
+    rows = common.keyed(docs).withColumn("copy", F.monotonically_increasing_id())
+    slices = min(MOST_SLICES, max(1, docs.count() // SLICE))
+    rows = common.staged(rows.repartitionByRange(slices, F.desc("k"), F.desc("h"), "copy").withColumn("slice", F.spark_partition_id()), "ranges")
+    heads = rows.groupBy("slice").agg(F.max(F.struct("k", "h", (-F.col("copy")).alias("copy"))).alias("head"))
+    # one row without a text for each slice: to the one before; the first slice's row follows all
+    to = F.coalesce(F.lag("slice").over(Window.orderBy("slice")), F.max("slice").over(Window.partitionBy()))
+    heads = heads.select((-F.col("head.copy")).alias("copy"), to.alias("to"))
+    guests = rows.join(F.broadcast(heads), "copy").select(F.col("to").alias("slice"), *(c for c in rows.columns if c != "slice"), F.lit(True).alias("guest"))
+    return rows.withColumn("guest", F.lit(False)).unionByName(guests)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = _sliced(common.keyed(docs)).repartition("slice").withColumn("copy", F.monotonically_increasing_id())
+    rows = _sliced(docs)
     order = Window.partitionBy("slice").orderBy("guest", F.desc("k"), F.desc("h"), "copy")
     chars = F.length("text")
     third = F.floor(chars / 3).cast("int")
@@ -105,9 +129,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     key = ["slice", "guest", "k", "h", "copy"]
     both = rows.select(*key, "chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("of")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("of")))).alias("e"))
     parts = both.select(*key, "chars", "edited_sha256", "e.kind", F.explode_outer(elements(F.col("e.of"))).alias("element"))
-    found = F.col("element").isNotNull()
+    found = F.col("element.s").isNotNull()
     sums = [F.sum(F.when(found, v).otherwise(0)).alias(f"v{i}") for i, v in enumerate(vector(F.col("element")))]
-    summed = parts.groupBy(*key, "chars", "edited_sha256", "kind").agg(F.count("element").alias("n"), *sums)
+    summed = parts.groupBy(*key, "chars", "edited_sha256", "kind").agg(F.count("element.s").alias("n"), *sums)
     width = 2 * EXACT + PACKED
     summed = summed.select(*key, "chars", "edited_sha256", "kind", F.struct(F.col("n"), _reduced(F.array(*(F.col(f"v{i}") for i in range(width)))).alias("v")).alias("f"))
     one = summed.groupBy(*key, "chars", "edited_sha256").agg(*(F.max(F.when(F.col("kind") == i, F.col("f"))).alias(c) for i, c in enumerate(("own", "changed"))))

@@ -46,6 +46,45 @@ def test_fingerprints_add_up(spark):
     assert r["x"] == r["y"] and r["z"] == r["w"]
 
 
+def test_fingerprints_wrap(spark):
+    full, one = (1 << 32) - 1, 1 | 1 << 32
+    uniform = [0] * (2 * fingerprints.EXACT - 1)
+    v = spark.createDataFrame([([full, *uniform, -1], [1, *uniform, one], [0, *uniform, 0])], "a array<long>, b array<long>, none array<long>")
+    r = v.select(fingerprints.inserted(F.col("a"), F.col("b")).alias("x"), fingerprints.deleted(F.col("none"), F.col("b")).alias("y")).first()
+    assert (r["x"][0], r["x"][-1], r["y"][0], r["y"][-1]) == (0, 0, full, -1)
+
+
+def test_likeness_estimates_the_share_of_sentences(spark):
+    rng = np.random.default_rng(3)
+    sentence = [" ".join(rng.choice(list("abcdefgh"), 6)) + f" {i}." for i in range(400)]
+    texts, true = [], []
+    for d in range(40):
+        start = int(rng.integers(0, 200))
+        texts.append(" ".join(sentence[start : start + 150]).replace(". ", ".\n" if d % 2 else ". "))
+        true.append(set(range(start, start + 150)))
+    # sentences are cut with what stands before them, so only documents of one style are compared
+    rows = [(2 * d, texts[2 * d], 0) for d in range(20)]
+    got = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, copy int")).collect()}
+    for d in range(0, 38, 2):
+        both = len(true[d] & true[d + 2]) / len(true[d] | true[d + 2])
+        assert abs(got[d + 2] - both) < 0.3 and (both > 0.05 or got[d + 2] < 0.3)
+
+
+def test_next_documents_of_skewed_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SLICE", 100)
+    rows = [(i, f"text {i} " * (i % 5)) for i in range(1000)] + [(2**61, "far away, a single document")] + [(None, "the same text")] * 900 + [(None, f"null {i} x") for i in range(300)] + [(5, "again")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    sizes = fingerprints._sliced(df).where("not guest").groupBy("slice").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 400 and sizes[1] > 10
+    key = df.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text").collect()
+    key = sorted(key, key=lambda r: (-r["k"], -r["h"]))
+    expected = Counter()
+    for r, following in zip(key, [*key[1:], key[0]]):
+        third = len(r["text"]) // 3
+        expected[r["doc_id"], len(r["text"]), hashlib.sha256((r["text"][: len(r["text"]) - third] + following["text"][:third]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.fingerprints(df).collect()) == expected
+
+
 def test_sharding(spark):
     df = fx.docs(spark, n=300)
     got = sharding.shard(df, 4).collect()
