@@ -13,6 +13,11 @@ Symbols that two documents share reveal the spans of windows that can repeat; th
 verified, first whole spans by a name of all their words, then, where spans of one symbol
 differ, their windows; with the symbol's name a span or window is told by 128 bits.
 
+A name that very many documents share is no hot group: minimums are aggregated before they are
+exchanged, kept only where two documents have the span, and staged, so that they are joined back
+to the spans as any skewed join is, whose large side is split. A document's shared names are
+gathered by a hash of its row, so rows of a null or repeated doc_id stay apart.
+
 Results: a null or empty text has no words; a document with fewer than n words loses none;
 equal rows (also of one doc_id) get equal results, and a window of the same doc_id doesn't
 count as earlier; other columns are ignored; an empty table gives an empty result.
@@ -123,7 +128,7 @@ def _blocks(batch: pa.RecordBatch):
 def _holders(n: int, rounds: int):
     def run(batches):
         for batch in batches:
-            key = batch.column("k").to_numpy()
+            key = batch.column("owner").to_numpy()
             for b, w, h in _blocks(batch):
                 at, name = holders(h, w.first, n, rounds)
                 row = np.searchsorted(w.first, at, "right") - 1
@@ -131,7 +136,7 @@ def _holders(n: int, rounds: int):
                 fresh = np.ones(len(at), bool)
                 fresh[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
                 name, row = name[fresh], row[fresh]
-                yield pa.RecordBatch.from_arrays([tk.longs(name), pa.array(key[b.rows][row])], ["name", "k"])
+                yield pa.RecordBatch.from_arrays([tk.longs(name), pa.array(key[b.rows][row])], ["name", "owner"])
 
     return run
 
@@ -198,22 +203,24 @@ def _cut(n: int):
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by a space)."""
-    base = common.keyed(docs)
-    symbols = base.select("k", "text").mapInArrow(_holders(window, rounds), "name long, k long")
-    shared = symbols.groupBy("name").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("name")
-    names = symbols.join(shared, "name").groupBy("k").agg(F.collect_set("name").alias("names"))
-    spans = base.join(names, "k").mapInArrow(_spans(window, rounds), "name long, span long, k long, h long, at int, size int, windows array<long>")
+    base = common.keyed(docs).withColumn("owner", F.xxhash64("k", "h"))
+    symbols = base.select("owner", "text").mapInArrow(_holders(window, rounds), "name long, owner long")
+    shared = symbols.groupBy("name").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("name")
+    names = symbols.join(shared, "name").groupBy("owner").agg(F.collect_set("name").alias("names"))
+    spans = base.join(names, "owner").mapInArrow(_spans(window, rounds), "name long, span long, k long, h long, at int, size int, windows array<long>")
     spans = common.staged(spans, "spans")
     # a span that an earlier document has whole
-    earliest = spans.groupBy("name", "span").agg(F.min("k").alias("earliest"))
-    seen = spans.select("name", "span", "k", "h", "at", "size").join(earliest, ["name", "span"])
-    whole = seen.where("earliest < k").select("k", "h", "at", "size")
+    earliest = spans.groupBy("name", "span").agg(F.min("k").alias("earliest"), F.max("k").alias("latest")).where("earliest < latest").drop("latest")
+    earliest = common.staged(earliest, "earliest")
+    whole = spans.select("name", "span", "k", "h", "at", "size").join(earliest, ["name", "span"]).where("earliest < k").select("k", "h", "at", "size")
     # the first of each span can still have single windows in other, earlier spans of its holder
-    several = earliest.groupBy("name").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a < b").select("name")
-    first = spans.join(earliest, ["name", "span"]).where("earliest = k").join(several, "name")
+    several = spans.groupBy("name").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a < b").select("name")
+    several = common.staged(several, "several")
+    first = spans.join(several, "name").join(earliest, ["name", "span"], "left").where("earliest is null or earliest = k")
     single = first.select("name", "k", "h", F.posexplode("windows").alias("step", "window"), "at").select("name", "window", "k", "h", (F.col("at") + F.col("step")).alias("at"))
     single = common.staged(single, "windows")
-    before = single.groupBy("name", "window").agg(F.min("k").alias("earliest"))
+    before = single.groupBy("name", "window").agg(F.min("k").alias("earliest"), F.max("k").alias("latest")).where("earliest < latest").drop("latest")
+    before = common.staged(before, "before")
     parts = single.join(before, ["name", "window"]).where("earliest < k").select("k", "h", "at", F.lit(1).alias("size"))
     drop = whole.union(parts).groupBy("k", "h").agg(F.collect_list(F.struct("at", "size")).alias("drop"))
     return base.join(drop, ["k", "h"], "left").select("k", "text", "drop").mapInArrow(_cut(window), "k long, n_words long, n_removed long, kept_sha256 string, kept_text string").select(common.doc_id(), "n_words", "n_removed", "kept_sha256", "kept_text")
