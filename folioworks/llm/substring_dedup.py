@@ -207,6 +207,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     symbols = base.select("owner", "text").mapInArrow(_holders(window, rounds), "name long, owner long")
     shared = symbols.groupBy("name").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("name")
     names = symbols.join(shared, "name").groupBy("owner").agg(F.collect_set("name").alias("names"))
+    names = common.staged(names, "names")
     spans = base.join(names, "owner").mapInArrow(_spans(window, rounds), "name long, span long, k long, h long, at int, size int, windows array<long>")
     spans = common.staged(spans, "spans")
     # a span that an earlier document has whole
@@ -222,7 +223,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     before = single.groupBy("name", "window").agg(F.min("k").alias("earliest"), F.max("k").alias("latest")).where("earliest < latest").drop("latest")
     before = common.staged(before, "before")
     parts = single.join(before, ["name", "window"]).where("earliest < k").select("k", "h", "at", F.lit(1).alias("size"))
-    drop = whole.union(parts).groupBy("k", "h").agg(F.collect_list(F.struct("at", "size")).alias("drop"))
+    drop = common.staged(whole.union(parts), "drop").groupBy("k", "h").agg(F.collect_list(F.struct("at", "size")).alias("drop"))
     return base.join(drop, ["k", "h"], "left").select("k", "text", "drop").mapInArrow(_cut(window), "k long, n_words long, n_removed long, kept_sha256 string, kept_text string").select(common.doc_id(), "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
