@@ -7,11 +7,14 @@ and a neighbour that clean documents have as readily are exceptions and silence
 Aho-Corasick automaton finds them all in one pass; the weights found, and their sum
 normalised by the text's length, go through a logistic curve fitted to the same documents.
 
-Training takes at most TRAINING labelled rows, chosen by a hash of doc_id; rows whose
-crc32(doc_id as text) mod 4 is 2 are held out. Labels, lang, source and doc_id are no inputs
-of a score. Results: null and empty texts get the score of no match; a label of a doc_id
-that repeats counts by its largest; rows that repeat a doc_id are scored each; other columns
-are ignored; an empty table gives an empty result; without labels of both kinds, scores are 0.
+Training takes about TRAINING labelled documents at most, chosen by a hash of doc_id at a rate
+that their count gives, one text of each doc_id; rows whose crc32(doc_id as text) mod 4 is 2
+are held out. All entries and exceptions that meet the thresholds below are used; their number
+is bounded by the training documents. Labels, lang, source and doc_id are no inputs of a score.
+Results: null and empty texts get the score of no match; a null doc_id is not held out and has no
+label; a label of a doc_id that repeats counts by its largest; rows that repeat a doc_id are
+scored each; texts are scored whole; other columns are ignored; an empty table gives an empty
+result; without labels of both kinds, scores are 0.
 """
 
 from __future__ import annotations
@@ -35,8 +38,6 @@ THRESHOLD = 0.3
 STEMS = (4, 5, 6, 7)
 #: An entry has been in so many toxic documents, and its share of their words is so many times that of clean ones.
 LEAST_DOCS, LEAST_ODDS = 8, 5.0
-#: Entries kept, by weight times documents.
-ENTRIES = 2000
 #: A phrase is an exception if so many clean documents have it and it is no likelier in toxic ones.
 EXCEPTION_DOCS = 5
 
@@ -100,7 +101,7 @@ def _training(batches):
             words = Counter(word_list(fold(text)))
             mine: Counter = Counter({"||": sum(words.values())})
             for w, c in words.items():
-                c = min(c, 3)  # one long document says no more
+                c = c.bit_length()  # many repeats in one document say little more
                 mine[f"|{w}|"] += c
                 for size in STEMS:
                     if len(w) > size:
@@ -170,8 +171,8 @@ class Matcher:
 
 
 def _signals(counts: np.ndarray) -> np.ndarray:
-    """Constant, log of the weight found, and weight for each hundred words."""
-    return np.stack([np.ones(len(counts)), np.log1p(counts[:, 1]), np.minimum(20, 100 * counts[:, 1] / np.maximum(20, counts[:, 2])), np.minimum(counts[:, 0], 4)], 1)
+    """Constant, and logs of the weight found, of the weight for each hundred words and of the matches."""
+    return np.stack([np.ones(len(counts)), np.log1p(counts[:, 1]), np.log1p(100 * counts[:, 1] / (20 + counts[:, 2])), np.log1p(counts[:, 0])], 1)
 
 
 def _counted(entries: dict[str, float], exceptions: list[str], curve: list[float] | None):
@@ -203,7 +204,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def held_out(key: str = "k") -> Column:
-    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == HELD_OUT
+    return (F.col(key) != common.NULL_KEY) & (F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == HELD_OUT)
 
 
 class Model:
@@ -222,11 +223,13 @@ def _odds(n: tuple[int, int]) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING) -> Model:
-    """A model of at most `rows` labelled documents that aren't held out."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("k"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    chosen = chosen.where(~held_out()).groupBy("k").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("k"), "k").limit(rows)
-    # at most `rows` rows of two numbers
-    train = common.keyed(docs).join(F.broadcast(chosen), "k").select("k", "text", "toxic").mapInArrow(_families, "k long, text string, toxic int, family long")
+    """A model of about `rows` labelled documents at most that aren't held out."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("k"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = known.where(~held_out()).groupBy("k").agg(F.max("toxic").alias("toxic"))
+    rate = rows / max(1, known.count())
+    chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / float(1 << 40) < rate)  # about `rows` rows of two numbers
+    train = common.keyed(docs).join(F.broadcast(chosen), "k").groupBy("k").agg(F.min_by(F.struct("text", "toxic"), "h").alias("one"))
+    train = train.select("k", "one.*").mapInArrow(_families, "k long, text string, toxic int, family long")
     train = train.groupBy("family", F.when(F.col("family") < 0, F.col("k")).alias("own")).agg(F.min_by(F.struct("text", "toxic"), "k").alias("one")).select("one.*")
     train = common.staged(train, "labelled")
     kinds = dict(train.groupBy("toxic").count().collect())
@@ -236,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING) -> Model:
     total = named.where("name = '||'").first()
     named = named.withColumn("odds", _odds((total["bad"], total["good"]))).where("name <> '||'")
     named = named.where((F.col("docs") >= LEAST_DOCS) & (F.col("odds") >= float(np.log(LEAST_ODDS))))
-    top = named.orderBy(F.desc(F.col("docs") * F.col("odds")), "name").limit(ENTRIES).collect()
+    top = named.select("name", "odds").collect()  # words of LEAST_DOCS training documents at least
     entries: dict[str, float] = {}
     for r in sorted(top, key=lambda r: (len(r["name"]), r["name"])):
         word = r["name"].strip("|")
@@ -244,9 +247,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING) -> Model:
         if not any(x is not None and x >= r["odds"] - 1.5 for x in inside):
             entries[r["name"]] = float(r["odds"])
     pairs = _by_name(train.mapInArrow(_pairs(entries), "name string, toxic int, times long")).withColumn("odds", _odds((kinds[1], kinds[0])))
-    exceptions = [r["name"] for r in pairs.where((F.col("good") >= EXCEPTION_DOCS) & (F.col("odds") <= 0)).orderBy(F.desc("good"), "name").limit(ENTRIES).collect()]
-    seen = train.mapInArrow(_counted(entries, exceptions, None), "x0 double, x1 double, x2 double, x3 double, toxic int").toPandas()  # at most `rows` rows
-    curve = logistic(seen[["x0", "x1", "x2", "x3"]].to_numpy(), seen["toxic"].to_numpy())
+    exceptions = [r["name"] for r in pairs.where((F.col("good") >= EXCEPTION_DOCS) & (F.col("odds") <= 0)).select("name").collect()]
+    seen = train.mapInArrow(_counted(entries, exceptions, None), "x0 double, x1 double, x2 double, x3 double, toxic int").toPandas()  # a row of five numbers for each training document
+    curve = logistic(seen[["x0", "x1", "x2", "x3"]].to_numpy(), seen["toxic"].to_numpy(), 1.0)
     return Model(entries, exceptions, curve.tolist())
 
 
