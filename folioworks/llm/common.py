@@ -8,6 +8,7 @@ rows of their own and told apart by a hash of their text, so equal rows get equa
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -47,10 +48,36 @@ def doc_id(key: str = "k") -> Column:
     return F.nullif(F.col(key), F.lit(NULL_KEY)).alias("doc_id")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no column of any such name."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(mark + n.lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """k and h of df's rows, as `keyed` has them."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)), F.xxhash64(F.coalesce("text", F.lit("")))]
+
+
+def matched(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """docs joined by its rows' keys with other's k and h; other's columns get names that docs hasn't got (see `fresh`)."""
+    names = dict(zip(other.columns, fresh(docs, *other.columns)))
+    k, h = row_keys(docs)
+    return docs.join(other.withColumnsRenamed(names), (k == F.col(names["k"])) & (h == F.col(names["h"])), how)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The cluster's folder in spark.checkpoint.dir; a folder of our own only where none is set and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         local = tempfile.mkdtemp(prefix="folioworks-")
         atexit.register(shutil.rmtree, local, True)
         folder = f"file://{local}"

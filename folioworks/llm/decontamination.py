@@ -1,15 +1,16 @@
 """Op 10, benchmark decontamination by the q-gram lemma.
 
-Texts are compared with A-Z lower-cased and white space runs as one space, by bytes. A
+Texts are compared with A-Z lower-cased and white space runs as one space, by characters. A
 benchmark item is searched by three overlapping halves, its first, middle and last: if a
 document holds the whole item within the edit budget, the first or the last lies in it within
 its own; any three quarters of the item hold the middle one, so they are found if their edits
-are within a half's budget. Items under HALVED bytes are searched whole, and, from twice
+are within a half's budget. Items under HALVED characters are searched whole, and, from twice
 SHORTEST on, by their middle half, which counts if three quarters of the item stand around it
-within the budget. Items under SHORTEST bytes are searched exactly, on word boundaries.
-A half of m bytes found with k edits shares m - q + 1 - k q of its q-grams with the document on diagonals at most k
+within the budget. Items under SHORTEST characters are searched exactly, on word boundaries.
+A half of m characters found with k edits shares m - q + 1 - k q of its q-grams with the document on diagonals at most k
 apart; shared q-grams are counted in overlapping bands of diagonals, bands that meet the
-bound are verified by a banded alignment, and what it finds within k edits is a hit.
+bound are verified by an alignment on the band's diagonals and k more at either side, and what
+it finds within k edits is a hit.
 
 The benchmark is sent to tasks in blocks of bounded bytes, each a pass over the documents.
 Results: one row per document row and item; null and empty texts and items have none; rows that
@@ -38,43 +39,63 @@ _TABLE_BITS = 22
 
 
 def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes with single spaces, rows' new offsets, and each kept byte's old place."""
-    data = tk.lower(data)
+    """Lower-cased characters with single spaces, rows' new offsets, and each kept character's old place."""
+    data = np.where((data >= 65) & (data <= 90), data + 32, data)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     again = np.zeros(len(data), bool)
     again[1:] = blank[1:] & blank[:-1]
     again[off[:-1][off[:-1] < len(data)]] = False
     keep = np.flatnonzero(~again)
-    return np.where(blank[keep], np.uint8(32), data[keep]), np.searchsorted(keep, off), keep
-
-
-def grams(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as one number."""
-    if len(data) < Q:
-        return np.zeros(0, np.uint64)
-    return np.ndarray((len(data) - Q + 1,), "<u8", np.ascontiguousarray(data).data, 0, (1,)).copy()
-
-
-def alignment(pattern: bytes, text: bytes, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the pattern's best place in the text if it takes at most so many edits."""
-    at = text.find(pattern)
-    if at >= 0:
-        return 0, at, at + len(pattern)
-    t = np.frombuffer(text, np.uint8)
-    steps = np.arange(len(t) + 1)
-    row, begin = np.zeros(len(t) + 1, np.int64), steps.copy()
-    for c in pattern:
-        up, diagonal = row + 1, np.append(budget + len(pattern) + 1, row[:-1] + (t != c))
+    return np.where(blank[keep], 32, data[keep]).astype(np.uint32), np.searchsorted(keep, off), keep
+
+
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def grams(data: np.ndarray, size: int = Q) -> np.ndarray:
+    """A hash of so many characters from each place on."""
+    n = max(0, len(data) - size + 1)
+    wide, out = data.astype(np.uint64), np.zeros(n, np.uint64)
+    for j in range(size):
+        out = out * tk.u64(0x9E3779B97F4A7C15) + wide[j : j + n]
+    return tk.mix(out)
+
+
+def alignment(pattern: np.ndarray, text: np.ndarray, budget: int, first: int = 0, width: int | None = None) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the pattern's best place in the text if it takes at most so many edits.
+
+    Only diagonals (place in the text less place in the pattern) from `first` on are used, so many as `width` says.
+    """
+    m, n = len(pattern), len(text)
+    width = n + 1 if width is None else width
+    low, high = max(0, first), min(n - m, first + width - 1)
+    if low <= high:  # as it is
+        same = (np.lib.stride_tricks.sliding_window_view(text[low : high + m], m) == pattern).all(1)
+        if same.any():
+            at = low + int(np.argmax(same))
+            return 0, at, at + m
+    far = budget + m + 1
+    steps = np.arange(width)
+    padded = np.full(width + m + 1, 2**32 - 1, np.uint32)  # padded[x] is the character at first + x
+    inside = slice(max(0, -first), max(0, min(len(padded), n - first)))
+    padded[inside] = text[max(0, first) : max(0, first) + max(0, inside.stop - inside.start)]
+    begin = first + steps
+    row = np.where((begin >= 0) & (begin <= n), 0, far)
+    for i, c in enumerate(pattern):
+        up, diagonal = np.append(row[1:], far) + 1, row + (padded[i : i + width] != c)
         use = diagonal <= up
-        best, start = np.where(use, diagonal, up), np.where(use, np.append(0, begin[:-1]), begin)
+        best, start = np.where(use, diagonal, up), np.where(use, begin, np.append(begin[1:], 0))
+        place = first + i + 1 + steps
+        best = np.where((place >= 0) & (place <= n), best, far)
         # a run of insertions: the least of best[j] - j so far
         lead = np.minimum.accumulate(best - steps)
         source = np.maximum.accumulate(np.where(best - steps == lead, steps, 0))
-        row, begin = lead + steps, start[source]
+        row, begin = np.where(place <= n, lead + steps, far), start[source]
         if row.min() > budget:
             return None
     end = int(np.argmin(row))
-    return int(row[end]), int(begin[end]), end
+    return int(row[end]), int(begin[end]), first + m + end
 
 
 class Patterns:
@@ -83,8 +104,10 @@ class Patterns:
     def __init__(self, items: list[tuple[int, str]], budget: float):
         self.texts, self.item, self.around, self.short = [], [], [], {}
         for number, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            whole = normal(raw, np.array([0, len(raw)]))[0].tobytes().strip()
+            raw = characters(text or "")
+            whole = normal(raw, np.array([0, len(raw)]))[0]
+            solid = np.flatnonzero(whole != 32)
+            whole = whole[solid[0] : solid[-1] + 1] if len(solid) else whole[:0]
             if len(whole) >= SHORTEST:
                 cut, quarter = len(whole) // 2, len(whole) // 4
                 middle = whole[quarter : quarter + cut]
@@ -95,12 +118,12 @@ class Patterns:
                 self.texts += [x for x, _ in parts]
                 self.around += [x for _, x in parts]
                 self.item += [number] * len(parts)
-            elif whole:
-                self.short.setdefault(len(whole), {}).setdefault(whole, []).append(number)
+            elif len(whole):
+                self.short.setdefault(len(whole), {}).setdefault(whole.tobytes(), []).append(number)
         size = np.array([len(x) for x in self.texts], np.int64)
         self.budget = np.floor(size * budget).astype(np.int64)
         self.bound = np.maximum(1, size - Q + 1 - self.budget * Q)
-        codes = [grams(np.frombuffer(x, np.uint8)) for x in self.texts]
+        codes = [grams(x) for x in self.texts]
         code = np.concatenate([*codes, np.zeros(0, np.uint64)])
         order = np.argsort(code, kind="stable")
         which = np.repeat(np.arange(len(codes)), [len(c) for c in codes]).astype(np.int64)
@@ -150,7 +173,6 @@ class Patterns:
         """(row, item, start, end) of the short items' first exact places on word boundaries."""
         if not self.short or not len(data):
             return []
-        code, raw = grams(np.append(data, np.zeros(Q, np.uint8)))[: len(data)], data.tobytes()
         word = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) | (data == 95)
         edge = np.ones(len(data) + 1, bool)  # at an end of a row, or not amid a word
         edge[1:-1] = ~(word[1:] & word[:-1])
@@ -163,18 +185,20 @@ class Patterns:
             row = np.searchsorted(off, at, "right") - 1
             inside = at + size <= off[row + 1]
             at, row = at[inside], row[inside]
-            mask = tk.u64((1 << 8 * min(size, Q)) - 1)
-            known = np.array([int.from_bytes(x[:Q], "little") for x in texts], np.uint64)
-            there = np.isin(code[at] & mask, known)
-            at, row = at[there], row[there]
-            names = np.stack([row.astype(np.uint64), code[at] & mask, code[at + max(0, size - Q)] & mask], 1)
-            for n in np.unique(names, axis=0, return_index=True)[1] if len(at) else ():
+            code = np.zeros(len(at), np.uint64)
+            for j in range(size):
+                code = code * tk.u64(0x9E3779B97F4A7C15) + data[at + j]
+            known = np.concatenate([grams(np.frombuffer(x, np.uint32), size) for x in texts])
+            code = tk.mix(code)
+            there = np.isin(code, known)
+            at, row, code = at[there], row[there], code[there]
+            for n in np.unique(np.stack([row.astype(np.uint64), code], 1), axis=0, return_index=True)[1] if len(at) else ():
                 start = int(at[n])
-                out += ((int(row[n]), item, start, start + size) for item in texts.get(raw[start : start + size], ()))
+                out += ((int(row[n]), item, start, start + size) for item in texts.get(data[start : start + size].tobytes(), ()))
         return out
 
 
-def three_quarters(whole: bytes, text: bytes, budget: float) -> tuple[int, int, int] | None:
+def three_quarters(whole: np.ndarray, text: np.ndarray, budget: float) -> tuple[int, int, int] | None:
     """The best alignment of three quarters of the item, from any place on, within their edit budget."""
     size = -(-3 * len(whole) // 4)
     found = (alignment(whole[i : i + size], text, int(size * budget)) for i in range(len(whole) - size + 1))
@@ -189,27 +213,23 @@ def _hits(items: list[tuple[int, str]], budget: float):
         for batch in batches:
             key, hash_, rows = batch.column("k").to_numpy(), batch.column("h").to_numpy(), []
             for b in tk.blocks(batch.column("text")):
-                data, off, old = normal(b.data, b.off)
-                raw, best = data.tobytes(), {}
+                begin = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])[b.off]  # in characters
+                data, off, old = normal(characters(b.data.tobytes().decode()), begin)
+                best = {}
                 for r, w, diagonal in patterns.candidates(data, off):
-                    text, k = patterns.texts[w], int(patterns.budget[w])
-                    low = max(0, diagonal - k)
-                    high = diagonal + patterns.band + len(text) + k
-                    got = alignment(text, raw[off[r] + low : min(off[r + 1], off[r] + max(0, high))], k)
+                    text, k = data[off[r] : off[r + 1]], int(patterns.budget[w])
+                    got, low = alignment(patterns.texts[w], text, k, diagonal - k, patterns.band + 2 * k + 1), 0
                     whole = patterns.around[w]
-                    if got and whole:
-                        low = max(0, low - len(whole))
-                        got = three_quarters(whole, raw[off[r] + low : min(off[r + 1], off[r] + high + len(whole))], budget)
+                    if got and whole is not None:
+                        low = max(0, diagonal - k - len(whole))
+                        got = three_quarters(whole, text[low : diagonal + patterns.band + k + 2 * len(whole)], budget)
                     if got:
-                        edits, start, end = got[0], *(int(old[off[r] + low + x - y]) + y for x, y in ((got[1], 0), (got[2], 1)))
+                        edits, start, end = got[0], int(old[off[r] + low + got[1]]), int(old[off[r] + low + got[2] - 1]) + 1
                         name = (r, patterns.item[w])
                         best[name] = min(best.get(name, (edits, start, end)), (edits, start, end))
                 for r, item, start, end in patterns.exact(data, off):
                     best[r, item] = min(best.get((r, item), (1, 0, 0)), (0, int(old[start]), int(old[end - 1]) + 1))
-                for (r, item), (edits, start, end) in best.items():
-                    whole = b.data[b.off[r] : b.off[r + 1]].tobytes()
-                    chars = [len(whole[: x - b.off[r]].decode(errors="ignore")) for x in (start, end)]
-                    rows.append((key[b.rows][r], hash_[b.rows][r], item, edits, *chars))
+                rows += ((key[b.rows][r], hash_[b.rows][r], item, edits, start - begin[r], end - begin[r]) for (r, item), (edits, start, end) in best.items())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
@@ -238,6 +258,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
     hits = contaminated(docs, benchmark, budget).select("k", "h").distinct()
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_KEY)), F.xxhash64(F.coalesce("text", F.lit("")))]
-    hits = hits.select(F.col("k").alias("_hit_k"), F.col("h").alias("_hit_h"))
-    return docs.join(hits, (key[0] == F.col("_hit_k")) & (key[1] == F.col("_hit_h")), "left_anti")
+    return common.matched(docs, hits, "left_anti").select(*(F.col(common.quoted(c)) for c in docs.columns))

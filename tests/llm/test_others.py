@@ -180,9 +180,12 @@ def test_alignment_is_the_edit_distance():
             pattern[int(rng.integers(len(pattern)))] = int(rng.choice(list(b"abcd")))
         if rng.random() < 0.5:
             del pattern[5]
-        got = decontamination.alignment(bytes(pattern), text, 6)
+        chars = [np.frombuffer(bytes(x), np.uint8).astype(np.uint32) for x in (pattern, text)]
         best = edits(bytes(pattern), text)
-        assert (got is None and best > 6) or got[0] == best
+        # on all diagonals, and on a band that holds the pattern's place with room for the edits
+        for first, width in ((-6, 74), (8, 30)):
+            got = decontamination.alignment(*chars, 6, first, width)
+            assert (got is None and best > 6) or got[0] == best and edits(bytes(pattern), text[got[1] : got[2]]) == best
 
 
 def test_decontamination(spark):
@@ -217,6 +220,9 @@ def test_decontamination(spark):
     assert got == expected and held <= got
     assert {r["doc_id"] for r in decontamination.decontaminated(docs, bench).collect()} == {None, 100, *range(60)} - {d for d, _ in got}
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
+    clash = docs.where("doc_id < 9").withColumns({c: F.lit("own") for c in ("_k", "_h", "k", "h", "item_id", "a`b", "__k")})
+    rest = decontamination.decontaminated(clash.unionByName(clash), bench)
+    assert rest.columns == clash.columns and rest.count() == 2 * len({*range(9)} - {d for d, _ in got})
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
@@ -236,6 +242,18 @@ def test_decontamination_finds_any_three_quarters_and_short_items(spark):
     assert next(r["start"] for r in got if r["k"] == 25) == 15
 
 
+def test_decontamination_counts_characters_and_reads_whole_texts(spark):
+    rng = np.random.default_rng(6)
+    make = lambda n: "".join(rng.choice(list("äöüßéñ漢字語 ж"), n).tolist()).strip()
+    item, far = make(200), make(300_000)
+    changed = "".join("q" if i in (20, 60) else c for i, c in enumerate(item))
+    docs = spark.createDataFrame([(1, f"{far} {item}"), (2, changed), (2, changed), (3, far), (4, item[:60])], "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame([(7, item), (8, "")], "item_id long, text string")).collect()
+    assert sorted((r["k"], r["item_id"]) for r in got) == [(1, 7), (2, 7), (2, 7)]
+    where = next(r for r in got if r["k"] == 1)
+    assert where["edits"] == 0 and where["start"] >= len(far) and where["end"] <= len(far) + 1 + len(item)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     plain = [f"wo{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
