@@ -147,19 +147,19 @@ def _aligned(least: int):
 
 
 def _run_keys(least: int) -> Column:
-    """Hashes of a text's runs: of a run of one line the line's own, of a longer one its lines' in turn."""
-    solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"].isNotNull())
+    """Hashes of a text's runs: of a run of one line the line's own, of a longer one its lines' in turn. `solid`: the lines that aren't blank."""
 
     def from_each(of: Column, seed: int) -> Column:
-        def key(x, i):
-            first = F.struct(x["words"].alias("words"), F.xxhash64(F.lit(seed), x["lines"]).alias("hash"))
-            more = lambda s, y: F.when(s["words"] >= least, s).otherwise(F.struct((s["words"] + y["words"]).alias("words"), F.xxhash64(s["hash"], y["lines"]).alias("hash")))
-            run = F.aggregate(F.slice(of, i + 2, least), first, more, lambda s: F.when(s["words"] >= least, s["hash"]))
-            return F.when(x["words"] >= least, x["lines"]).otherwise(run)
+        def key(x):
+            first = F.struct(x["0"]["words"].alias("words"), F.xxhash64(F.lit(seed), x["0"]["lines"]).alias("hash"))
+            more = lambda s, y: F.when((s["words"] >= least) | y.isNull(), s).otherwise(F.struct((s["words"] + y["words"]).alias("words"), F.xxhash64(s["hash"], y["lines"]).alias("hash")))
+            run = F.aggregate(F.array(*(x[str(j)] for j in range(1, least))), first, more, lambda s: F.when(s["words"] >= least, s["hash"]))
+            return F.when(x["0"]["words"] >= least, x["0"]["lines"]).otherwise(run)
 
-        return F.transform(of, key)
+        # each line with those that follow it, side by side, so that a line costs the same in a text of any length
+        return F.transform(F.arrays_zip(*(F.slice(of, j + 1, F.greatest(F.size(of), F.lit(1))) for j in range(least))), key)
 
-    return F.array_distinct(F.concat(from_each(solid, 1), from_each(F.reverse(solid), 2)))
+    return F.array_distinct(F.concat(from_each(F.col("solid"), 1), from_each(F.col("back"), 2)))
 
 
 def line_dedup(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
@@ -173,7 +173,9 @@ def line_dedup(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
         F.transform(split, lambda x: F.regexp_count(x, F.lit(r"\S+")).cast("int")).alias("words"),
     )
     lines = common.staged(lines, "lines")
-    one = lines.select(F.struct("k", "h").alias("node"), F.explode(_run_keys(least_words)).alias("run")).where("run is not null")
+    solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"].isNotNull())
+    both = lines.select("k", "h", solid.alias("solid")).withColumn("back", F.reverse("solid"))
+    one = both.select(F.struct("k", "h").alias("node"), F.explode(_run_keys(least_words)).alias("run")).where("run is not null")
     first = one.groupBy("run").agg(F.min("node").alias("early"), F.max("node").alias("last")).where("early < last").select("run", "early")
     pairs = one.join(first, "run").where("early.k < node.k").select("early", "node").distinct()
     late = lines.dropDuplicates(["k", "h"])
@@ -182,7 +184,10 @@ def line_dedup(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
     drop = pairs.select("k", "h", "early", "lines", "words").mapInArrow(_aligned(least_words), "k long, h long, drop array<int>")
     drop = drop.where(F.size("drop") > 0).groupBy("k", "h").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop"))
     out = base.join(drop, ["k", "h"], "left").withColumn("lines", split)
-    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("drop", i)), "\n"))
+    # what lies between one dropped line and the next
+    cuts = F.array_sort("drop")
+    parts = F.zip_with(F.concat(F.array(F.lit(-1)), cuts), F.concat(cuts, F.array(F.size("lines"))), lambda x, y: F.slice("lines", x + 2, y - x - 1))
+    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
     return out.select("k", "h", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
 
 

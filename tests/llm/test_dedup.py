@@ -177,3 +177,14 @@ def components(rows, n, percent):
         near = [g for g in groups if any(linked(j) for j in g)]
         groups = [g for g in groups if g not in near] + [sum(near, [i])]
     return groups
+
+
+def test_lines_of_a_long_text_are_dropped_in_linear_time(spark):
+    import time
+
+    shared = [f"line {i} that both of them have" for i in range(20_000)]
+    late = [x for i, line in enumerate(shared) for x in (line, f"own {i}")]
+    docs = spark.createDataFrame([(1, "\n".join(shared)), (2, "\n".join(late))], "doc_id long, text string")
+    began = time.time()
+    got = {r["k"]: r for r in line_dedup.line_dedup(docs).collect()}
+    assert got[2]["n_removed"] == 20_000 and got[2]["kept_text"] == "\n".join(late[1::2]) and time.time() - began < 60
