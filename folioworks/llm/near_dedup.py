@@ -5,7 +5,7 @@ exponentially spaced, truncated minimum of one hash over the set: floor(1 - log_
 kept in 16 bits, so sketches of parts merge by their maximum and two sets agree in a
 register with a probability of about their Jaccard similarity. Bands of registers propose
 pairs; the joint likelihood of all registers, given the exact set sizes, drops hopeless
-ones; the full sets confirm the rest with integers.
+ones; the full sets confirm the rest with integers, and what they confirm stays.
 
 Equal sets are one class, and only class representatives are compared. Within a bucket of a
 band nodes are compared with its leader, not with each other. What a node differs in from
@@ -168,7 +168,6 @@ def _blocks(percent: int):
         open_ = block.column("open").to_numpy(zero_copy_only=False)
         at, to = np.flatnonzero(open_), np.flatnonzero(~open_)
         size, nodes = block.column("n").to_numpy(), block.column("node").to_pylist()
-        regs = _registers(block.column("regs"))
         diff = block.column("diff").chunk(0) if block.num_rows else pa.array([], pa.list_(pa.int64()))
         value, number = diff.flatten().to_numpy(), np.diff(diff.offsets.to_numpy())
         row = np.repeat(np.arange(len(number)), number)
@@ -184,7 +183,6 @@ def _blocks(percent: int):
         apart = number[at][:, None] + number[to][None] - 2 * both.astype(np.int64)
         total = size[at][:, None] + size[to][None]
         x, y = np.nonzero(100 * (total - apart) >= percent * (total + apart))
-        near = likely_jaccard(regs[at[x]], regs[to[y]], size[at[x]], size[to[y]]) >= _least(percent / 100, regs.shape[1]) if len(x) else np.zeros(0, bool)
         root = {}
 
         def find(v):
@@ -193,7 +191,7 @@ def _blocks(percent: int):
             return v
 
         out = []
-        for i, j in zip(at[x[near]].tolist(), to[y[near]].tolist(), strict=True):
+        for i, j in zip(at[x].tolist(), to[y].tolist(), strict=True):
             one, two = ((nodes[k]["k"], nodes[k]["h"]) for k in (i, j))
             if find(one) != find(two):
                 root[find(one)] = find(two)
@@ -243,12 +241,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     found = compared.where("linked").select("a", "b")
     # a node that its leader doesn't link can link with others it leads: compared in blocks of bounded size
     groups = compared.groupBy("a").agg(F.count("*").alias("all"), F.count_if(~F.col("linked")).alias("open")).where("open > 0 and all > 1")
-    member = compared.join(groups, "a").join(sketches.select(F.col("node").alias("b"), "regs"), "b")
+    member = compared.join(groups, "a")
     parts = {name: F.ceil(F.col(name) / BLOCK).cast("int") for name in ("all", "open")}
 
     def dealt(rows, mine: str, other: str):
         spread = F.explode(F.sequence(F.lit(0), parts[other] - 1)).alias(other)
-        return rows.select("a", F.pmod(F.xxhash64("b"), parts[mine]).cast("int").alias(mine), spread, F.lit(mine == "open").alias("is_open"), F.col("b").alias("node"), F.col("n_b").alias("n"), "diff", "regs")
+        return rows.select("a", F.pmod(F.xxhash64("b"), parts[mine]).cast("int").alias(mine), spread, F.lit(mine == "open").alias("is_open"), F.col("b").alias("node"), F.col("n_b").alias("n"), "diff")
 
     blocks = dealt(member.where("not linked"), "open", "all").unionByName(dealt(member, "all", "open")).withColumnsRenamed({"open": "i", "all": "j", "is_open": "open"})
     found = found.union(blocks.groupBy("a", "i", "j").applyInArrow(_blocks(percent), f"a {_NODE}, b {_NODE}"))
