@@ -97,6 +97,17 @@ def test_sharding(spark):
     assert sharding.shard(fx.empty(spark)).count() == 0
 
 
+def test_label_propagation_cuts_few_links(spark):
+    df = spark.createDataFrame([(i, f"text {i % 150}" if i < 600 else f"own {i}") for i in range(1200)], "doc_id long, text string").repartition(5)
+    groups = Counter()
+    for r in sharding.shard(df, 8).where("doc_id < 600").collect():
+        groups[r["doc_id"] % 150, r["shard"]] += 1
+    whole = sum(n * (n - 1) // 2 for n in groups.values())
+    assert whole > 0.9 * 150 * 6  # links inside a shard; hashing alone keeps an eighth
+    one = sharding.shard(df.withColumns({"shard": F.lit("x"), "slot": F.lit(1), "group": F.lit(None).cast("string")}).unionByName(df.withColumns({"shard": F.lit("x"), "slot": F.lit(1), "group": F.lit(None).cast("string")})), 8)
+    assert one.count() == 2400 and max(r["count"] for r in one.groupBy("shard").count().collect()) == 300
+
+
 def test_a_group_larger_than_a_shard_fills_whole_shards(spark):
     df = spark.createDataFrame([(i, "same" if i < 60 else f"own {i}") for i in range(120)], "doc_id long, text string")
     got = sharding.shard(df, 4)
