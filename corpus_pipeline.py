@@ -1,10 +1,15 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last the columns
-of documents, for the rows that it keeps. The stages' results are checked against
-brute-force versions in tests/llm; SQL can't express them.
-
-Documents without a doc_id or text go through like others (see folioworks.llm.common).
+of documents, for the rows that it keeps. SQL can't express them; tests/llm checks line dedup,
+near dedup, decontamination and packing against brute-force versions, and toxicity by what its
+lexicon accepts.
+
+Nulls, empty texts, ties and repeated rows: a null doc_id counts as the smallest id and a null
+text as an empty one (see folioworks.llm.common); they score as clean, share no line, are one
+group of near copies, hold no passage and pack as the end id alone. Rows that repeat doc_id and
+text are scored, deduplicated and searched alike, and one of them stays after near dedup. Extra
+columns of any name go through unchanged. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -19,21 +24,15 @@ from folioworks.llm import common, decontamination, line_dedup, near_dedup, pack
 SHINGLE, PERCENT, BANDS = 5, 80, 40
 
 
-def _keys() -> list:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_KEY)), F.xxhash64(F.coalesce("text", F.lit("")))]
-
-
-def _joined(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """docs joined by its rows' keys with other's k and h, which docs' own columns can't clash with."""
-    renamed = other.withColumnsRenamed({c: f"__{c}" for c in other.columns})
-    k, h = _keys()
-    return docs.join(renamed, (k == F.col("__k")) & (h == F.col("__h")), how)
+def _named(docs: DataFrame, columns: dict | None = None) -> list:
+    """docs' own columns, some of them replaced."""
+    return [(columns or {}).get(c, F.col(common.quoted(c))).alias(c) for c in docs.columns]
 
 
 def _one_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each doc_id and text, any of them; a null doc_id counts as an id, a null text as empty."""
-    names = [f"__row_{c}" for c in "kh"]
-    return docs.select("*", *(x.alias(n) for x, n in zip(_keys(), names))).dropDuplicates(names).select(*docs.columns)
+    names = common.fresh(docs, "row_k", "row_h")
+    return docs.select("*", *(x.alias(n) for x, n in zip(common.row_keys(docs), names))).dropDuplicates(names).select(*_named(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +43,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier one has; one with nothing left stays, empty."""
     kept = line_dedup.line_dedup(docs).where("n_removed > 0").dropDuplicates(["k", "h"]).select("k", "h", "kept_text")
-    text = F.coalesce("__kept_text", "text")
-    return _joined(docs, kept, "left").select(*({"text": text.alias("text"), "n_chars": F.coalesce(F.length("__kept_text").cast("long"), F.col("n_chars")).alias("n_chars")}.get(c, F.col(c)) for c in docs.columns))
+    new = F.col(common.fresh(docs, *kept.columns)[2])
+    both = common.matched(docs, kept, "left")
+    return both.select(*_named(docs, {"text": F.coalesce(new, F.col("text")), "n_chars": F.coalesce(F.length(new).cast("long"), F.col("n_chars"))}))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     found = common.staged(found, "near-copies")
     kept = found.where("n_shingles > 0 and k = root_k and h = root_h").select("k", "h")
     blank = found.where("n_shingles = 0").agg(F.min(F.struct("k", "h")).alias("one")).where("one is not null").select("one.k", "one.h")
-    return _joined(_one_each(docs), kept.union(blank).distinct(), "left_semi")
+    return common.matched(_one_each(docs), kept.union(blank).distinct(), "left_semi").select(*_named(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
