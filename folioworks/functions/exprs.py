@@ -147,6 +147,26 @@ def stem(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/]*?)(\.[A-Za-z0-9]+)?$", 1)
 
 
+def safe_name(c: Column) -> Column:
+    """a name to save a file by: underscores for spaces, forty characters."""
+    return F.left(F.replace(c, F.lit(" "), F.lit("_")), F.lit(40))
+
+
+def label(title: Column, otherwise: Column) -> Column:
+    """the title, or what stands for it where there is none."""
+    return F.coalesce(F.nullif(title, F.lit("")), otherwise)
+
+
+def display_date(c: Column) -> Column:
+    """a date without its time."""
+    return F.substring_index(c, "T", 1)
+
+
+def valid_question(c: Column) -> Column:
+    """not blank, and at most 2000 characters."""
+    return (F.trim(c) != "") & (F.length(c) <= 2000)
+
+
 def media_type(c: Column) -> Column:
     """F28"""
     pairs = F.create_map(*(F.lit(x) for kv in MEDIA_TYPES.items() for x in kv))

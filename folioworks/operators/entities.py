@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import exprs
+from folioworks.sources import shared
 from folioworks.sources.archive import Archive
 
 
@@ -62,14 +63,16 @@ def resolved(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataF
     """M1: (name, type) to an id: an entity of that name, else an alias of an entity of the type, else a new id.
 
     New ids follow the largest one in order of name; they are numbered within ranges of
-    names, so no task sorts all new names.
+    names, so no task sorts all new names. Rows of new names are computed when this is called.
     """
     wanted = names.select(exprs.normalized_name(F.col("name")).alias("normalized_name"), "type").where("normalized_name <> ''").distinct()
     known = entities.select("normalized_name", "type", F.col("id").alias("by_name"))
     typed = aliases.join(entities.select(F.col("id").alias("entity_id"), "type"), "entity_id").groupBy("normalized_name", "type").agg(F.min("entity_id").alias("by_alias"))
     found = wanted.join(known, ["normalized_name", "type"], "left").join(typed, ["normalized_name", "type"], "left").withColumn("id", F.coalesce("by_name", "by_alias"))
-    new = found.where("id is null").withColumn("slice", F.substring("normalized_name", 1, 12))
-    sizes = new.groupBy("slice").agg(F.count("*").alias("n"))
+    # ranges of names, even whatever the names begin with, are fixed in a staged table before they are counted
+    new = found.where("id is null").select("normalized_name", "type").repartitionByRange("normalized_name", "type").withColumn("slice", F.spark_partition_id())
+    new = shared.staged(new, "new-names")
+    sizes = new.groupBy("slice").agg(F.count("*").alias("n"))  # a row for each partition
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     top = entities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     numbered = new.withColumn("rn", F.row_number().over(Window.partitionBy("slice").orderBy("normalized_name", "type"))).join(before, "slice").crossJoin(top)  # top: one row
@@ -89,3 +92,33 @@ def new_aliases(offered: DataFrame, aliases: DataFrame, entities: DataFrame) ->
     named = offered.withColumn("normalized_name", exprs.normalized_name(F.col("name"))).where("normalized_name <> ''").dropDuplicates(["entity_id", "normalized_name"])
     own = entities.select(F.col("id").alias("entity_id"), "normalized_name")
     return named.join(own, ["entity_id", "normalized_name"], "left_anti").join(aliases, ["entity_id", "normalized_name"], "left_anti")
+
+
+def repointed(aliases: DataFrame, entities: DataFrame, keep: int, discard: int) -> DataFrame:
+    """Aliases (entity_id, normalized_name) after a merge: the discarded entity's move, its name becomes one, and none repeats or is the survivor's own name."""
+    moved = aliases.withColumn("entity_id", F.when(F.col("entity_id") == discard, keep).otherwise(F.col("entity_id")).cast("long"))
+    named = entities.where(F.col("id") == discard).select(F.lit(keep).cast("long").alias("entity_id"), "normalized_name")
+    own = entities.select(F.col("id").alias("entity_id"), "normalized_name")
+    return moved.select("entity_id", "normalized_name").union(named).distinct().join(own, ["entity_id", "normalized_name"], "left_anti")
+
+
+def merged_groups(links: DataFrame, keep: int, discard: int) -> DataFrame:
+    """`merged` for groups."""
+    return merged(links.withColumnRenamed("group_id", "document_id"), keep, discard).withColumnRenamed("document_id", "group_id")
+
+
+def renamed(entities: DataFrame, changes: DataFrame) -> DataFrame:
+    """New names and types by id (changes: id, new_name, new_type, NULL for no change), names normalised again."""
+    both = entities.join(changes, "id", "left")
+    name = F.coalesce("new_name", "name")
+    return both.select("id", name.alias("name"), F.coalesce("new_type", "type").alias("type"), exprs.normalized_name(name).alias("normalized_name"))
+
+
+def clashes(entities: DataFrame) -> DataFrame:
+    """Names that two entities of a type have; a rename that makes any is refused."""
+    return entities.groupBy("normalized_name", "type").agg(F.count("*").alias("entities")).where("entities > 1")
+
+
+def without(ids: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Tables without the rows of deleted entities; each is given with the column that names its entity."""
+    return {name: df.join(ids.select(F.col("id").alias(column)), column, "left_anti") for name, (df, column) in tables.items()}

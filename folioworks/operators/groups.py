@@ -40,3 +40,9 @@ def reordered(pages: DataFrame, order: DataFrame) -> DataFrame:
 def distinct_links(links: DataFrame) -> DataFrame:
     """Each group's entities and roles once, with the context of the earliest page."""
     return links.groupBy("group_id", "entity_id", "role").agg(F.min_by("context", "page").alias("context"))
+
+
+def date_range(pages: DataFrame) -> DataFrame:
+    """The first and the last of the pages' dates, each page's depicted date or else where its range starts."""
+    date = F.coalesce(F.nullif("date_depicted", F.lit("")), "date_range_start")
+    return pages.groupBy("group_id").agg(F.min(date).alias("date_range_start"), F.max(date).alias("date_range_end"))

@@ -29,9 +29,15 @@ def summary(runs: DataFrame) -> DataFrame:
 
 
 def progress(runs: DataFrame) -> DataFrame:
-    """Files done so far in each run, in order of arrival."""
-    so_far = Window.partitionBy("run_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumns({"done": F.count("*").over(so_far), "good": F.count_if(F.col("status") == "ok").over(so_far)})
+    """Files done so far in each run, in order of arrival; summed by hours first, so that no task goes through a whole run."""
+    good = F.col("status") == "ok"
+    timed = runs.withColumn("hour", F.substring("ts", 1, 13))
+    hours = timed.groupBy("run_id", "hour").agg(F.count("*").alias("n"), F.count_if(good).alias("g"))
+    earlier = Window.partitionBy("run_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("run_id", "hour", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in "ng"))
+    so_far = Window.partitionBy("run_id", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = timed.withColumns({"done": F.count("*").over(so_far), "good": F.count_if(good).over(so_far)}).join(hours, ["run_id", "hour"])
+    return out.withColumns({"done": F.col("done") + F.col("n_before"), "good": F.col("good") + F.col("g_before")}).select(*runs.columns, "done", "good")
 
 
 def history(audit: DataFrame, *, entity_id: int | None = None, run_id: int | None = None, action: str | None = None, most: int = 1000) -> DataFrame:
@@ -88,3 +94,19 @@ def insert_or_ignore(links: DataFrame, new: DataFrame, key: list[str], nullable:
         return links.unionByName(new.dropDuplicates(key).join(links.select(*key), key, "left_anti"))
     full, none = new.where(F.col(nullable).isNotNull()), new.where(F.col(nullable).isNull())
     return links.unionByName(full.dropDuplicates(key).join(links.select(*key), key, "left_anti").select(*links.columns)).unionByName(none)
+
+
+def purged(transactions: DataFrame, least: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """Transactions that stay, and an audit row for each that goes."""
+    marked = weak(transactions, least)
+    text = F.to_json(F.struct("seller", "buyer", "date", "price", "auction_house", "lot_number"))
+    audit = marked.where("weak").select(F.lit("transaction").alias("entity_type"), F.col(key).alias("entity_id"), F.lit("purge").alias("action"), "score", text.alias("old_value"))
+    return marked.where("not weak").drop("weak", "score"), audit
+
+
+def swept(entities: DataFrame, *links: DataFrame) -> DataFrame:
+    """Entities that some link still names."""
+    used = links[0].select("entity_id")
+    for x in links[1:]:
+        used = used.union(x.select("entity_id"))
+    return entities.join(used.select(F.col("entity_id").alias("id")), "id", "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioworks.functions import exprs
+from folioworks.operators.records import between
 from folioworks.sources.archive import Archive
 
 
@@ -68,9 +70,42 @@ def parallel(edges_: DataFrame) -> DataFrame:
 
 
 def evidence(members: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
-    """Of each pair, at most so many records, documents before groups."""
-    one = members.select("kind", "record_id", F.col("entity_id").alias("source")).distinct()
-    two = members.select("kind", "record_id", F.col("entity_id").alias("target")).distinct()
-    shared = pairs.select("source", "target").join(one, "source").join(two, ["kind", "record_id", "target"])
+    """Of each pair, at most so many records, documents before groups.
+
+    Pairs are made within each record, as `edges` makes them, so rows follow the pairs there are
+    and not an entity's edges times its records; those that no edge has go, and the window's
+    limit is applied before its exchange.
+    """
+    one = members.select("kind", "record_id", "entity_id").distinct()
+    left, right = (one.withColumnRenamed("entity_id", name) for name in ("source", "target"))
+    shared = left.join(right, ["kind", "record_id"]).where("source < target").join(pairs.select("source", "target"), ["source", "target"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("source", "target").orderBy("kind", "record_id"))
     return shared.withColumn("rank", rank).where(F.col("rank") <= most).select("source", "target", "kind", "record_id", "rank")
+
+
+def pair_records(members: DataFrame, least: int = 2) -> DataFrame:
+    """Of each pair the records they share, with repeats by role, as two ordered lists; pairs with at least so many."""
+    left, right = (members.select("kind", "record_id", F.col("entity_id").alias(name)) for name in ("source", "target"))
+    both = left.join(right, ["kind", "record_id"]).where("source < target")
+
+    def listed(kind: str):
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("record_id"))))
+
+    return both.groupBy("source", "target").agg(listed("d").alias("documents"), listed("g").alias("groups")).where(F.size("documents") + F.size("groups") >= least)
+
+
+def scope(a: Archive, *, entity_id: int | None = None, tag: str | None = None, document_id: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """G1: (kind, record_id) of live standalone documents and groups that meet all given tests; a group by its own entities or its pages'. Tags and seeds are of documents alone."""
+    dated = between(exprs.effective_date(F.col("date_depicted"), F.col("date_range_start")), since, until)
+    docs, groups = (x.where(dated).select("id") for x in (a.standalone, a.live_groups))
+    if entity_id is not None:
+        mine = a.document_entities.where(F.col("entity_id") == entity_id).select(F.col("document_id").alias("id"))
+        docs = docs.join(mine, "id", "left_semi")
+        pages = a.documents.where("group_id is not null").join(mine, "id", "left_semi").select(F.col("group_id").alias("id"))
+        own = a.group_entities.where(F.col("entity_id") == entity_id).select(F.col("group_id").alias("id"))
+        groups = groups.join(pages.union(own), "id", "left_semi")
+    if tag is not None:
+        docs = docs.join(a.document_tags.where(F.col("tag") == tag).select(F.col("document_id").alias("id")), "id", "left_semi")
+    if document_id is not None:
+        docs = docs.join(seed_scope(a, document_id).select("id"), "id", "left_semi")
+    return docs.select(F.lit("d").alias("kind"), F.col("id").alias("record_id")).unionByName(groups.select(F.lit("g").alias("kind"), F.col("id").alias("record_id")))

@@ -32,9 +32,17 @@ def from_archive(name: str | None) -> Column:
     return F.lit(True) if name is None else (c.isNull() | (c == "")) if name == NONE else c == name
 
 
+def of_medium(name: str | None) -> Column:
+    """By category; NONE is a record that has neither a category nor a medium."""
+    category, medium = F.col("medium_category"), F.col("medium")
+    if name == NONE:
+        return (category.isNull() | (category == "other")) & (medium.isNull() | (medium == ""))
+    return category == name
+
+
 def listed(
     docs: DataFrame, *, trashed: bool = False, hide_grouped: bool = True, key_only: bool = False, since: str | None = None, until: str | None = None,
-    archive: str | None = None, tagged: DataFrame | None = None, linked: DataFrame | None = None,
+    archive: str | None = None, medium: str | None = None, tagged: DataFrame | None = None, linked: DataFrame | None = None,
 ) -> DataFrame:
     """Records by any of the filters; tag and entity filters are semi joins, so nothing doubles."""
     out = docs.where(F.col("is_trashed") == int(trashed))
@@ -43,6 +51,8 @@ def listed(
     if key_only:
         out = out.where("is_key_evidence = 1")
     out = out.where(between(dated(), since, until) & from_archive(archive))
+    if medium is not None:
+        out = out.where(of_medium(medium))
     for ids in (tagged, linked):
         if ids is not None:
             out = out.join(ids.select(F.col("document_id").alias("id")), "id", "left_semi")
@@ -80,13 +90,13 @@ def stats(a: Archive) -> DataFrame:
 def archives(a: Archive) -> DataFrame:
     """Archives that a live record names."""
     both = a.documents.where("is_trashed = 0").select("source_archive").union(a.live_groups.select("source_archive"))
-    return both.where(~exprs.blank(F.col("source_archive"))).distinct()
+    return both.where(~exprs.blank(F.col("source_archive"))).distinct().orderBy(F.lower("source_archive"))
 
 
 def tag_usage(a: Archive) -> DataFrame:
-    """How many documents have each tag, unused tags too."""
+    """How many documents have each tag, unused tags too; the most used first."""
     tags = a.raw("part").select(F.col("p_type").alias("tag")).distinct()
-    return tags.join(a.document_tags, "tag", "left").groupBy("tag").agg(F.count("document_id").alias("documents"))
+    return tags.join(a.document_tags, "tag", "left").groupBy("tag").agg(F.count("document_id").alias("documents")).orderBy(F.desc("documents"), "tag")
 
 
 def group_listing(a: Archive) -> DataFrame:
@@ -101,3 +111,19 @@ def gallery(a: Archive) -> DataFrame:
     docs = a.standalone.select(F.lit("document").alias("record_type"), "id", "title", dated().alias("sort_date"))
     groups = a.live_groups.select(F.lit("group").alias("record_type"), "id", "title", dated().alias("sort_date"))
     return docs.select(cols).unionByName(groups.select(cols))
+
+
+def gallery_page(a: Archive, number: int = 1, per_page: int = 50, by: str = "title", descending: bool = False) -> DataFrame:
+    """A page of documents and a page of groups, merged by title or date; empty ones stand last either way."""
+    key = F.nullif(F.lower("title") if by == "title" else F.col("sort_date"), F.lit(""))
+    order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("record_type"), F.col("id")]
+    all_ = gallery(a)
+    parts = [page(all_.where(F.col("record_type") == kind), order, number, per_page) for kind in ("document", "group")]
+    return parts[0].unionByName(parts[1]).orderBy(*order)
+
+
+def links_of(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every document's links, whichever end it is, with the other end's title."""
+    ends = links.select(F.col("source_id").alias("id"), F.col("target_id").alias("other_id"), F.lit("out").alias("direction"))
+    ends = ends.unionByName(links.select(F.col("target_id").alias("id"), F.col("source_id").alias("other_id"), F.lit("in").alias("direction")))
+    return ends.join(docs.select(F.col("id").alias("other_id"), F.col("title").alias("other_title")), "other_id")

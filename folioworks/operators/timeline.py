@@ -32,6 +32,16 @@ def transfers(a: Archive, since: str | None = None, until: str | None = None, en
     return out.select(F.lit("transaction").alias("event_type"), F.lit("document").alias("record_type"), F.col("document_id").alias("record_id"), "date", "title", "label", "score", "is_key_evidence", F.lit(0).alias("source_order"))
 
 
+def group_transfers(a: Archive, since: str | None = None, until: str | None = None, entity_id: int | None = None) -> DataFrame:
+    """Dated transactions of live groups."""
+    groups = a.live_groups.select(F.col("id").alias("group_id"), "title")
+    if entity_id is not None:
+        groups = groups.join(a.group_entities.where(F.col("entity_id") == entity_id), "group_id", "left_semi")
+    t = a.group_transactions.where(F.col("date").isNotNull() & between(F.col("date"), since, until))
+    out = scored(t.join(groups, "group_id"))
+    return out.select(F.lit("transaction").alias("event_type"), F.lit("group").alias("record_type"), F.col("group_id").alias("record_id"), "date", "title", "label", "score", F.lit(0).alias("is_key_evidence"), F.lit(1).alias("source_order"))
+
+
 def appearances(a: Archive, since: str | None = None, until: str | None = None) -> DataFrame:
     """Documents and groups by their depicted date; the filter takes the effective date."""
     docs = a.standalone.where(between(dated(), since, until)).select(F.lit("document").alias("event_type"), F.lit("document").alias("record_type"), F.col("id").alias("record_id"), F.col("date_depicted").alias("date"), "title", F.col("title").alias("label"), F.lit(None).cast("int").alias("score"), "is_key_evidence", F.lit(2).alias("source_order"))
@@ -44,6 +54,11 @@ def full(a: Archive, **filters) -> DataFrame:
     return transfers(a, **filters).unionByName(appearances(a, **filters)).where(~exprs.blank(F.col("date"))).select(COLUMNS)
 
 
+def ordered(a: Archive, **filters) -> DataFrame:
+    """All dated events, of groups' transactions too, by date and then by kind: transfers of documents, of groups, documents, groups."""
+    return full(a, **filters).unionByName(group_transfers(a, **filters).where(~exprs.blank(F.col("date"))).select(COLUMNS)).orderBy("date", "source_order", "record_id", "label")
+
+
 def undated(a: Archive) -> DataFrame:
     """Records without a depicted date, dated by a range or not."""
     return appearances(a).where(exprs.blank(F.col("date")))

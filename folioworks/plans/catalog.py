@@ -1,3 +1,3 @@
 """Importing this module registers every query of the archive engine."""
 
-from folioworks.plans import changes, library, registry, streams, trade  # noqa: F401
+from folioworks.plans import changes, desk, library, registry, searching, streams, trade  # noqa: F401

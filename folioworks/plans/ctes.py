@@ -29,6 +29,10 @@ TAGS = "dtags AS (SELECT DISTINCT l_orderkey AS document_id, p_type AS tag FROM
 PAGES = "files AS (SELECT page_id, url, sha256(html) AS sha256, CASE WHEN page_id % 9 = 0 THEN 'failed' WHEN page_id % 3 = 0 THEN 'ingested' END AS known FROM pages)"
 AUDIT = """audit AS (SELECT event_id, CAST(ts AS VARCHAR) AS ts, CAST(day(ts) AS BIGINT) AS run_id, user_id AS entity_id, event_type AS action,
   CASE event_type WHEN 'error' THEN 'err' WHEN 'signup' THEN 'requeued' ELSE 'ok' END AS status, value, props FROM events)"""
+DESCRIBED = """ddocs AS (SELECT *, CASE WHEN id % 13 <> 0 THEN title END AS own_title, 'scan_' || id || '.jpg' AS filename,
+  CASE id % 6 WHEN 0 THEN 'Letter' WHEN 1 THEN 'Invoice' WHEN 3 THEN '' WHEN 4 THEN 'photo' WHEN 5 THEN 'Poster' END AS medium,
+  CASE id % 6 WHEN 0 THEN 'letter' WHEN 1 THEN 'transaction record' WHEN 4 THEN 'artifact photograph' ELSE 'other' END AS medium_category FROM docs)"""
+GROUP_TXNS = "gtxns AS (SELECT docs.group_id, txns.* EXCLUDE (document_id) FROM txns JOIN docs ON docs.id = document_id WHERE docs.group_id IS NOT NULL AND docs.page_number = 1)"
 #: Live records: standalone documents and groups.
 LIVE = "live AS (SELECT * FROM docs WHERE is_trashed = 0 AND group_id IS NULL), lgrps AS (SELECT * FROM grps WHERE is_trashed = 0)"
 

@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioworks.functions import exprs
+
 
 def iso(c: str):
     return F.substring(F.col(c).cast("string"), 1, 10)
@@ -40,6 +42,20 @@ class Archive:
             F.col("o_custkey").alias("custkey"),
         )
 
+    @cached_property
+    def described(self) -> DataFrame:
+        """Documents with a file name, a title that can be missing, and a medium with its category."""
+        six = F.col("id") % 6
+        medium = F.when(six == 0, "Letter").when(six == 1, "Invoice").when(six == 3, "").when(six == 4, "photo").when(six == 5, "Poster")
+        out = self.documents.withColumns({"own_title": F.when(F.col("id") % 13 != 0, F.col("title")), "filename": F.concat(F.lit("scan_"), "id", F.lit(".jpg")), "medium": medium})
+        return out.withColumn("medium_category", exprs.medium_category(F.col("medium")))
+
+    @cached_property
+    def group_transactions(self) -> DataFrame:
+        """Transactions that groups have of their own: those of their first pages."""
+        first = self.documents.where("group_id is not null and page_number = 1").select(F.col("id").alias("document_id"), "group_id")
+        return self.transactions.join(first, "document_id").drop("document_id")
+
     @cached_property
     def groups(self) -> DataFrame:
         g = self.documents.where("group_id is not null").groupBy(F.col("group_id").alias("id")).agg(F.min("date_depicted").alias("date_depicted"), F.min_by("source_archive", "page_number").alias("source_archive"))

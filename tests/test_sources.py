@@ -40,10 +40,11 @@ def test_ingest_once(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    events = spark.createDataFrame([("transaction", 1, None)], "event_type string, record_id long, date string")
+    events = spark.createDataFrame([("transaction", 1, None)], "type string, record_id long, date string")
     sinks.timeline_csv(events, f"file://{tmp_path}/csv")
     got = spark.read.option("header", True).csv(f"file://{tmp_path}/csv")
-    assert tuple(got.columns) == sinks.TIMELINE_COLUMNS and got.count() == 1
+    assert tuple(c.removeprefix(sinks.MARK) for c in got.columns) == sinks.TIMELINE_COLUMNS and got.count() == 1
+    assert next((tmp_path / "csv").glob("*.csv")).read_bytes()[:7] == b"\xef\xbb\xbfdate"
     sinks.json_lines(events, f"file://{tmp_path}/json")
     assert json.loads(spark.read.text(f"file://{tmp_path}/json").first()["value"])["record_id"] == 1
     assert sinks.report(events, "#%d", "record_id").first()["line"] == "#1"
