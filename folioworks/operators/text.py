@@ -30,7 +30,7 @@ def bm25(tf: Column, length: Column, n_docs: Column, n_hit: Column, mean_length:
 
 
 def occurrences(text: Column, words: Column) -> Column:
-    """How often the words stand in sequence; overlapping repeats count."""
+    """How often the words stand in sequence; repeats that overlap count once (`postings.phrase` counts each)."""
     spaced = F.replace(text, F.lit(" "), F.lit("  "))
     inner = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     return (F.length(spaced) - F.length(F.replace(spaced, inner, F.lit("")))) / F.length(inner)
@@ -101,8 +101,8 @@ def embedding(docs: DataFrame, text: str, dims: int = 512) -> DataFrame:
     terms = docs.select("id", F.explode(exprs.tokens(F.col(text))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
     slot, sign = exprs.hash_slot(F.col("token"), dims)
     sums = terms.groupBy("id", slot.alias("slot")).agg(F.sum(sign * (1 + F.log("tf"))).alias("w"))
-    norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norm, "id").select("id", "slot", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return sums.withColumn("norm", norm).select("id", "slot", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("weight"))
 
 
 def similar(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:

@@ -103,18 +103,9 @@ def group_role_lookup(a):
     return pages.join(a.document_entities, "document_id").groupBy("group_id").agg(F.min_by("role", F.struct("page_number", "role")).alias("role"))
 
 
-@_q("edge_evidence", DOCS, GROUPS, LIVE, DOC_ENTS, "SELECT a.entity_id AS source, b.entity_id AS target, a.document_id AS id, title FROM dents a JOIN dents b ON a.document_id = b.document_id AND a.role = 'seller' AND b.role = 'buyer' JOIN live ON live.id = a.document_id WHERE a.document_id % 20 = 3")
+@_q("edge_evidence edge_evidence_all", DOCS, GROUPS, LIVE, DOC_ENTS, "SELECT a.entity_id AS source, b.entity_id AS target, a.document_id AS id, title FROM dents a JOIN dents b ON a.document_id = b.document_id AND a.role = 'seller' AND b.role = 'buyer' JOIN live ON live.id = a.document_id")
 def edge_evidence(a):
     """J24"""
-    one = a.document_entities.where("role = 'seller' and document_id % 20 = 3").select("document_id", F.col("entity_id").alias("source"))
-    two = a.document_entities.where("role = 'buyer'").select("document_id", F.col("entity_id").alias("target"))
-    edges = one.join(two, "document_id").groupBy("source", "target").agg(F.collect_list("document_id").alias("evidence_doc_ids"))
-    return extraction.evidence(edges, a.standalone)
-
-
-@_q("edge_evidence_all", DOCS, GROUPS, LIVE, DOC_ENTS, "SELECT a.entity_id AS source, b.entity_id AS target, a.document_id AS id, title FROM dents a JOIN dents b ON a.document_id = b.document_id AND a.role = 'seller' AND b.role = 'buyer' JOIN live ON live.id = a.document_id")
-def edge_evidence_all(a):
-    """J24, every edge."""
     one = a.document_entities.where("role = 'seller'").select("document_id", F.col("entity_id").alias("source"))
     two = a.document_entities.where("role = 'buyer'").select("document_id", F.col("entity_id").alias("target"))
     edges = one.join(two, "document_id").groupBy("source", "target").agg(F.collect_list("document_id").alias("evidence_doc_ids"))

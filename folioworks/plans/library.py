@@ -33,17 +33,10 @@ _WORDS = r"w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{
 _BM25 = "round(greatest(ln((co.n - hh.h + 0.5) / (hh.h + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / co.ml)), 6)"
 
 
-@_q("fts_tokens", _WORDS, "SELECT term, count(*) AS tf, count(DISTINCT id) AS docs FROM (SELECT id, unnest(l) AS term FROM w) GROUP BY 1 HAVING count(*) >= 5")
+@_q("fts_tokens fts_tokens_all", _WORDS, "SELECT term, count(*) AS tf, count(DISTINCT id) AS docs FROM (SELECT id, unnest(l) AS term FROM w) GROUP BY 1")
 def fts_tokens(a):
     """X1"""
     terms = _docs(a).select("id", F.explode(exprs.words(F.col("description"))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("id").alias("docs")).where("tf >= 5")
-
-
-@_q("fts_tokens_all", _WORDS, "SELECT term, count(*) AS tf, count(DISTINCT id) AS docs FROM (SELECT id, unnest(l) AS term FROM w) GROUP BY 1")
-def fts_tokens_all(a):
-    """X1, rare terms too."""
-    terms = _docs(a).select("id", F.explode(exprs.words(F.col("description"))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("id").alias("docs"))
 
 
@@ -83,15 +76,9 @@ _EMB = """tf AS (SELECT id, token, count(*) AS tf FROM tk GROUP BY 1, 2), hx AS
  em AS (SELECT sl.id, slot, w / CASE WHEN norm = 0 THEN 1 ELSE norm END AS weight FROM sl JOIN nm ON nm.id = sl.id)"""
 
 
-@_q("token_frequencies", _TOK, "SELECT id, token, count(*) AS tf FROM tk WHERE id < 50 GROUP BY 1, 2".replace(" WHERE id < 50", "") + " HAVING count(*) >= 3")
+@_q("token_frequencies token_frequencies_all", _TOK, "SELECT id, token, count(*) AS tf FROM tk GROUP BY 1, 2")
 def token_frequencies(a):
     """A21"""
-    return _docs(a).select("id", F.explode(exprs.tokens(F.col("description"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf")).where("tf >= 3")
-
-
-@_q("token_frequencies_all", _TOK, "SELECT id, token, count(*) AS tf FROM tk GROUP BY 1, 2")
-def token_frequencies_all(a):
-    """A21, rare tokens too."""
     return _docs(a).select("id", F.explode(exprs.tokens(F.col("description"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
@@ -209,10 +196,10 @@ def group_entity_dedup(a):
     return groups.distinct_links(links)
 
 
-@_q("embed_text", "SELECT doc_id AS id, concat_ws(' ', nullif(lang, ''), nullif(substring(text, 1, 60), ''), nullif(source, 'src0')) AS embed FROM documents")
+@_q("embed_text", "SELECT doc_id AS id, concat_ws(' ', nullif(lang, ''), nullif(text, ''), nullif(source, 'src0')) AS embed FROM documents")
 def embed_text(a):
     """F17"""
-    return _docs(a).select("id", exprs.embed_text(F.col("lang"), F.substring("description", 1, 60), F.nullif(F.col("source"), F.lit("src0"))).alias("embed"))
+    return _docs(a).select("id", exprs.embed_text(F.col("lang"), F.col("description"), F.nullif(F.col("source"), F.lit("src0"))).alias("embed"))
 
 
 @_q("truncated_descriptions", "SELECT doc_id AS id, CASE WHEN length(text) > 1000 THEN substring(text, 1, 1000) || '… [truncated, original length ' || length(text) || ']' ELSE text END AS description FROM documents")

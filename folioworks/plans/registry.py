@@ -10,13 +10,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers the decorated (spark, sf_dir) function under a name, with its oracle."""
+def query(names: str, sql: str | None = None):
+    """Registers the decorated (spark, sf_dir) function under one or more names, with its oracle."""
 
     def put(fn):
-        _QUERIES[name] = fn
-        if sql:
-            _ORACLES[name] = sql
+        for name in names.split():
+            _QUERIES[name] = fn
+            if sql:
+                _ORACLES[name] = sql
         return fn
 
     return put

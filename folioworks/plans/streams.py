@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from folioworks.plans.registry import query
+from folioworks.sources import shared
 from folioworks.streaming import ingest
 
 
 @query("stream_events_progress", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2")
 def stream_events_progress(spark, folder):
-    out = ingest.collected(ingest.windowed_progress(ingest.source(spark, folder, "events")))
+    out = ingest.collected(ingest.windowed_progress(ingest.source(spark, folder, "events")), ["window", "event_type"])
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
 @query("stream_ingest_dedup", "SELECT count(DISTINCT sha256(html)) AS files FROM pages")
 def stream_ingest_dedup(spark, folder):
     """Two runs over the same pages take each content once."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/folioworks-{uuid.uuid4().hex}"
-    base = f"{base}/ingest-{uuid.uuid4().hex}"
+    base = shared.place(spark, "ingest")
     pages = ingest.source(spark, folder, "pages").select("page_id", F.sha2("html", 256).alias("sha256"))
     for run in ("one", "two"):
         ingest.ingest_once(pages, f"{base}/archive", f"{base}/{run}")

@@ -117,15 +117,8 @@ def gallery_merged(a):
     return records.gallery(a)
 
 
-@_q("record_detail_entities", DOCS, GROUPS, LIVE, ENTITIES, DOC_ENTS, "SELECT document_id, entity_id, name, type, role FROM dents JOIN ents ON ents.id = entity_id JOIN live ON live.id = document_id WHERE document_id % 50 = 1")
+@_q("record_detail_entities record_detail_entities_all", DOCS, GROUPS, LIVE, ENTITIES, DOC_ENTS, "SELECT document_id, entity_id, name, type, role FROM dents JOIN ents ON ents.id = entity_id JOIN live ON live.id = document_id")
 def record_detail_entities(a):
-    """The details of every fiftieth record."""
-    ids = a.standalone.where("id % 50 = 1").select(F.col("id").alias("document_id"))
-    return a.document_entities.join(ids, "document_id", "left_semi").join(a.entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id").select("document_id", "entity_id", "name", "type", "role")
-
-
-@_q("record_detail_entities_all", DOCS, GROUPS, LIVE, ENTITIES, DOC_ENTS, "SELECT document_id, entity_id, name, type, role FROM dents JOIN ents ON ents.id = entity_id JOIN live ON live.id = document_id")
-def record_detail_entities_all(a):
     """The details of every record."""
     ids = a.standalone.select(F.col("id").alias("document_id"))
     return a.document_entities.join(ids, "document_id", "left_semi").join(a.entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id").select("document_id", "entity_id", "name", "type", "role")
@@ -242,16 +235,9 @@ def orphan_entities(a):
     return entities.orphans(a).select("id", "name", "type")
 
 
-@_q("entity_groups_by_type", *_BASE, "SELECT document_id, type, string_agg(name, '|' ORDER BY name) AS names FROM dents JOIN ents ON ents.id = entity_id WHERE document_id % 50 = 1 GROUP BY 1, 2")
+@_q("entity_groups_by_type entity_groups_by_type_all", *_BASE, "SELECT document_id, type, string_agg(name, '|' ORDER BY name) AS names FROM dents JOIN ents ON ents.id = entity_id GROUP BY 1, 2")
 def entity_groups_by_type(a):
     """A25"""
-    named = a.document_entities.where("document_id % 50 = 1").join(a.entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id")
-    return named.groupBy("document_id", "type").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
-
-
-@_q("entity_groups_by_type_all", *_BASE, "SELECT document_id, type, string_agg(name, '|' ORDER BY name) AS names FROM dents JOIN ents ON ents.id = entity_id GROUP BY 1, 2")
-def entity_groups_by_type_all(a):
-    """A25, every document."""
     named = a.document_entities.join(a.entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id")
     return named.groupBy("document_id", "type").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
 
@@ -354,31 +340,17 @@ def weak_purge_preview(a):
     return ledger.weak(a.transactions, 3).where("weak").groupBy("document_id", "lot_number", "score").agg(F.count("*").alias("n"))
 
 
-@_q("txns_ordered", TXNS, "SELECT document_id, date, price, CAST(row_number() OVER (PARTITION BY document_id ORDER BY date NULLS LAST, price, lot_number) AS INT) AS place FROM txns WHERE document_id % 50 = 1")
+@_q("txns_ordered txns_ordered_all", TXNS, "SELECT document_id, date, price, CAST(row_number() OVER (PARTITION BY document_id ORDER BY date NULLS LAST, price, lot_number) AS INT) AS place FROM txns")
 def txns_ordered(a):
     """O16"""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("document_id").orderBy(F.col("date").asc_nulls_last(), "price", "lot_number")
-    return a.transactions.where("document_id % 50 = 1").withColumn("place", F.row_number().over(order)).select("document_id", "date", "price", "place")
-
-
-@_q("txns_ordered_all", TXNS, "SELECT document_id, date, price, CAST(row_number() OVER (PARTITION BY document_id ORDER BY date NULLS LAST, price, lot_number) AS INT) AS place FROM txns")
-def txns_ordered_all(a):
-    """O16, every document."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("document_id").orderBy(F.col("date").asc_nulls_last(), "price", "lot_number")
     return a.transactions.withColumn("place", F.row_number().over(order)).select("document_id", "date", "price", "place")
 
 
-@_q("entity_merge", DOC_ENTS, "SELECT entity_id, role, count(*) AS documents FROM (SELECT DISTINCT document_id, CASE WHEN entity_id = 1000002 THEN 1000001 ELSE entity_id END AS entity_id, role FROM dents) WHERE entity_id BETWEEN 1000001 AND 1000100 GROUP BY 1, 2")
+@_q("entity_merge entity_merge_all", DOC_ENTS, "SELECT entity_id, role, count(*) AS documents FROM (SELECT DISTINCT document_id, CASE WHEN entity_id = 1000002 THEN 1000001 ELSE entity_id END AS entity_id, role FROM dents) GROUP BY 1, 2")
 def entity_merge(a):
-    return entities.merged(a.document_entities, 1_000_001, 1_000_002).where("entity_id between 1000001 and 1000100").groupBy("entity_id", "role").agg(F.count("*").alias("documents"))
-
-
-@_q("entity_merge_all", DOC_ENTS, "SELECT entity_id, role, count(*) AS documents FROM (SELECT DISTINCT document_id, CASE WHEN entity_id = 1000002 THEN 1000001 ELSE entity_id END AS entity_id, role FROM dents) GROUP BY 1, 2")
-def entity_merge_all(a):
     return entities.merged(a.document_entities, 1_000_001, 1_000_002).groupBy("entity_id", "role").agg(F.count("*").alias("documents"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioworks.sources import shared
+
 
 def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A table's files as a stream, with the schema of what is there."""
@@ -20,12 +20,22 @@ def windowed_progress(events: DataFrame, late: str = "10 minutes", window: str =
     return timed.withWatermark("at", late).groupBy(F.window("at", window), "event_type").agg(F.count("*").alias("events"))
 
 
-def collected(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its result: for reports and tests, results of bounded size."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+def collected(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream of aggregates over what is there and returns each key's latest row.
+
+    Every batch appends the rows that it changed to a table in the shared folder, under its number;
+    a batch that is run again gives the same rows, so the latest ones stay right.
+    """
+    spark, path = stream.sparkSession, shared.place(stream.sparkSession, "progress")
+    spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0).cast("long")).write.parquet(path)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(path)
+
+    run = stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", shared.place(spark, "checkpoint"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    others = [c for c in stream.columns if c not in keys]
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, "last.*")
 
 
 def ingest_once(files: DataFrame, archive: str, checkpoint: str, hash_column: str = "sha256") -> None:
