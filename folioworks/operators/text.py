@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import exprs
+from folioworks.sources import shared
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -36,25 +37,26 @@ def occurrences(text: Column, words: Column) -> Column:
     return (F.length(spaced) - F.length(F.replace(spaced, inner, F.lit("")))) / F.length(inner)
 
 
-def _ranked(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Scores by the whole index's size and mean length, two aggregates of one row each."""
-    corpus = index.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    hit = hits.agg(F.count("*").alias("n_hit"))
-    return hits.crossJoin(corpus).crossJoin(hit).select("id", "tf", F.round(bm25(F.col("tf"), F.col("length"), F.col("n_docs"), F.col("n_hit"), F.col("mean_length")), 6).alias("score"))
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Scores of the rows (id, length, tf) with a hit, by the whole index's size and mean length, an aggregate of one row.
+
+    Rows are staged, so that texts are cut into words once."""
+    rows = shared.staged(rows, "counts")
+    corpus = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"), F.count_if(F.col("tf") > 0).alias("n_hit"))
+    score = bm25(F.col("tf"), F.col("length"), F.col("n_docs"), F.col("n_hit"), F.col("mean_length"))
+    return rows.where("tf > 0").crossJoin(corpus).select("id", "tf", F.round(score, 6).alias("score"))
 
 
 def prefix_search(index: DataFrame, column: str, prefix: str) -> DataFrame:
     """Words that begin with the query."""
     found = F.size(F.filter(F.split(F.trim(column), " "), lambda w: w.startswith(prefix)))
-    hits = index.select("id", "length", found.cast("long").alias("tf")).where("tf > 0")
-    return _ranked(hits, index)
+    return _ranked(index.select("id", "length", found.cast("long").alias("tf")))
 
 
 def phrase_search(index: DataFrame, column: str, words: list[str]) -> DataFrame:
-    """X2, X4"""
+    """X2"""
     tf = occurrences(F.col(column), F.lit(" ".join(words)))
-    hits = index.select("id", "length", tf.cast("long").alias("tf")).where("tf > 0")
-    return _ranked(hits, index)
+    return _ranked(index.select("id", "length", tf.cast("long").alias("tf")))
 
 
 def snippet(text: Column, word: str, size: int = 64) -> Column:
