@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,27 +40,41 @@ _TABLE_BITS = 22
 
 
 def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased characters with single spaces, rows' new offsets, and each kept character's old place."""
-    data = np.where((data >= 65) & (data <= 90), data + 32, data)
+    """Lower-cased characters with single spaces, rows' new offsets, and which of the characters were kept."""
     blank = (data == 32) | ((data >= 9) & (data <= 13))
-    again = np.zeros(len(data), bool)
-    again[1:] = blank[1:] & blank[:-1]
-    again[off[:-1][off[:-1] < len(data)]] = False
-    keep = np.flatnonzero(~again)
-    return np.where(blank[keep], 32, data[keep]).astype(np.uint32), np.searchsorted(keep, off), keep
+    data = np.where(blank, np.uint32(32), data + np.uint32(32) * ((data >= 65) & (data <= 90)))
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[off[:-1][off[:-1] < len(data)]] = True
+    if keep.all():
+        return data, off, keep
+    return data[keep], np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[off], keep
 
 
 def characters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
-def grams(data: np.ndarray, size: int = Q) -> np.ndarray:
-    """A hash of so many characters from each place on."""
-    n = max(0, len(data) - size + 1)
-    wide, out = data.astype(np.uint64), np.zeros(n, np.uint64)
+_K = 0x9E3779B97F4A7C15
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the Q characters from each place on: of two, then of four, then of eight."""
+    if len(data) < Q:
+        return np.zeros(0, np.uint64)
+    out, size = data.astype(np.uint64), 1
+    while size < Q:
+        out = out[:-size] * tk.u64(pow(_K, size, 2**64)) + out[size:]
+        size *= 2
+    return out
+
+
+def hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of so many characters from each of the places on."""
+    out = np.zeros(len(at), np.uint64)
     for j in range(size):
-        out = out * tk.u64(0x9E3779B97F4A7C15) + wide[j : j + n]
-    return tk.mix(out)
+        out = out * tk.u64(_K) + data[at + j]
+    return out
 
 
 def alignment(pattern: np.ndarray, text: np.ndarray, budget: int, first: int = 0, width: int | None = None) -> tuple[int, int, int] | None:
@@ -185,11 +200,8 @@ class Patterns:
             row = np.searchsorted(off, at, "right") - 1
             inside = at + size <= off[row + 1]
             at, row = at[inside], row[inside]
-            code = np.zeros(len(at), np.uint64)
-            for j in range(size):
-                code = code * tk.u64(0x9E3779B97F4A7C15) + data[at + j]
-            known = np.concatenate([grams(np.frombuffer(x, np.uint32), size) for x in texts])
-            code = tk.mix(code)
+            code = hashes(data, at, size)
+            known = np.array([hashes(np.frombuffer(x, np.uint32), np.zeros(1, np.int64), size)[0] for x in texts], np.uint64)
             there = np.isin(code, known)
             at, row, code = at[there], row[there], code[there]
             for n in np.unique(np.stack([row.astype(np.uint64), code], 1), axis=0, return_index=True)[1] if len(at) else ():
@@ -213,10 +225,11 @@ def _hits(items: list[tuple[int, str]], budget: float):
         for batch in batches:
             key, hash_, rows = batch.column("k").to_numpy(), batch.column("h").to_numpy(), []
             for b in tk.blocks(batch.column("text")):
-                begin = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])[b.off]  # in characters
-                data, off, old = normal(characters(b.data.tobytes().decode()), begin)
-                best = {}
-                for r, w, diagonal in patterns.candidates(data, off):
+                begin = np.concatenate([[0], np.cumsum(pc.utf8_length(batch.column("text")[b.rows]).to_numpy(), dtype=np.int64)])  # in characters
+                data, off, kept = normal(characters(b.data.tobytes().decode()), begin)
+                best, found, short = {}, patterns.candidates(data, off), patterns.exact(data, off)
+                old = np.flatnonzero(kept) if found or short else None  # each kept character's old place
+                for r, w, diagonal in found:
                     text, k = data[off[r] : off[r + 1]], int(patterns.budget[w])
                     got, low = alignment(patterns.texts[w], text, k, diagonal - k, patterns.band + 2 * k + 1), 0
                     whole = patterns.around[w]
@@ -227,7 +240,7 @@ def _hits(items: list[tuple[int, str]], budget: float):
                         edits, start, end = got[0], int(old[off[r] + low + got[1]]), int(old[off[r] + low + got[2] - 1]) + 1
                         name = (r, patterns.item[w])
                         best[name] = min(best.get(name, (edits, start, end)), (edits, start, end))
-                for r, item, start, end in patterns.exact(data, off):
+                for r, item, start, end in short:
                     best[r, item] = min(best.get((r, item), (1, 0, 0)), (0, int(old[start]), int(old[end - 1]) + 1))
                 rows += ((key[b.rows][r], hash_[b.rows][r], item, edits, start - begin[r], end - begin[r]) for (r, item), (edits, start, end) in best.items())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
