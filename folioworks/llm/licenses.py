@@ -5,8 +5,8 @@ lines between its first and its last one have at most as many words as the longe
 and none of them is blank or without words. Word uni-, bi- and trigrams that occur in the templates
 below are the sparse features of a softmax regression over licence families and an unknown
 class. It is trained on the templates' statements, whole, cut and with words changed, and
-on at most NEGATIVES paragraphs of the corpus and statements with their words shuffled as
-unknown; the least probability for a family is calibrated on held-out variants. A prediction
+on at most NEGATIVES paragraphs of the corpus without a cue, an eighth as many with one that hold
+no statement, and statements with their words shuffled as unknown; the least probability for a family is calibrated on held-out variants. A prediction
 is confirmed by comparison with the family's templates: a statement's words must mostly
 stand in the paragraph, in order.
 
@@ -245,9 +245,14 @@ def _scan(model: Model):
 def license_scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """Per row: doc_id, n_paragraphs, n_license, families (comma-joined, sorted) and the largest confidence."""
     base = common.keyed(docs)
-    # a bounded sample of paragraphs without a template's cue: certainly unknown
-    lines = base.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line").between(20, 400) & ~F.col("line").rlike(f"(?i){_CUE.pattern}"))
-    shown = [r[0] for r in lines.where(F.pmod(F.xxhash64("line"), F.lit(16)) == 0).groupBy("line").agg(F.lit(1)).orderBy(F.xxhash64("line"), "line").limit(negatives).collect()]
+    # samples of lines without a template's cue, certainly unknown, and of lines with one that hold no statement:
+    # one line for each bucket of a hash, so that as many rows as there are buckets come here from any corpus
+    lines = base.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("cue", F.col("line").rlike(f"(?i){_CUE.pattern}")).where("line <> ''")
+    mine = F.xxhash64("line")
+    bucket = F.when(F.col("cue"), F.pmod(mine, F.lit(max(1, negatives // 8)))).otherwise(F.pmod(F.shiftrightunsigned(mine, 8), F.lit(max(1, negatives))))
+    sample = lines.where(F.col("cue") | (F.pmod(mine, F.lit(16)) == 0)).groupBy("cue", bucket.alias("bucket")).agg(F.min("line").alias("line")).collect()
+    shown = sorted(r["line"] for r in sample if not r["cue"])
+    shown += sorted(r["line"] for r in sample if r["cue"] and max(confirmation(word_list(r["line"]), f) for f in range(len(FAMILIES))) < 0.5)
     out = base.select("k", "text").mapInArrow(_scan(train(shown)), "k long, n_paragraphs long, n_license long, families string, confidence double")
     return out.select(common.doc_id(), *out.columns[1:])
 
