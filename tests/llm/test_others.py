@@ -406,6 +406,59 @@ def test_wrapped_licenses(spark):
     assert [licenses.FAMILIES[f] in got[10 + i]["families"].split(",") for i, (f, _) in enumerate(licenses.STATEMENTS)] == [True] * len(licenses.STATEMENTS)
 
 
+def _confirmable(text):
+    """Families that some lines of the text, few enough, can confirm, by comparing all of them with all statements."""
+    lines, out = text.split("\n"), set()
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            words = [licenses.word_list(x) for x in lines[i : j + 1]]
+            if j > i and (not all(words) or sum(map(len, words[1:-1])) > licenses.LONGEST):
+                break
+            out |= {f for f in range(len(licenses.FAMILIES)) if licenses.confirmation(sum(words, []), f) >= licenses.CONFIRMED}
+    return out
+
+
+def test_every_paragraph_that_can_be_confirmed_is_classified():
+    import random
+
+    rng = random.Random(5)
+    finder = licenses.Finder(licenses.marks(Counter({"license": 9, "software": 5, "the": 50})))
+    some = 0
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            words = list(rng.choice(licenses.STATEMENTS)[1])
+            words = [rng.choice(("w1", "the", "software")) if rng.random() < 0.25 else w for w in words]
+            parts += [w + rng.choice("  \n") for w in ["w2"] * rng.randint(0, 4) + words]
+        text = "".join(parts)
+        expected = _confirmable(text)
+        found = {f for _, _, p in finder.paragraphs(text) for f in range(len(licenses.FAMILIES)) if licenses.confirmation(licenses.word_list(p), f) >= licenses.CONFIRMED}
+        assert expected <= found
+        some += len(expected)
+    assert some > 25
+
+
+def test_licenses_of_long_texts_repeated_rows_and_empty_tables(spark):
+    import time
+
+    long_line = "plain words of a long line " * 40_000
+    isc = licenses.TEMPLATES["isc"][-1]
+    texts = {
+        1: long_line + "Licensed under the Apache License, Version 2.0 " + long_line,
+        2: "\n".join(("software the license " * 5_000).split()),
+        3: " \n" * 500_000 + isc + "\n" * 500_000,
+        4: "x" * 2_000_000,
+        5: "/* This program and the accompanying materials are made\n * available under the terms of the Eclipse Public\n * License v2.0 which accompanies this\n */",
+    }
+    rows = [(k, t, 1, "clash") for k, t in texts.items()] + [(5, texts[5], 2, None)] * 3 + [(6, None, 3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, n_license string")
+    started = time.time()
+    got = Counter((r["doc_id"], r["families"]) for r in licenses.license_scan(docs, negatives=100).collect())
+    assert time.time() - started < 120
+    assert got == {(1, "apache-2.0"): 1, (2, ""): 1, (3, "isc"): 1, (4, ""): 1, (5, "epl"): 4, (6, ""): 1}
+    assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
