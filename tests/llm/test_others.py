@@ -287,6 +287,10 @@ def test_toxicity(spark):
     assert right > 0.97 and scored[1000] < 0.3
     kept = toxicity.acceptable(docs, model)
     assert kept.columns == docs.columns and 450 < kept.count() < 520
+    dense = " ".join(rows[0][1].split() * 5_000)
+    odd = {1: dense, 2: " ".join(plain * 3_000), 3: "x" * 2_000_000, 4: " " * 2_000_000, 5: "0" * 1_000_000}
+    long_scores = {r["k"]: r["score"] for r in toxicity.scored(spark.createDataFrame(list(odd.items()), "doc_id long, text string"), model).collect()}
+    assert long_scores[1] >= 0.3 and all(long_scores[k] < 0.3 for k in (2, 3, 4, 5))  # whole texts, normalised by length
     assert toxicity.learn(docs, lab.limit(0)).entries == {}
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
