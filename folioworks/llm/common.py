@@ -72,6 +72,34 @@ def matched(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return docs.join(other.withColumnsRenamed(names), (k == F.col(names["k"])) & (h == F.col(names["h"])), how)
 
 
+#: A key that holds more than one of so many equal shares of a join's rows, and more than so many rows, is dealt over several tasks.
+SHARES, ROWS = 1000, 256
+
+
+def heavy_keys(counts: DataFrame, on: str, parts: str, n: str = "n") -> DataFrame:
+    """The keys `on` whose n rows are over a share of all that counts has, and in how many parts they are to be dealt.
+
+    Fewer than SHARES keys can be so frequent, whatever the table holds, so the result can be broadcast.
+    counts is read more than once: pass a staged table.
+    """
+    share = max(ROWS, -(-(counts.agg(F.sum(n)).first()[0] or 0) // SHARES))
+    return F.broadcast(staged(counts.where(F.col(n) > share).select(on, F.ceil(F.col(n) / share).cast("int").alias(parts)), "heavy"))
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: str, by: str, counts: DataFrame, n: str = "n") -> DataFrame:
+    """Inner join of rows with other, whose keys `on` may be as frequent as they like in rows.
+
+    counts: n, the number of rows, for each key that other has, as `heavy_keys` takes it. A frequent key's rows are
+    dealt by a hash of `by` over as many tasks as it has parts, each with a copy of other's row.
+    """
+    salt, parts = fresh(rows.select("*", *(F.lit(0).alias(c) for c in other.columns if c != on)), "salt", "parts")
+    heavy = heavy_keys(counts, on, parts, n)
+    many = F.coalesce(parts, F.lit(1))
+    left = rows.join(heavy, on, "left").withColumn(salt, F.pmod(F.xxhash64(by), many).cast("int"))
+    right = other.join(heavy, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1)))
+    return left.drop(parts).join(right.drop(parts), [on, salt]).drop(salt)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's folder in spark.checkpoint.dir; a folder of our own only where none is set and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -176,12 +176,14 @@ def line_dedup(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
     solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"].isNotNull())
     both = lines.select("k", "h", solid.alias("solid")).withColumn("back", F.reverse("solid"))
     one = both.select(F.struct("k", "h").alias("node"), F.explode(_run_keys(least_words)).alias("run")).where("run is not null")
-    first = one.groupBy("run").agg(F.min("node").alias("early"), F.max("node").alias("last")).where("early < last").select("run", "early")
-    pairs = one.join(first, "run").where("early.k < node.k").select("early", "node").distinct()
-    late = lines.dropDuplicates(["k", "h"])
-    pairs = pairs.select(F.col("early.k").alias("ek"), F.col("early.h").alias("eh"), F.col("node.k").alias("k"), F.col("node.h").alias("h"))
-    pairs = pairs.join(late, ["k", "h"]).join(late.select(F.col("k").alias("ek"), F.col("h").alias("eh"), F.col("lines").alias("early")), ["ek", "eh"])
-    drop = pairs.select("k", "h", "early", "lines", "words").mapInArrow(_aligned(least_words), "k long, h long, drop array<int>")
+    first = one.groupBy("run").agg(F.min("node").alias("early"), F.max("node").alias("last"), F.count("*").alias("n")).where("early < last")
+    first = common.staged(first.select("run", "early", "n"), "first-holders")
+    pairs = common.spread_join(one, first, "run", "node", first).where("early.k < node.k").select("early", "node").distinct()
+    pairs = common.staged(pairs, "line-pairs")
+    late = lines.dropDuplicates(["k", "h"]).select(F.struct("k", "h").alias("node"), "lines", "words")
+    followed = common.staged(pairs.groupBy("early").agg(F.count("*").alias("n")), "followed")
+    pairs = common.spread_join(pairs.join(late, "node"), late.select(F.col("node").alias("early"), F.col("lines").alias("held")), "early", "node", followed)
+    drop = pairs.select("node.k", "node.h", F.col("held").alias("early"), "lines", "words").mapInArrow(_aligned(least_words), "k long, h long, drop array<int>")
     drop = drop.where(F.size("drop") > 0).groupBy("k", "h").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop"))
     out = base.join(drop, ["k", "h"], "left").withColumn("lines", split)
     # what lies between one dropped line and the next

@@ -216,8 +216,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     classes = features.where("n > 0").groupBy(same).agg(F.min(F.struct("k", "h")).alias("node"), F.any_value("bands").alias("bands"))
     classes = common.staged(classes, "classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), "node")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    buckets = common.staged(buckets.join(shared, "bucket"), "buckets")
+    # each bucket's smallest node leads it; the others are compared with it
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
+    shared = common.staged(shared, "shared")
+    buckets = common.staged(common.spread_join(buckets, shared, "bucket", "node", shared).select("a", "node"), "buckets")
     involved = buckets.select("node.k", "node.h").distinct()
     texts = base.join(involved, ["k", "h"]).dropDuplicates(["k", "h"]).select(F.struct("k", "h").alias("node"), "text")
     texts = common.staged(texts, "texts")
@@ -227,21 +229,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     def side(df, name):
         return df.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in df.columns[1:]))
 
-    # each bucket's smallest node leads it; the others are compared with it
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = buckets.join(leaders, "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    pairs = common.staged(pairs, "pairs")
-    led = pairs.groupBy("a").agg(F.count("*").alias("led"))
-    alone = pairs.join(led.where("led = 1").select("a"), "a", "left_semi")
-    more = pairs.join(led.where("led > 1").select("a"), "a", "left_semi")
+    pairs = common.staged(buckets.select("a", F.col("node").alias("b")).where("a <> b").distinct(), "pairs")
+    led = common.staged(pairs.groupBy("a").agg(F.count("*").alias("n")), "led")
+    pairs = common.spread_join(pairs, led, "a", "b", led)
+    alone, more = pairs.where("n = 1").drop("n"), pairs.where("n > 1").drop("n")
     alone = alone.join(side(sketches, "b"), "b").join(side(sketches, "a"), "a").mapInArrow(_promising(percent / 100), f"a {_NODE}, b {_NODE}")
-    compared = alone.union(more).join(side(texts, "b"), "b").join(side(texts, "a"), "a").select("a", "b", "text_a", "text_b")
+    compared = alone.union(more).join(side(texts, "b"), "b")
+    compared = common.spread_join(compared, side(texts, "a"), "a", "b", led).select("a", "b", "text_a", "text_b")
     compared = compared.mapInArrow(_differences(shingle, percent), f"a {_NODE}, b {_NODE}, n_a long, n_b long, linked boolean, diff array<long>")
     compared = common.staged(compared, "compared")
     found = compared.where("linked").select("a", "b")
     # a node that its leader doesn't link can link with others it leads: compared in blocks of bounded size
     groups = compared.groupBy("a").agg(F.count("*").alias("all"), F.count_if(~F.col("linked")).alias("open")).where("open > 0 and all > 1")
-    member = compared.join(groups, "a")
+    groups = common.staged(groups, "groups")
+    member = common.spread_join(compared, groups, "a", "b", groups, "all")
     parts = {name: F.ceil(F.col(name) / BLOCK).cast("int") for name in ("all", "open")}
 
     def dealt(rows, mine: str, other: str):

@@ -188,3 +188,19 @@ def test_lines_of_a_long_text_are_dropped_in_linear_time(spark):
     began = time.time()
     got = {r["k"]: r for r in line_dedup.line_dedup(docs).collect()}
     assert got[2]["n_removed"] == 20_000 and got[2]["kept_text"] == "\n".join(late[1::2]) and time.time() - began < 60
+
+
+def test_spread_join_deals_frequent_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from folioworks.llm import common
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("key"), F.col("id").alias("salt"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 and key <> 7")
+    expected = Counter(map(tuple, rows.join(counts, "key").select("key", "salt", "n").collect()))
+    for least in (1, 256, 10**6):
+        monkeypatch.setattr(common, "ROWS", least)
+        got = common.spread_join(rows, counts, "key", "salt", counts)
+        assert got.columns == ["key", "salt", "n"]
+        assert Counter(map(tuple, got.collect())) == expected
+        assert common.spread_join(rows.limit(0), counts.limit(0), "key", "salt", counts.limit(0)).count() == 0
