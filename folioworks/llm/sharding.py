@@ -50,23 +50,30 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     base = common.staged(base, "to-shard")
     total = base.count()
     slices = max(1, -(-total // (SLICE * shards)))
-    linked = base.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.lit(True).alias("linked"))
-    at = common.staged(base.join(linked, "group", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "linked")
+    groups = common.staged(base.groupBy("group").agg(F.count("*").alias("n")), "groups")
+    at = common.spread_join(base, groups, "group", "copy", groups).withColumn("linked", F.col("n") > 1).drop("n")
+    at = at.join(common.heavy_keys(groups, "group", "parts"), "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    at = common.staged(at.withColumn("part", F.pmod(F.xxhash64("copy"), "parts").cast("int")), "linked")
     single, at = at.where("not linked"), at.where("linked")
     quota = total / shards
+
+    def for_parts(df):
+        return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
     for _ in range(rounds):
         # one row per shard: the room that linked documents leave; a fixed number of rows
         held = dict(at.groupBy("shard").count().collect())
         room = [max(0.0, quota - held.get(s, 0)) for s in range(shards)]
         open_ = F.broadcast(base.sparkSession.createDataFrame([(s, room[s]) for s in range(shards)], "shard int, room double"))
-        counts = at.groupBy("group", "shard").count()
-        wish = counts.join(open_.where("room >= 1"), "shard").groupBy("group").agg(F.max_by("shard", F.struct("count", "room", -F.col("shard"))).alias("wish"), F.max("count").alias("most"))
-        asked = at.join(wish, "group").join(counts.withColumnRenamed("count", "here"), ["group", "shard"]).where("wish <> shard and here <= most")
+        counts = at.groupBy("group", "shard", "parts").count()
+        wish = counts.join(open_.where("room >= 1"), "shard").groupBy("group").agg(F.max_by("shard", F.struct("count", "room", -F.col("shard"))).alias("wish"), F.max("count").alias("most"), F.any_value("parts").alias("parts"))
+        wish, here = for_parts(wish), for_parts(counts).withColumnRenamed("count", "here")
+        asked = at.join(wish, ["group", "part"]).join(here, ["group", "part", "shard"]).where("wish <> shard and here <= most")
         demand = dict(asked.groupBy("wish").count().collect())
         if not demand:
             break
         share = F.broadcast(base.sparkSession.createDataFrame([(s, min(1.0, room[s] / demand[s])) for s in demand], "wish int, share double"))
-        moved = at.join(wish, "group", "left").join(counts.withColumnRenamed("count", "here"), ["group", "shard"]).join(share, "wish", "left")
+        moved = at.join(wish, ["group", "part"], "left").join(here, ["group", "part", "shard"]).join(share, "wish", "left")
         go = F.coalesce((F.col("wish") != F.col("shard")) & (F.col("here") <= F.col("most")) & (F.col("u") < F.col("share")), F.lit(False))
         at = common.staged(moved.withColumn("shard", F.when(go, F.col("wish")).otherwise(F.col("shard"))).select(*at.columns), "moved")
     placed = _ranked(at.unionByName(single.select(*at.columns)), "shard", slices, F.col("linked"), "rank")
