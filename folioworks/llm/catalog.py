@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioworks.llm import decontamination, fingerprints, licenses, line_dedup, near_dedup, oracles, packing, pii, sharding, substring_dedup, toxicity
+from folioworks.llm import conversations, decontamination, fingerprints, licenses, line_dedup, near_dedup, oracles, packing, pii, sharding, substring_dedup, toxicity
 
 _QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_decontamination": decontamination.query,
+    "op11_conversation_repair": conversations.query,
     "pipeline": corpus_pipeline.run,
 }
 _ORACLES = {
