@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioworks.llm import conversations, decontamination, fingerprints, licenses, line_dedup, near_dedup, oracles, packing, pii, sharding, substring_dedup, tiers, toxicity
+from folioworks.llm import conversations, decontamination, fingerprints, licenses, line_dedup, near_dedup, oracles, packing, pii, sharding, spelling, substring_dedup, tiers, toxicity
 
 _QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -18,6 +18,7 @@ _QUERIES = {
     "op10_decontamination": decontamination.query,
     "op11_conversation_repair": conversations.query,
     "op12_tiered_packing": tiers.query,
+    "op13_spelling_variants": spelling.query,
     "pipeline": corpus_pipeline.run,
 }
 _ORACLES = {
