@@ -24,6 +24,7 @@ _QUERIES = {
 _ORACLES = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op3_near_dedup": oracles.NEAR_DEDUP,
+    "op13_spelling_variants": oracles.SPELLING,
 }
 
 

@@ -24,3 +24,19 @@ r AS (SELECT doc_id AS d, doc_id AS root FROM documents UNION SELECT e.b, r.root
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT d, min(root) AS component_id FROM r GROUP BY 1) c ON c.d = w.doc_id
 """
+
+SPELLING = r"""
+WITH RECURSIVE bit(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+tab AS (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM bit WHERE k = 8),
+run AS (SELECT doc_id, r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents) GROUP BY 1, 2),
+hx AS (SELECT r, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM run),
+cr AS (SELECT r, n, xor(4294967295, list_reduce(list_transform(range(len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS h FROM hx, tab),
+word AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(r, CAST(h % len(r) AS INT)) || r[CAST(h % len(r) + 2 AS INT):] ELSE r END AS w FROM cr) WHERE len(w) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS (SELECT w, n, i, left(w, CAST(i - 1 AS INT)) || '*' || w[i + 1:] AS star FROM (SELECT w, n, unnest(range(1, len(w) + 1)) AS i FROM word)),
+pair AS (SELECT a.w, b.w AS near, b.n AS m FROM cut a JOIN cut b ON a.star = b.star AND a.w <> b.w
+ UNION SELECT a.w, b.w, b.n FROM cut a JOIN word b ON replace(a.star, '*', '') = b.w UNION SELECT b.w, a.w, a.n FROM cut a JOIN word b ON replace(a.star, '*', '') = b.w),
+best AS (SELECT w, count(*) AS n_near, max(m) AS top, first(near ORDER BY m DESC, encode(near)) AS near FROM pair GROUP BY 1),
+f AS (SELECT word.w, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN near END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM word LEFT JOIN best USING (w)),
+up(w, root, next) AS (SELECT w, w, form FROM f UNION ALL SELECT up.w, f.w, f.form FROM up JOIN f ON f.w = up.next)
+SELECT f.w AS word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.w = f.w AND up.next IS NULL
+"""
