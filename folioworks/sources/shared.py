@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -37,3 +38,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_by(df: DataFrame, name: str, key: str, schema) -> DataFrame:
+    """df written there in a folder for each value of the int column `key`, and read again with df's other columns' schema."""
+    spark = df.sparkSession
+    path = place(spark, name)
+    df.write.partitionBy(key).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(StructType([*schema.fields, StructField(key, IntegerType())])).parquet(path)
