@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import exprs
+from folioworks.operators import nearest
 from folioworks.sources import shared
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -108,10 +109,8 @@ def embedding(docs: DataFrame, text: str, dims: int = 512) -> DataFrame:
 
 
 def similar(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """V1: the k documents nearest to each query, by joins on the slots that both use."""
-    dots = vectors.join(queries.select(F.col("id").alias("query_id"), "slot", F.col("weight").alias("q")), "slot").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return dots.withColumn("rank", rank).where(F.col("rank") <= k)
+    """V1: the k documents nearest to each query, among those that share a slot with it."""
+    return nearest.sparse(vectors, queries, k)
 
 
 def cosine(x: Column, y: Column) -> Column:

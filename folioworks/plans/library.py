@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioworks.functions import exprs
-from folioworks.operators import groups, ledger, places, text
+from folioworks.operators import groups, ledger, nearest, places, text
 from folioworks.plans.ctes import AUDIT, DOCS, PAGES, sql
 from folioworks.plans.registry import query
 from folioworks.sources.archive import Archive
@@ -101,10 +101,9 @@ def semantic_topk(a):
  (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, q)) WHERE rank <= 5""".replace(", q AS", "WITH q AS", 1))
 def dense_cosine_topk(a):
     """F8: a stated query set, every hundredth vector, against all vectors."""
-    v = a.raw("embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = v.crossJoin(q).select("query_id", "vec_id", F.round(text.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 5").select("query_id", "vec_id", "rank")
+    v = a.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = v.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return nearest.dense(v, asked, 5).select("query_id", F.col("id").alias("vec_id"), "rank")
 
 
 _RAG = "qs AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') AS p FROM benchmark), hit AS (SELECT item_id AS question_id, id, CAST((length(replace(t, ' ', '  ')) - length(replace(replace(t, ' ', '  '), ' ' || replace(p, ' ', '  ') || ' ', ''))) / (length(replace(p, ' ', '  ')) + 2) AS BIGINT) AS tf FROM ix JOIN qs ON contains(t, ' ' || p || ' '))"

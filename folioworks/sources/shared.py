@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -25,6 +27,21 @@ def folder(spark: SparkSession) -> str:
     return found
 
 
+def importable(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session, once: they needn't have it installed, nor see the driver's folders."""
+    context = spark.sparkContext
+    if getattr(context, "_folioworks_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="folioworks-")) / "folioworks.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._folioworks_sent = True
+    atexit.register(shutil.rmtree, target.parent, True)
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new path there."""
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
