@@ -34,7 +34,9 @@ LETTERS, OFTEN, TIMES = 5, 3, 2
 #: Of so many damaged runs one loses a letter.
 DAMAGED = 97
 #: Words of a node or block that a task takes, and of a leaf whose words are compared with all that reach it.
-NODE, LEAF = 40_000, 24
+NODE, LEAF = 20_000, 24
+#: Nodes of a level that are broadcast; more are joined by a shuffle in which a node of many words is dealt over several tasks.
+NODES = 50_000
 #: Bytes that are compared at once.
 BLOCK = 1 << 23
 
@@ -59,6 +61,14 @@ def _count(word: Column, group: str) -> Column:
     return F.length(word) - F.length(F.translate(word, group, ""))
 
 
+def _joined(rows: DataFrame, nodes: DataFrame, n: str) -> DataFrame:
+    """rows joined with their nodes' row (path, n, ...); n: about how many rows a node has."""
+    nodes = common.staged(nodes, "spelling-level")
+    if nodes.count() <= NODES:
+        return rows.join(F.broadcast(nodes), "path")
+    return common.spread_join(rows, nodes, "path", "word", nodes, n)
+
+
 def _dealt(words: DataFrame, node: int) -> DataFrame:
     """(path, word, n, spent): the words that reach each node of at most so many words, or of the last level.
 
@@ -72,7 +82,7 @@ def _dealt(words: DataFrame, node: int) -> DataFrame:
         step = step.when(F.col("spent") == 1, F.array(F.struct(own.alias("c"), F.lit(1).alias("s")), F.struct((own - 1).alias("c"), F.lit(2).alias("s")))).otherwise(F.array(F.struct(own.alias("c"), F.lit(2).alias("s"))))
         to = active.select("path", "word", "n", F.explode(step).alias("to")).select(F.concat_ws(",", "path", "to.c").alias("path"), "word", "n", F.col("to.s").alias("spent"))
         nodes = active.where("spent = 0").groupBy(F.concat_ws(",", "path", own).alias("path")).agg(F.count("*").alias("held"))
-        to = common.staged(to.join(nodes, "path"), "spelling-reach")
+        to = common.staged(_joined(to, nodes, "held"), "spelling-reach")
         small = to.where(F.col("held") <= node).drop("held")
         done = small if done is None else done.unionByName(small)
         active = to.where(F.col("held") > node).drop("held")
@@ -84,8 +94,8 @@ def _dealt(words: DataFrame, node: int) -> DataFrame:
 def _blocks(reach: DataFrame, node: int) -> DataFrame:
     """(path, row, column, word, n, spent, own): each node's own words in rows, and those that reach it in columns, of bounded blocks."""
     counts = reach.groupBy("path").agg(F.count_if(F.col("spent") == 0).alias("own_n"), F.count("*").alias("all_n"))
-    counts = counts.select("path", F.ceil(F.col("own_n") / node).cast("int").alias("rows"), F.ceil(F.col("all_n") / (4 * node)).cast("int").alias("columns"))
-    rows = reach.join(counts, "path")
+    counts = counts.select("path", "all_n", F.ceil(F.col("own_n") / node).cast("int").alias("rows"), F.ceil(F.col("all_n") / (4 * node)).cast("int").alias("columns"))
+    rows = _joined(reach, counts, "all_n")
     place = F.xxhash64("word")
     own = rows.where("spent = 0").select("path", F.pmod(place, "rows").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "word", "n", "spent", F.lit(True).alias("own"))
     guests = rows.select("path", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(place, "columns").cast("int").alias("column"), "word", "n", "spent", F.lit(False).alias("own"))

@@ -80,6 +80,12 @@ def test_variants(spark, node):
     assert sum(1 for x in got.values() if x[0]) > 50 and any(x[0] != x[1] and x[0] for x in got.values())
 
 
+def test_nodes_that_are_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "NODES", 2)
+    rows = texts(5, 60)
+    assert result(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"), 15)) == brute(rows)
+
+
 def test_fixture_and_empty(spark):
     assert result(spelling.variants(fx.docs(spark))) == brute(fx.pairs(fx.docs(spark)))
     assert spelling.variants(fx.empty(spark)).count() == 0
