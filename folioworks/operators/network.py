@@ -26,16 +26,41 @@ def nodes(members: DataFrame) -> DataFrame:
     return members.groupBy("entity_id").agg(F.countDistinct("kind", "record_id").alias("doc_count"))
 
 
+#: Entities of a record that are paired at once: a record of more is cut into blocks of about so many.
+BLOCK = 1000
+
+
+def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(kind, record_id, entity_id, n, i, j, side): each record's entities, as often as they have roles (n), in the
+    pairs of blocks that they are compared in.
+
+    A record of up to `block` entities is one block. Of one with more, an entity's block meets each other block once,
+    so no key (kind, record_id, i, j) makes more than about block x block pairs, and no record is gathered.
+    """
+    each = members.groupBy("kind", "record_id", "entity_id").agg(F.count("*").alias("n"))
+    hubs = each.groupBy("kind", "record_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    rows = each.join(hubs, ["kind", "record_id"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = rows.select("kind", "record_id", "entity_id", "n", "own", other)
+    left = met.where("own <= other").select("kind", "record_id", "entity_id", "n", F.col("own").alias("i"), F.col("other").alias("j"), F.lit("left").alias("side"))
+    return left.unionByName(met.where("other <= own").select("kind", "record_id", "entity_id", "n", F.col("other").alias("i"), F.col("own").alias("j"), F.lit("right").alias("side")))
+
+
+def paired(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(kind, record_id, source, target, n): the pairs of each record's entities, n their combinations of roles."""
+    rows = blocked(members, block)
+    left, right = (rows.where(F.col("side") == side).select("kind", "record_id", "i", "j", F.col("entity_id").alias(name), F.col("n").alias(f"n_{name}")) for side, name in (("left", "a"), ("right", "b")))
+    both = left.join(right, ["kind", "record_id", "i", "j"]).where("i < j or a < b")
+    return both.select("kind", "record_id", F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), (F.col("n_a") * F.col("n_b")).alias("n"))
+
+
 def edges(members: DataFrame, min_weight: int = 1) -> DataFrame:
     """Pairs within a record; the threshold holds for documents and groups apart, then weights add up.
 
     weight counts combinations of roles, shared_records distinct records.
     """
-    left = members.select("kind", "record_id", F.col("entity_id").alias("source"))
-    right = members.select("kind", "record_id", F.col("entity_id").alias("target"))
-    pairs = left.join(right, ["kind", "record_id"]).where("source < target")
-    by_record = pairs.groupBy("kind", "source", "target", "record_id").agg(F.count("*").alias("n"))
-    each = by_record.groupBy("kind", "source", "target").agg(F.sum("n").alias("weight"), F.count("*").alias("shared_records")).where(F.col("weight") >= min_weight)
+    each = paired(members).groupBy("kind", "source", "target").agg(F.sum("n").alias("weight"), F.count("*").alias("shared_records")).where(F.col("weight") >= min_weight)
     return each.groupBy("source", "target").agg(F.sum("weight").alias("weight"), F.sum("shared_records").alias("shared_records"))
 
 
@@ -76,20 +101,17 @@ def evidence(members: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
     and not an entity's edges times its records; those that no edge has go, and the window's
     limit is applied before its exchange.
     """
-    one = members.select("kind", "record_id", "entity_id").distinct()
-    left, right = (one.withColumnRenamed("entity_id", name) for name in ("source", "target"))
-    shared = left.join(right, ["kind", "record_id"]).where("source < target").join(pairs.select("source", "target"), ["source", "target"], "left_semi")
+    shared = paired(members).join(pairs.select("source", "target"), ["source", "target"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("source", "target").orderBy("kind", "record_id"))
     return shared.withColumn("rank", rank).where(F.col("rank") <= most).select("source", "target", "kind", "record_id", "rank")
 
 
 def pair_records(members: DataFrame, least: int = 2) -> DataFrame:
     """Of each pair the records they share, with repeats by role, as two ordered lists; pairs with at least so many."""
-    left, right = (members.select("kind", "record_id", F.col("entity_id").alias(name)) for name in ("source", "target"))
-    both = left.join(right, ["kind", "record_id"]).where("source < target")
+    both = paired(members)
 
     def listed(kind: str):
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("record_id"))))
+        return F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.array_repeat("record_id", F.col("n").cast("int"))))))
 
     return both.groupBy("source", "target").agg(listed("d").alias("documents"), listed("g").alias("groups")).where(F.size("documents") + F.size("groups") >= least)
 
