@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.sources import shared
+from folioworks.sources import lease, shared
+from folioworks.sources.lease import Lease
+from folioworks.sources.versions import Table
 
 
 def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -54,3 +59,38 @@ def ingest_once(files: DataFrame, archive: str, checkpoint: str, hash_column: st
         new.write.mode("append").parquet(archive)
 
     files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _prefix(hash_: Column) -> Column:
+    return F.left(hash_, F.lit(2))
+
+
+def take(files: DataFrame, archive: Table, fence: int, hash_column: str = "sha256") -> int:
+    """K1, K3: appends files whose content the archive hasn't got, under a lease's number; returns how many.
+
+    Hashes are compared within the prefixes that the files have, so a small batch reads a small part of the archive's.
+    """
+    new = files.dropDuplicates([hash_column]).withColumn("prefix", _prefix(F.col(hash_column)))
+    prefixes = [r[0] for r in new.select("prefix").distinct().collect()]  # 256 of a hexadecimal hash at most
+    there = archive.read()
+    if len(prefixes) < 200:
+        there = there.where(F.col("prefix").isin(*prefixes))
+    new = shared.staged(new.join(there.select("prefix", hash_column), ["prefix", hash_column], "left_anti"), "new")
+    archive.append(new.repartitionByRange("prefix").sortWithinPartitions("prefix"), fence)
+    return new.count()
+
+
+def exclusive(spark: SparkSession, path: str, holder: str, work: Callable[[Table, Lease], int], schema, seconds: float = 600.0, clock: Callable[[], float] = time.time) -> dict:
+    """K1: runs work(archive, lease) if no other ingest into `path` is running: {status: started or busy, taken}.
+
+    work should renew the lease while it lasts; what it appends after another holder has come is refused.
+    """
+    held = lease.acquire(spark, f"{path}/lease", holder, seconds, clock)
+    if held is None:
+        return {"status": "busy", "taken": 0}
+    archive = Table(spark, f"{path}/archive", schema)
+    try:
+        archive.barrier(held.fence)
+        return {"status": "started", "taken": work(archive, held)}
+    finally:
+        held.release()
