@@ -127,6 +127,14 @@ def audit_value(field: str, c: Column) -> Column:
     return F.when(F.length(text) > 1000, F.concat(F.substring(text, 1, 1000), note)).otherwise(text)
 
 
+def audit_json(field: str, c: Column, kind: str) -> Column:
+    """a value of any kind as an audit row has it: NULL stays, strings are `audit_value`, others are JSON."""
+    if kind == "string":
+        return audit_value(field, c)
+    nested = kind.startswith(("array", "map", "struct"))
+    return audit_value(field, F.to_json(c) if nested else c.cast("string"))
+
+
 def citations(c: Column) -> Column:
     """distinct numbers cited as [Doc #n]."""
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\[Doc #(\d+)\]"), F.lit(1)), lambda x: x.cast("long"))))

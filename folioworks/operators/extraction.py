@@ -10,7 +10,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,3 +86,15 @@ def evidence(edges: DataFrame, documents: DataFrame) -> DataFrame:
     """An edge's evidence ids that are documents."""
     ids = edges.select("source", "target", F.explode("evidence_doc_ids").alias("id"))
     return ids.join(documents.select("id", "title"), "id").select("source", "target", "id", "title")
+
+
+def reextracted(documents: DataFrame, fresh: DataFrame, archive: Column, now: Column) -> DataFrame:
+    """M7: documents whose content was extracted again, in place: what an extraction fills is new, ids, annotations and key flags
+    stay, an archive is named only where none was. fresh: sha256 and described fields, one row for each content."""
+    fields = [c for c in (*_FIELDS, "raw_extraction") if c in documents.columns and c in fresh.columns]
+    new = fresh.select("sha256", F.lit(True).alias("_again"), *(F.col(c).alias(f"_{c}") for c in fields))
+    out = documents.join(new, "sha256", "left")
+    again = F.coalesce("_again", F.lit(False))
+    changes = {c: F.when(again, F.col(f"_{c}")).otherwise(F.col(c)) for c in fields}
+    changes |= {"source_archive": F.when(again, F.coalesce("source_archive", archive)).otherwise(F.col("source_archive")), "updated_at": F.when(again, now).otherwise(F.col("updated_at"))}
+    return out.withColumns(changes).select(*documents.columns)

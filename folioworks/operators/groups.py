@@ -46,3 +46,16 @@ def date_range(pages: DataFrame) -> DataFrame:
     """The first and the last of the pages' dates, each page's depicted date or else where its range starts."""
     date = F.coalesce(F.nullif("date_depicted", F.lit("")), "date_range_start")
     return pages.groupBy("group_id").agg(F.min(date).alias("date_range_start"), F.max(date).alias("date_range_end"))
+
+
+def merged_transactions(pages: DataFrame, transactions: DataFrame) -> DataFrame:
+    """A group's transactions are all of its pages', repeats too, in order of pages.
+
+    pages: group_id, page, document_id; transactions: document_id, ... Returns group_id, page and the transactions' columns but document_id.
+    """
+    return pages.select("group_id", "page", "document_id").join(transactions, "document_id").drop("document_id")
+
+
+def merged_tags(pages: DataFrame, tags: DataFrame) -> DataFrame:
+    """A group's tags are its pages', each once."""
+    return pages.select("group_id", "document_id").join(tags, "document_id").select("group_id", "tag").distinct()

@@ -76,10 +76,22 @@ def cascaded(documents: DataFrame, children: dict[str, DataFrame], gone: DataFra
     return documents.join(gone.select("id"), "id", "left_anti"), {k: v.join(ids, "document_id", "left_anti") for k, v in children.items()}
 
 
+#: Fields that an extraction fills and a wipe empties.
+DESCRIBED = ("date_depicted", "date_range_start", "date_range_end", "location", "medium", "dimensions", "language", "transcription", "raw_extraction")
+
+
 def wiped(documents: DataFrame, where: Column) -> DataFrame:
-    """Described fields are reset, and a marker has the next ingest take the document again."""
-    none = F.lit(None).cast("string")
-    return documents.withColumns({"date_depicted": F.when(where, none).otherwise(F.col("date_depicted")), "date_range_start": F.when(where, none).otherwise(F.col("date_range_start")), "description": F.when(where, "Extraction failed: metadata wiped")})
+    """Of the documents that pass, what an extraction filled is emptied, the title is the file's name, no evidence is key, and
+    a marker has the next ingest take them again. Other documents, and what users added, stay as they are."""
+    have = documents.columns
+    new = {c: F.lit(None).cast(documents.schema[c].dataType) for c in DESCRIBED if c in have}
+    if "title" in have and "filename" in have:
+        new["title"] = F.col("filename")
+    if "is_key_evidence" in have:
+        new["is_key_evidence"] = F.lit(0)
+    out = documents if "description" in have else documents.withColumn("description", F.lit(None).cast("string"))
+    new["description"] = F.lit("Extraction failed: metadata wiped")
+    return out.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in new.items()})
 
 
 def weak(transactions: DataFrame, least: int) -> DataFrame:

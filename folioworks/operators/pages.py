@@ -9,7 +9,7 @@ from __future__ import annotations
 import bisect
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.sources import shared
@@ -50,10 +50,14 @@ def numbered(ranged_: DataFrame, order: list[Column], sizes: list[tuple[int, int
     return rows.drop("range").orderBy(*order).offset(before).limit(size)
 
 
-def page(df: DataFrame, order: list[Column], number: int = 1, per_page: int = 50, most: int = MOST_PER_PAGE) -> DataFrame:
+#: Rows before a page up to which tasks keep what may be on it: `orderBy().limit()` holds no more in any task.
+EARLY = 10_000
+
+
+def page(df: DataFrame, order: list[Column], number: int = 1, per_page: int = 50, most: int = MOST_PER_PAGE, early: int = EARLY) -> DataFrame:
     """O2: a page of df in the order; early ones by the least rows of each task, deep ones by ranges."""
     offset, size = bounds(number, per_page, most)
-    if offset < 50 * most:  # `orderBy().limit()` keeps no more than that in any task
+    if offset < early:
         return df.orderBy(*order).offset(offset).limit(size)
     all_ = ranged(df, order)
     return numbered(all_, order, counts(all_), offset, size).orderBy(*order)

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.functions import exprs
+from folioworks.operators import pages
 from folioworks.sources.archive import Archive
 
 NONE = "__none__"
-MOST_PER_PAGE = 200
 SORTS = ("title", "date_depicted", "id", "source_archive")
 
 
@@ -67,8 +67,7 @@ def ordering(sort: str, descending: bool = False) -> list[Column]:
 
 def page(df: DataFrame, order: list[Column], number: int = 1, per_page: int = 50) -> DataFrame:
     """O2"""
-    number, per_page = max(1, number), min(max(1, per_page), MOST_PER_PAGE)
-    return df.orderBy(*order).offset((number - 1) * per_page).limit(per_page)
+    return pages.page(df, order, number, per_page)
 
 
 def stats(a: Archive) -> DataFrame:
@@ -113,11 +112,21 @@ def gallery(a: Archive) -> DataFrame:
     return docs.select(cols).unionByName(groups.select(cols))
 
 
+def stamped_gallery(a: Archive) -> DataFrame:
+    """`gallery` with the times at which records were made and changed."""
+    cols = ["record_type", "id", "title", "sort_date", "created_at", "updated_at"]
+    docs = a.stamped.where("is_trashed = 0 and group_id is null").select(F.lit("document").alias("record_type"), "id", "title", dated().alias("sort_date"), "created_at", "updated_at")
+    groups = a.stamped_groups.where("is_trashed = 0").select(F.lit("group").alias("record_type"), "id", "title", dated().alias("sort_date"), "created_at", "updated_at")
+    return docs.select(cols).unionByName(groups.select(cols))
+
+
 def gallery_page(a: Archive, number: int = 1, per_page: int = 50, by: str = "title", descending: bool = False) -> DataFrame:
-    """A page of documents and a page of groups, merged by title or date; empty ones stand last either way."""
-    key = F.nullif(F.lower("title") if by == "title" else F.col("sort_date"), F.lit(""))
+    """A page of documents and a page of groups, merged by title, date, updated (or else created) or created; empty ones stand last either way."""
+    stamps = by in ("updated", "created")
+    key = F.lower("title") if by == "title" else F.coalesce(F.nullif(F.col("updated_at"), F.lit("")), F.col("created_at")) if by == "updated" else F.col("created_at" if stamps else "sort_date")
+    key = F.nullif(key, F.lit(""))
     order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("record_type"), F.col("id")]
-    all_ = gallery(a)
+    all_ = stamped_gallery(a) if stamps else gallery(a)
     parts = [page(all_.where(F.col("record_type") == kind), order, number, per_page) for kind in ("document", "group")]
     return parts[0].unionByName(parts[1]).orderBy(*order)
 

@@ -1,3 +1,3 @@
 """Importing this module registers every query of the archive engine."""
 
-from folioworks.plans import changes, desk, finding, library, registry, running, searching, streams, trade  # noqa: F401
+from folioworks.plans import changes, desk, finding, library, registry, running, searching, streams, trade, whole  # noqa: F401

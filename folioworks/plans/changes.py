@@ -103,7 +103,7 @@ def group_role_lookup(a):
     return pages.join(a.document_entities, "document_id").groupBy("group_id").agg(F.min_by("role", F.struct("page_number", "role")).alias("role"))
 
 
-@_q("edge_evidence edge_evidence_all", DOCS, GROUPS, LIVE, DOC_ENTS, "SELECT a.entity_id AS source, b.entity_id AS target, a.document_id AS id, title FROM dents a JOIN dents b ON a.document_id = b.document_id AND a.role = 'seller' AND b.role = 'buyer' JOIN live ON live.id = a.document_id")
+@_q("edge_evidence edge_evidence_all", DOCS, GROUPS, LIVE, DOC_ENTS, "SELECT a.entity_id AS source, b.entity_id AS target, document_id AS id, title FROM (SELECT * FROM dents WHERE role = 'seller') a JOIN (SELECT * FROM dents WHERE role = 'buyer') b USING (document_id) JOIN live ON live.id = document_id")
 def edge_evidence(a):
     """J24"""
     one = a.document_entities.where("role = 'seller'").select("document_id", F.col("entity_id").alias("source"))

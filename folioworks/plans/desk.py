@@ -445,7 +445,8 @@ def place_link_candidates(a):
     """Texts that name a place, less those that are linked to it already."""
     terms = a.raw("benchmark").select(F.explode(F.split("text", " ")).alias("word")).where(F.col("word").rlike("^[a-z]{7,}$")).select(F.col("word").alias("term")).distinct()
     named = places.mentions(a.raw("documents").select(F.col("doc_id").alias("id"), "text"), "text", terms)
-    linked = a.raw("documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")).crossJoin(F.broadcast(terms.where(F.length("term") % 2 == 0)))  # stands for a table of links
+    before = a.raw("documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), "text")
+    linked = places.mentions(before, "text", terms.where(F.length("term") % 2 == 0))  # the links that there are
     return named.join(linked, ["id", "term"], "left_anti")
 
 

@@ -50,6 +50,18 @@ class Archive:
         out = self.documents.withColumns({"own_title": F.when(F.col("id") % 13 != 0, F.col("title")), "filename": F.concat(F.lit("scan_"), "id", F.lit(".jpg")), "medium": medium})
         return out.withColumn("medium_category", exprs.medium_category(F.col("medium")))
 
+    @cached_property
+    def stamped(self) -> DataFrame:
+        """Documents with created_at, and updated_at where they were changed."""
+        made = self.raw("orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.when(F.col("o_orderkey") % 4 == 0, F.date_format(F.date_add("o_orderdate", (F.col("o_orderkey") % 90).cast("int")), "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, "").alias("updated_at"))
+        return self.described.join(made, "id")
+
+    @cached_property
+    def stamped_groups(self) -> DataFrame:
+        """Groups made with their first page and changed with their last changed one."""
+        made = self.stamped.where("group_id is not null").groupBy(F.col("group_id").alias("id")).agg(F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+        return self.groups.join(made, "id")
+
     @cached_property
     def group_transactions(self) -> DataFrame:
         """Transactions that groups have of their own: those of their first pages."""
