@@ -13,7 +13,7 @@ most about SAMPLE spans, and decides which candidates are added.
 
 What comes to the driver is bounded: counts of vote patterns (at most 3^LABELERS times two for
 each kind) and the sample. Every pattern takes time in proportion to the text, also on runs of
-digits of any length.
+digits, credentials and parts of addresses of any length, which are found whole.
 
 Results: a null or empty text has no spans; base spans always stay, and added ones don't
 overlap them; secrets are no personal data and stand in columns of their own (they can overlap
@@ -50,14 +50,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: Of a spelled-out email, what follows its first label.
+_SPOKEN = (re.compile(r"(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?[A-Za-z0-9-]{2,}+)++"), re.compile(r"(?: (?:dot|DOT) [A-Za-z0-9-]{2,}+)++"))
+#: What stands between its local part and that label.
+_AT = (re.compile(r"\s?[\[({]?\s?(?:at|AT)\s?[\])}]?\s?$"), re.compile(r" (?:at|AT) $"))
 _LOOSE = (
-    (0, re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\s?[\[({]?\s?(?:at|AT)\s?[\])}]?\s?[A-Za-z0-9-]{1,63}(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?[A-Za-z0-9-]{2,24}){1,4}")),
-    (0, re.compile(r"\b[A-Za-z0-9._%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{2,24}){1,4}\b")),
     (2, re.compile(r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     (3, re.compile(r"(?<![0-9])00[1-9][0-9]{0,2}[ .-][0-9][0-9 .-]{6,14}[0-9](?![0-9])")),
-    (SECRET, re.compile(r"(?i)\b(?:[a-z]{1,20}[_-])?(?:token|key|apikey|secret|password|passwd|pwd)\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{12,512})(?![A-Za-z0-9+/_=.-])")),
-    (SECRET, re.compile(r"(?<![A-Za-z0-9])([0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")),
+)
+#: Credentials of any length: a run of their characters is taken whole.
+_SECRETS = (
+    re.compile(r"(?i)(?<![a-z0-9])(?:token|key|apikey|secret|password|passwd|pwd)\s*+[:=]\s*+[\"']?([A-Za-z0-9+/_=.-]{12,}+)"),
+    re.compile(r"(?<![A-Za-z0-9])([0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])"),
 )
 _GAZETTEER = json.loads(files(__package__).joinpath("gazetteer.json").read_text(encoding="utf-8"))
 _ENDINGS, _HOSTS, _AGAINST, _UNITS = (frozenset(_GAZETTEER[x]) for x in ("domain_endings", "mail_hosts", "against", "units"))
@@ -95,6 +100,43 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def _local(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c in "._%+-")
+
+
+def _label(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c == "-")
+
+
+def _spoken(text: str):
+    """Spelled-out emails, from their ends: each end's label, what stands for the @ before or in it, and the local part before that.
+
+    Runs of characters are gone through once for an end, so the time is in proportion to the text, however long the parts.
+    """
+    for pattern, at in zip(_SPOKEN, _AT):
+        done = 0
+        for m in pattern.finditer(text):
+            first = m.start()
+            while first > done and _label(text[first - 1]):
+                first -= 1
+            between = at.search(text, max(done, first - 8), first) if first < m.start() else None
+            stop = between.start() if between and between.end() == first else None
+            if stop is None:  # nothing but at in the label itself
+                label = text[first : m.start()]
+                stop = max(label.rfind("at", 1, len(label) - 1), label.rfind("AT", 1, len(label) - 1))
+                if pattern is not _SPOKEN[0] or stop < 0:
+                    continue
+                stop += first
+            start = stop
+            while start > done and _local(text[start - 1]):
+                start -= 1
+            while start < stop and not (text[start].isalnum() or text[start] == "_"):
+                start += 1
+            if start < stop:
+                yield start, m.end()
+                done = m.end()
+
+
 def _dotted_fours(text: str):
     """The pattern's leftmost matches: of digits and dots as long as they go, four parts at a time; kept if all are at most 255."""
     for m in _DOTTED.finditer(text):
@@ -128,7 +170,7 @@ def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
 def votes(kind: int, text: str, start: int, end: int) -> tuple[int, ...]:
     """1 for, -1 against, 0 no vote: form, length, gazetteer, words before, words after, characters next to it."""
     span = text[start:end]
-    digits = _digits(span[:64])
+    digits = _digits(span)
     before, after = _around(text, start, end)
     if kind == 0:
         parts = re.split(r"@|\bat\b|\bAT\b", span)
@@ -167,7 +209,7 @@ _RUNS = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[^0-9A-Za-z]")
 
 def features(kind: int, text: str, start: int, end: int) -> list[int]:
     """Hashed features of a span's tokens and context."""
-    span = text[start : min(end, start + 256)]
+    span = text[start:end]
     before, after = _around(text, start, end)
     shape = "".join("9" if x[0].isdigit() else "a" if x[0].islower() else "A" if x[0].isupper() else x for x in _RUNS.findall(span))
     digits = _digits(span)
@@ -200,23 +242,19 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base) of the base spans and of what the loose patterns find apart from them."""
     out = [(KINDS.index(k), i, j, True) for k, i, j in base_spans(text)] if re.search(r"[0-9@]", text) else []
     taken = sorted((i, j) for _, i, j, _ in out)
-    spoken, secret = re.search(r"\b(?:dot|DOT)\b", text), set()
-    for kind, pattern in _LOOSE:
-        if kind == 0 and not spoken:
-            continue
-        if kind == SECRET:
-            secret.update(m.span(1) for m in pattern.finditer(text))
-            continue
+    spoken = [(0, _spoken(text))] if re.search(r"dot|DOT", text) else []
+    for kind, spans in [*spoken, *((k, (m.span() for m in p.finditer(text))) for k, p in _LOOSE)]:
         starts, ends = [i for i, _ in taken], [j for _, j in taken]
         # taken spans of different kinds can overlap: the latest end so far tells whether one reaches in
         reach = np.maximum.accumulate(np.array(ends)).tolist() if ends else []
         new = []
-        for m in pattern.finditer(text):
-            n = bisect_right(starts, m.end() - 1)
-            if not n or reach[n - 1] <= m.start():
-                new.append(m.span())
+        for i, j in sorted(spans):
+            n = bisect_right(starts, j - 1)
+            if (not n or reach[n - 1] <= i) and (not new or new[-1][1] <= i):
+                new.append((i, j))
         out += ((kind, i, j, False) for i, j in new)
         taken = sorted(taken + new)
+    secret = {m.span(1) for p in _SECRETS for m in p.finditer(text)}
     return out + [(SECRET, i, j, False) for i, j in sorted(secret)]
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -520,3 +521,23 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     for r in stage["packing"](rest).collect():
         tokens[r["doc_id"]] += r["length"]
     assert tokens == sum((Counter({d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1}) for d, t in fx.pairs(rest)), Counter())
+
+
+def test_nothing_that_is_found_is_lost_when_it_is_longer():
+    def found(kind, text):
+        return [text[i:j] for k, i, j, base in pii.candidates(text) if k == kind and not base]
+
+    for n in (12, 31, 32, 64, 65, 128, 129, 400, 512, 513, 5000, 100_000):
+        word = ("aB3dE7_x" * n)[:n]
+        assert found(pii.SECRET, f"the token = {word}, then") == [word] and found(pii.SECRET, f"my_very_long_prefix_of_a_name_password:'{word}'") == [word]
+        assert found(pii.SECRET, f"id {('0a1b' * n)[:n]} end") == ([("0a1b" * n)[:n]] if n >= 32 else [])
+        for mail in (f"{word} at host dot com", f"joe at {'h' * n} dot com", f"joe (at) host (dot) {'c' * n}", "joe at host" + " dot ab" * n, f"{'a.' * n}b [at] host [dot] org"):
+            assert found(0, f"to {mail} now") == [mail], mail[:60]
+    assert found(0, "the format host dot com") == [] and found(0, "joeathost(dot)com") == ["joeathost(dot)com"]
+
+
+def test_loose_spans_take_linear_time():
+    for unit in ("a.", "at", "a at b (dot) ", "token", "token ", "(dot)aa", " dot aa", "token=", "0a", "joe at x dot com ", "key:'", "00 1 2 3-", "1234.5678."):
+        began = time.perf_counter()
+        pii.candidates(unit * (400_000 // len(unit)))
+        assert time.perf_counter() - began < 5, unit
