@@ -131,19 +131,30 @@ def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int) -> np.nd
 def _improved(low: int, size: np.ndarray, place: np.ndarray, fill: np.ndarray, capacity: int) -> bool:
     """Makes the move or exchange of one bin's pieces that raises the sum of squared fills most; False if none does."""
     mine = np.flatnonzero(place == low)
-    give = [(int(size[i]), (i,)) for i in mine] + [(int(size[i] + size[j]), (i, j)) for n, i in enumerate(mine) for j in mine[n + 1 :]]
-    best, left, other = None, capacity - fill[place], place != low
-    for n, which in give:
-        gain = np.where(other, n - size, 0)  # for one document of another bin
-        score = np.where((gain > 0) & (gain <= left), gain * (fill[place] - fill[low] + gain), 0)
+    # pieces of one length are alike, here and, with the room beside them, in the other bins
+    of, first, count = np.unique(size[mine], return_index=True, return_counts=True)
+    give = {int(n): (int(mine[i]),) for n, i in zip(of, first)}
+    for x in range(len(of)):
+        for y in range(x, len(of)):
+            two = np.flatnonzero(size[mine] == of[x])[:2] if x == y else (first[x], first[y])
+            if x != y or count[x] > 1:
+                give.setdefault(int(of[x] + of[y]), tuple(int(mine[i]) for i in two))
+    others = np.flatnonzero(place != low)
+    kind = size[others] * (capacity + 1) + capacity - fill[place[others]]
+    kind, at_first = np.unique(kind, return_index=True)
+    length, left = kind // (capacity + 1), kind % (capacity + 1)
+    ahead, best = capacity - left - fill[low], None
+    for n, which in give.items():
+        gain = n - length  # for one document of another bin
+        score = np.where((gain > 0) & (gain <= left), gain * (ahead + gain), 0)
         at = int(np.argmax(score)) if len(score) else 0
         if len(score) and score[at] > 0 and (best is None or score[at] > best[0]):
-            best = (int(score[at]), which, at, True)
-        if len(which) == 1:
-            score = np.where(other & (left >= n), n * (fill[place] - fill[low] + n), 0)
+            best = (int(score[at]), which, int(others[at_first[at]]), True)
+        if len(which) == 1 and len(score):
+            score = np.where(left >= n, n * (ahead + n), 0)
             at = int(np.argmax(score))
             if score[at] > 0 and (best is None or score[at] >= best[0]):
-                best = (int(score[at]), which, at, False)
+                best = (int(score[at]), which, int(others[at_first[at]]), False)
     if best is None:
         return False
     _, which, at, exchange = best

@@ -541,3 +541,22 @@ def test_loose_spans_take_linear_time():
         began = time.perf_counter()
         pii.candidates(unit * (400_000 // len(unit)))
         assert time.perf_counter() - began < 5, unit
+
+
+def test_the_search_takes_little_time_for_equal_lengths():
+    lengths = np.full(10_000, 30)
+    where = packing.best_fit(lengths, 2048)
+    began = time.perf_counter()
+    after = packing.local_search(lengths, where, 2048)
+    assert time.perf_counter() - began < 2 and len(set(after.tolist())) == len(set(where.tolist())) == 148
+
+
+def test_the_search_empties_sequences():
+    rng = np.random.default_rng(8)
+    for n in range(40):
+        lengths = rng.integers(1, 60, 40)
+        where = np.arange(40) // 2  # half empty
+        after = packing.local_search(lengths, where, 100)
+        fill = np.bincount(after, lengths)
+        assert fill.max() <= 100 and (fill > 0).sum() <= len(set(where.tolist())) and Counter(lengths[after >= 0].tolist()) == Counter(lengths.tolist())
+        assert (fill > 0).sum() <= -(-int(lengths.sum()) // 100) + 2
