@@ -1,18 +1,21 @@
 """Op 4, line dedup by pairwise alignment.
 
-Runs are the shortest blocks of lines, from a line on or up to it, with at least WORDS words:
-every block that can be deleted is made of them. Documents that share a run are paired through
-the run's first holder, so a run of any number of documents makes one pair for each of them,
-and a document is paired with at most two documents for each of its lines. The lines of both
-are aligned by patience diff, the rarest shared lines first (those unique in both, or else the
-rarest); aligned blocks of at least WORDS words are deleted from the later document, and so
-are runs that both have in another order. What is deleted stays in the document that has it
-first.
+The unit is a run: the shortest block of lines, from a line on or up to it, with at least WORDS words; a line
+of that many is a run of its own, and every block that can be deleted is made of runs. A run belongs to the
+first document that holds it. A later document is paired with each first holder of a rare run that it has,
+one that stands in at most RARE places; both sequences of the runs that bind the two, with their places, are
+aligned by patience diff, the rarest runs first, and what is aligned is deleted from the later document. Runs
+that the alignment leaves, because they stand in another order or their holder shares no rare run, are deleted
+by the index of first holders itself: so nothing that an earlier document has stays, and `n_aligned` says how
+many lines the alignment took.
+
+A document's runs go to their holders and come back with these holders' places, as many for each run as the
+document has itself. So the exchange is in proportion to the documents' lines, whatever the partners.
 
 Results: a line goes if it lies in a block of at least WORDS words that an earlier document has
 too, blank lines left out; lines end at line feeds and are compared as they are; blank lines pair nothing and
 go with the block around them; a null or empty text has one empty line; rows that repeat a
-doc_id are told apart by their texts, equal rows get equal results; other columns are
+doc_id are told apart by their texts, equal rows are one document and get equal results; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -20,13 +23,15 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm import common
+from folioworks.llm import common, textkit
 
-WORDS = 5
+#: A run's words at least, and the places in which a rare one stands at most, in all documents.
+WORDS, RARE = 5, 100
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -74,96 +79,87 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(early: list, late: list, words: list[int], least: int) -> list[int]:
-    """Places in `late` of the aligned blocks with at least so many words; None is a blank line."""
-    shared = set(early) & set(late)
-    # a gap counts once, whatever it is, so that blocks don't run across it
-    marks = iter(range(-(2**62), 0))
-
-    def reduced(lines):
-        kept, places = [], []
-        for n, x in enumerate(lines):
-            if x is None:
-                continue
-            if x in shared:
-                kept.append(x)
-            elif not kept or not isinstance(kept[-1], tuple):
-                kept.append((next(marks),))
-            else:
-                continue
-            places.append(n)
-        return kept, places
-
-    a, _ = reduced(early)
-    b, place = reduced(late)
-    out: list[int] = []
-    block: list[tuple[int, int]] = []
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-            lines = [place[q] for _, q in block]
-            if sum(words[n] for n in lines) >= least:
-                out += range(lines[0], lines[-1] + 1)
-            block = []
-        block.append((i, j))
-    return out
-
-
-def runs(lines: list, words: dict, least: int):
-    """(lines, first and last place) of the runs of lines that `words` has; None is a blank line."""
-    at = [n for n, x in enumerate(lines) if x is not None]
-    for step in (1, -1):
-        places = at[::step]
-        for i in range(len(places)):
-            total, j = 0, i
-            while total < least and j < len(places) and lines[places[j]] in words:
-                total += words[lines[places[j]]]
-                j += 1
-            if total >= least:
-                run = places[i:j][::step]
-                yield tuple(lines[n] for n in run), run[0], run[-1]
-
-
-def shared_blocks(early: list, late: list, words: list[int], least: int) -> list[int]:
-    """Places in `late` of the aligned blocks, and of the runs that `early` has in another order."""
-    out = set(common_blocks(early, late, words, least))
-    shared = set(early)
-    if any(x is not None and x in shared and n not in out for n, x in enumerate(late)):
-        size = dict(zip(late, words))
-        held = {run for run, _, _ in runs(early, size, least)}
-        for run, start, end in runs(late, size, least):
-            if run in held:
-                out.update(range(start, end + 1))
-    return sorted(out)
+def _joined(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int, seed: int):
+    """Of each line, the run that begins there: hash, number of further lines, and whether it has words enough."""
+    n = len(hashes)
+    total, run, more = words.copy(), hashes.copy(), np.zeros(n, np.int64)
+    at = np.arange(n)
+    for step in range(1, least):
+        going = at[: max(0, n - step)]
+        going = going[(total[going] < least) & (doc[going] == doc[going + step])]
+        run[going] = textkit.mix(textkit.mix(run[going] + textkit.u64(0x9E3779B97F4A7C15 * seed)) * textkit.u64(0x9E3779B97F4A7C15) + hashes[going + step])
+        total[going] += words[going + step]
+        more[going] = step
+    return run, more, total >= least
 
 
-def _aligned(least: int):
-    def run(batches):
-        for batch in batches:
-            early, late, words = (batch.column(c).to_pylist() for c in ("early", "lines", "words"))
-            drop = [shared_blocks(*x, least) for x in zip(early, late, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(drop, pa.list_(pa.int32()))], ["k", "h", "drop"])
+def runs(hashes: np.ndarray, words: np.ndarray, doc: np.ndarray, place: np.ndarray, least: int):
+    """(doc, run, start, end) of the runs of solid lines, in order of documents and runs; arrays of one length."""
+    run, more, ok = _joined(hashes, words, doc, least, 1)
+    found = [(doc[ok], run[ok], place[ok], place[np.flatnonzero(ok) + more[ok]])]
+    run, more, ok = (x[::-1] for x in _joined(hashes[::-1], words[::-1], doc[::-1], least, 2))
+    ok = ok & (more > 0)  # a run of one line has been
+    found.append((doc[ok], run[ok], place[np.flatnonzero(ok) - more[ok]], place[ok]))
+    out = [np.concatenate(x) for x in zip(*found)]
+    order = np.lexsort((out[2], out[1], out[0]))
+    return tuple(x[order] for x in out)
 
-    return run
 
+_RUNS = "k long, h long, run long, starts array<int>, ends array<int>"
 
-def _run_keys(least: int) -> Column:
-    """Hashes of a text's runs: of a run of one line the line's own, of a longer one its lines' in turn. `solid`: the lines that aren't blank."""
 
-    def from_each(of: Column, seed: int) -> Column:
-        def key(x):
-            first = F.struct(x["0"]["words"].alias("words"), F.xxhash64(F.lit(seed), x["0"]["lines"]).alias("hash"))
-            more = lambda s, y: F.when((s["words"] >= least) | y.isNull(), s).otherwise(F.struct((s["words"] + y["words"]).alias("words"), F.xxhash64(s["hash"], y["lines"]).alias("hash")))
-            run = F.aggregate(F.array(*(x[str(j)] for j in range(1, least))), first, more, lambda s: F.when(s["words"] >= least, s["hash"]))
-            return F.when(x["0"]["words"] >= least, x["0"]["lines"]).otherwise(run)
+def _listed(least: int):
+    """A row for each run of each document, with its places."""
 
-        # each line with those that follow it, side by side, so that a line costs the same in a text of any length
-        return F.transform(F.arrays_zip(*(F.slice(of, j + 1, F.greatest(F.size(of), F.lit(1))) for j in range(least))), key)
+    def run(batches):
+        for batch in batches:
+            lines, words = (batch.column(c) for c in ("lines", "words"))
+            size = np.diff(lines.offsets.to_numpy())
+            values = lines.flatten()
+            solid = np.flatnonzero(~values.is_null().to_numpy(zero_copy_only=False))
+            doc = np.repeat(np.arange(len(size)), size)[solid]
+            place = (np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size))[solid]
+            hashes = values.fill_null(0).to_numpy(zero_copy_only=False)[solid].view(np.uint64)
+            d, r, start, end = runs(hashes, words.flatten().to_numpy(zero_copy_only=False)[solid].astype(np.int64), doc, place, least)
+            new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]))) if len(d) else np.zeros(0, np.int64)
+            edges = pa.array(np.append(new, len(d)).astype(np.int32))
+            places = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (start, end)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(d[new])) for c in ("k", "h")), textkit.longs(r[new]), *places], ["k", "h", "run", "starts", "ends"])
+
+    return run
 
-    return F.array_distinct(F.concat(from_each(F.col("solid"), 1), from_each(F.col("back"), 2)))
 
+def aligned(shared: list[dict]) -> tuple[list[int], int]:
+    """Places that go of a document, and how many of them by alignment.
 
-def line_dedup(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
-    """k, h, n_lines, n_removed and kept_text of each row of docs."""
+    shared: of each run that an earlier document has, `early` (its first holder), run, starts, ends, places (in that
+    document, as many as starts at most) and rare.
+    """
+    partners: dict[tuple, list[dict]] = {}
+    for x in shared:
+        partners.setdefault(x["early"], []).append(x)
+    gone: set[int] = set()
+    for those in partners.values():
+        if any(x["rare"] for x in those):
+            late = sorted((s, e, x["run"]) for x in those for s, e in zip(x["starts"], x["ends"]))
+            early = sorted((p, x["run"]) for x in those for p in x["places"])
+            for _, j in patience([r for _, r in early], [r for _, _, r in late]):
+                gone.update(range(late[j][0], late[j][1] + 1))
+    n = len(gone)
+    for x in shared:
+        for start, end in zip(x["starts"], x["ends"]):
+            gone.update(range(start, end + 1))
+    return sorted(gone), n
+
+
+def _dropped(batches):
+    for batch in batches:
+        got = [aligned([{**x, "early": (x["early"]["k"], x["early"]["h"])} for x in shared]) for shared in batch.column("shared").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.int64())], ["k", "h", "drop", "n_aligned"])
+
+
+def line_dedup(docs: DataFrame, least_words: int = WORDS, rare: int = RARE) -> DataFrame:
+    """k, h, n_lines, n_removed, n_aligned and kept_text of each row of docs."""
     base = common.keyed(docs)
     blank = r"^[\s]*$"
     split = F.split("text", "\n", -1)
@@ -172,27 +168,21 @@ def line_dedup(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
         F.transform(split, lambda x: F.when(~x.rlike(blank), F.xxhash64(x))).alias("lines"),
         F.transform(split, lambda x: F.regexp_count(x, F.lit(r"\S+")).cast("int")).alias("words"),
     )
-    lines = common.staged(lines, "lines")
-    solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"].isNotNull())
-    both = lines.select("k", "h", solid.alias("solid")).withColumn("back", F.reverse("solid"))
-    one = both.select(F.struct("k", "h").alias("node"), F.explode(_run_keys(least_words)).alias("run")).where("run is not null")
-    first = one.groupBy("run").agg(F.min("node").alias("early"), F.max("node").alias("last"), F.count("*").alias("n")).where("early < last")
-    first = common.staged(first.select("run", "early", "n"), "first-holders")
-    pairs = common.spread_join(one, first, "run", "node", first).where("early.k < node.k").select("early", "node").distinct()
-    pairs = common.staged(pairs, "line-pairs")
-    late = lines.dropDuplicates(["k", "h"]).select(F.struct("k", "h").alias("node"), "lines", "words")
-    followed = common.staged(pairs.groupBy("early").agg(F.count("*").alias("n")), "followed")
-    pairs = common.spread_join(pairs.join(late, "node"), late.select(F.col("node").alias("early"), F.col("lines").alias("held")), "early", "node", followed)
-    drop = pairs.select("node.k", "node.h", F.col("held").alias("early"), "lines", "words").mapInArrow(_aligned(least_words), "k long, h long, drop array<int>")
-    drop = drop.where(F.size("drop") > 0).groupBy("k", "h").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop"))
+    lines = common.staged(lines.dropDuplicates(["k", "h"]), "lines")
+    one = lines.mapInArrow(_listed(least_words), _RUNS).withColumn("node", F.struct("k", "h"))
+    first = one.groupBy("run").agg(F.min(F.struct("node", F.col("starts").alias("places"))).alias("f"), F.max("node").alias("last"), F.count("*").alias("n"), F.sum(F.size("starts")).alias("stands")).where("f.node < last")
+    first = common.staged(first.select("run", F.col("f.node").alias("early"), "f.places", "n", (F.col("stands") <= rare).alias("rare")), "first-holders")
+    hits = common.spread_join(one.select("node", "run", "starts", "ends"), first, "run", "node", first).where("early.k < node.k")
+    hits = hits.select("node.k", "node.h", F.struct("early", "run", "starts", "ends", F.slice("places", F.lit(1), F.size("starts")).alias("places"), "rare").alias("x"))
+    drop = hits.groupBy("k", "h").agg(F.collect_list("x").alias("shared")).mapInArrow(_dropped, "k long, h long, drop array<int>, n_aligned long")
     out = base.join(drop, ["k", "h"], "left").withColumn("lines", split)
     # what lies between one dropped line and the next
-    cuts = F.array_sort("drop")
+    cuts = F.col("drop")
     parts = F.zip_with(F.concat(F.array(F.lit(-1)), cuts), F.concat(cuts, F.array(F.size("lines"))), lambda x, y: F.slice("lines", x + 2, y - x - 1))
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(parts), "\n"))
-    return out.select("k", "h", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
+    return out.select("k", "h", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"), kept.alias("kept_text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = line_dedup(common.table(spark, sf_dir, "documents"))
-    return out.select(common.doc_id(), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select(common.doc_id(), "n_lines", "n_removed", "n_aligned", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -94,10 +94,76 @@ def test_patience():
     assert line_dedup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert line_dedup.patience([], [1]) == []
-    # the long block, not the single line that crosses it
-    assert line_dedup.common_blocks([1, 2, 3, 4], [4, 1, 2, 3], [5] * 4, 5) == [1, 2, 3]
-    assert line_dedup.common_blocks([1, None, 2], [7, 1, None, 2, 8], [3, 3, 0, 3, 3], 5) == [1, 2, 3]
-    assert line_dedup.common_blocks([1, 2], [1, 5, 2], [3, 3, 3], 5) == []
+
+
+def shared(early, late, rare=True):
+    """What `aligned` gets of two sequences of single-line runs."""
+    return [{"early": 1, "run": x, "starts": [i for i, y in enumerate(late) if y == x], "ends": [i for i, y in enumerate(late) if y == x], "places": [i for i, y in enumerate(early) if y == x][: late.count(x)], "rare": rare} for x in set(early) & set(late)]
+
+
+def test_aligned_runs_go_first_and_the_rest_by_the_index():
+    assert line_dedup.aligned(shared([1, 2, 3, 4], [4, 1, 2, 3])) == ([0, 1, 2, 3], 3)  # the long block is aligned, not the line that crosses it
+    assert line_dedup.aligned(shared([1, 2, 3], [7, 3, 2, 1])) == ([1, 2, 3], 1)
+    assert line_dedup.aligned(shared([1, 2, 3], [1, 9, 2, 3, 1])) == ([0, 2, 3, 4], 3)
+    assert line_dedup.aligned(shared([1, 2], [1, 2], rare=False)) == ([0, 1], 0) and line_dedup.aligned([]) == ([], 0)
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """Most of what goes is aligned; without the diff nothing is."""
+    df = fx.docs(spark)
+    one = line_dedup.line_dedup(df).agg({"n_removed": "sum", "n_aligned": "sum"}).first()
+    assert one["sum(n_aligned)"] >= 0.9 * one["sum(n_removed)"] > 0
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.aligned(shared([1, 2, 3], [1, 2, 3])) == ([0, 1, 2], 0)
+
+
+def test_runs_by_brute_force():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    for least in (1, 3, 5):
+        docs = [[(rng.randint(1, 4), rng.randint(1, 3)) for _ in range(rng.randint(0, 9))] for _ in range(40)]
+        want = set()
+        for d, lines in enumerate(docs):
+            for step in (1, -1):
+                for i in range(len(lines)):
+                    j, total = i, lines[i][1]
+                    while total < least and 0 <= j + step < len(lines):
+                        j += step
+                        total += lines[j][1]
+                    if total >= least:
+                        want.add((d, min(i, j), max(i, j), tuple(x for x, _ in lines[min(i, j) : max(i, j) + 1]), step if i != j else 1))
+        flat = [(d, n, *x) for d, lines in enumerate(docs) for n, x in enumerate(lines)]
+        doc, place, line, words = (np.array(x) for x in zip(*flat))
+        d, r, s, e = line_dedup.runs(line.astype(np.uint64), words, doc, place, least)
+        assert len(d) == len(want) and {x[:3] for x in want} == set(zip(d.tolist(), s.tolist(), e.tolist()))
+        names = {}
+        for x, y, z, run in zip(d.tolist(), s.tolist(), e.tolist(), r.tolist()):
+            names.setdefault(run, set()).add(tuple(v for v, _ in docs[x][y : z + 1]))
+        assert max(map(len, names.values())) == 1  # a name is one sequence of lines
+
+
+def test_a_document_of_many_partners_takes_linear_time(spark):
+    import time
+
+    took = []
+    for n in (3000, 12_000):
+        rows = [(i, f"line {i} that an earlier document has\nown {i}") for i in range(n)]
+        rows.append((n, "\n".join(x for i in range(n) for x in (f"line {i} that an earlier document has", f"more {i}"))))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        began = time.time()
+        got = line_dedup.line_dedup(df).where(f"k = {n}").first()
+        took.append(time.time() - began)
+        assert (got["n_removed"], got["n_aligned"]) == (n, n)
+    assert took[1] < 4 * took[0] + 10
+
+
+def test_equal_rows_are_one_document(spark):
+    rows = [(1, "the first line of five words")] + [(None, "the first line of five words\nand one more of five words")] * 5000 + [(2, "and one more of five words\nx")] * 2000
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy("k", "n_removed", "kept_text").count().collect()
+    assert sorted((r["n_removed"], r["kept_text"], r["count"]) for r in got) == [(0, "the first line of five words\nand one more of five words", 5000), (1, "", 1), (1, "x", 2000)]
 
 
 def test_line_dedup(spark):
