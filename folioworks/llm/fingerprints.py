@@ -9,10 +9,11 @@ differences estimate how much two texts share, also where a change lies inside a
 The paragraphs' order doesn't matter; `inserted` and `deleted` update a fingerprint without
 the whole text.
 
-The next document is looked up in ranges of consecutive keys. Their bounds come from a sample
-of the keys with the text's hash and the row's number, so they are even whatever the ids are,
-null and repeated ids and equal rows too; numbers and ranges are fixed in a staged table before
-anything depends on them. The first row of each range is also a guest of the range before it.
+The next document is looked up in slices of consecutive keys. Rows are sorted by ranges whose
+bounds come from a sample of the keys with the text's hash and the row's number, so they are even
+whatever the ids are, null and repeated ids and equal rows too; a range is cut into slices of SLICE
+rows, whatever its size, and places are fixed in a staged table before anything depends on them.
+The first row of each slice is also a guest of the slice before it.
 
 Results: null and empty texts have the fingerprint of zeros and are alike by 1; rows that
 repeat a doc_id are documents of their own, ordered by a hash of their texts; the next of a
@@ -32,8 +33,8 @@ from folioworks.llm import common
 EXACT = 4
 #: Sums of two counters each; a hash serves 32.
 PACKED = 63
-#: Documents of one range, within which the next document is looked up, and the most ranges: their first rows are broadcast.
-SLICE, MOST_SLICES = 1000, 8192
+#: Documents of a slice, within which the next document is looked up, and of a task that sorts slices.
+SLICE, ROWS = 1000, 100_000
 _LOW32 = 2**32 - 1
 _FIELDS = 1 | 1 << 32
 
@@ -105,16 +106,22 @@ def likeness(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
 
 
 def _sliced(docs: DataFrame) -> DataFrame:
-    """Rows with `slice`, a range of about SLICE consecutive keys, and in each slice a guest: the first row of the slice that follows in descending order."""
+    """Rows with `slice`, SLICE consecutive keys at most, and in each slice a guest: the first row of the slice that follows in descending order."""
     rows = common.keyed(docs).withColumn("copy", F.monotonically_increasing_id())
-    slices = min(MOST_SLICES, max(1, docs.count() // SLICE))
-    rows = common.staged(rows.repartitionByRange(slices, F.desc("k"), F.desc("h"), "copy").withColumn("slice", F.spark_partition_id()), "ranges")
-    heads = rows.groupBy("slice").agg(F.max(F.struct("k", "h", (-F.col("copy")).alias("copy"))).alias("head"))
-    # one row without a text for each slice: to the one before; the first slice's row follows all
-    to = F.coalesce(F.lag("slice").over(Window.orderBy("slice")), F.max("slice").over(Window.partitionBy()))
-    heads = heads.select((-F.col("head.copy")).alias("copy"), to.alias("to"))
-    guests = rows.join(F.broadcast(heads), "copy").select(F.col("to").alias("slice"), *(c for c in rows.columns if c != "slice"), F.lit(True).alias("guest"))
-    return rows.withColumn("guest", F.lit(False)).unionByName(guests)
+    order = [F.desc("k"), F.desc("h"), F.asc("copy")]
+    ranges = max(1, docs.count() // ROWS)
+    rows = common.staged(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranges")
+    # a row's number has its range in the upper bits, and its place in the range below
+    place = F.col("at").bitwiseAND(F.lit(2**33 - 1))
+    rows = rows.withColumns({"range": F.shiftright("at", 33), "slice": F.col("at") - place + F.floor(place / SLICE), "head": place % SLICE == 0})
+    # one row for each range: its first row is a guest of the last slice of the range before, the first range's of the last of all
+    ends = rows.groupBy("range").agg(F.max("slice").alias("last"))
+    before = F.coalesce(F.lag("last").over(Window.orderBy("range")), F.max("last").over(Window.partitionBy()))
+    ends = ends.select("range", before.alias("before"))
+    columns = [c for c in rows.columns if c not in ("slice", "at", "range", "head")]
+    heads = rows.where("head").join(ends, "range")
+    guests = heads.select(F.when(F.col("slice") > F.shiftleft("range", 33), F.col("slice") - 1).otherwise(F.col("before")).alias("slice"), *columns, F.lit(True).alias("guest"))
+    return rows.select("slice", *columns, F.lit(False).alias("guest")).unionByName(guests)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
