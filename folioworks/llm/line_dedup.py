@@ -154,7 +154,8 @@ def aligned(shared: list[dict]) -> tuple[list[int], int]:
 
 def _dropped(batches):
     for batch in batches:
-        got = [aligned([{**x, "early": (x["early"]["k"], x["early"]["h"])} for x in shared]) for shared in batch.column("shared").to_pylist()]
+        # one document's runs at a time are Python objects
+        got = [aligned([{**x, "early": (x["early"]["k"], x["early"]["h"])} for x in shared.as_py()]) for shared in batch.column("shared")]
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.int64())], ["k", "h", "drop", "n_aligned"])
 
 

@@ -86,7 +86,7 @@ def made(seed, convs, longest=9):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7, conversations.CHUNK])
+@pytest.mark.parametrize("chunk", [2, 7, conversations.CHUNK])
 def test_repair(spark, chunk):
     rows = made(chunk, 150) + [(5, 1, "user", "Yes.")] * 4
     df = spark.createDataFrame([(*r, "clash", i) for i, r in enumerate(rows)], SCHEMA + ", h string, part int").repartition(5)
