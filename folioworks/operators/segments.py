@@ -54,8 +54,10 @@ class Conflict(RuntimeError):
 
 
 class Index:
-    def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...] = postings.FIELDS):
-        self.spark, self.path, self.fields = spark, path, fields
+    """splits: files of a bucket in a segment, over which a frequent term's documents are dealt."""
+
+    def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...] = postings.FIELDS, splits: int = 8):
+        self.spark, self.path, self.fields, self.splits = spark, path, fields, splits
 
     # versions
 
@@ -78,13 +80,14 @@ class Index:
 
     def _write(self, segment: int, folder: str, rows: DataFrame) -> None:
         dealt = rows.withColumn("bucket", _bucket(F.col("term")))
-        # a bucket's rows are dealt by the beginnings of terms and by ids, so a frequent term fills several files
-        dealt = dealt.repartition("bucket", F.substring("term", 1, 4), F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
+        # each task gets whole (bucket, part)s, so a segment has BUCKETS x splits files
+        dealt = dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(self.splits))).sortWithinPartitions("bucket", "term", "id")
         dealt.write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}/{folder}")
 
     def _terms(self, segment: int, folder: str) -> None:
         held = self.spark.read.parquet(f"{self.path}/postings/segment={segment}/{folder}")
-        held.groupBy("bucket", "term").agg(F.countDistinct("id").alias("n")).write.partitionBy("bucket").parquet(f"{self.path}/terms/segment={segment}/{folder}")
+        each = held.groupBy("bucket", "term").agg(F.countDistinct("id").alias("n"))
+        each.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/terms/segment={segment}/{folder}")
 
     def update(self, changed: DataFrame, gone: DataFrame | None = None) -> Version:
         """Documents added or changed (id and the fields), and removed (id), as one segment; the first makes the index."""
