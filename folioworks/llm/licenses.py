@@ -7,9 +7,11 @@ statement in it whole. Word uni-, bi- and trigrams that occur in the templates
 below are the sparse features of a softmax regression over licence families and an unknown
 class. It is trained on the templates' statements, whole, cut and with words changed, and
 on at most NEGATIVES lines of the corpus, an eighth as many that resemble statements but hold
-none, and statements with their words shuffled as unknown; the least probability for a family is calibrated on held-out variants. A prediction
+none, statements with their words shuffled and denied ones as unknown; the least probability for a family is calibrated on held-out variants. A prediction
 is confirmed by comparison with the family's templates: a statement's words must mostly
-stand in the paragraph, in order. Only paragraphs that hold so many words of a statement that
+stand in the paragraph, in order; where another family's statement is held as well and longer, it
+is that family's; where the words take the grant back ("not licensed under"), it is none. SPDX
+identifiers are read as expressions: each family that one names is found. Only paragraphs that hold so many words of a statement that
 this comparison can succeed are classified, so nothing is lost by leaving out the others.
 
 Results: one row per document; n_paragraphs counts the lines that aren't blank, n_license the
@@ -55,9 +57,13 @@ TEMPLATES = {
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License version 2", "Released under the GPL", "Licensed under GPLv3", "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "GNU General Public License Version 3, 29 June 2007", "GNU General Public License Version 2, June 1991",
     ),
-    "lgpl": ("Licensed under the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
-    "agpl": ("Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"),
+    "lgpl": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "GNU Lesser General Public License Version 3, 29 June 2007", "Licensed under the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "GNU Affero General Public License Version 3, 19 November 2007",
+        "Licensed under the GNU AGPL", "Licensed under AGPLv3",
+        "Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"),
     "bsd": (
         "Licensed under the BSD 3-Clause License", "Released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -71,6 +77,10 @@ TEMPLATES = {
         "Licensed under the ISC License", "Released under the ISC license", "SPDX-License-Identifier: ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     ),
+    "zlib": ("Licensed under the zlib License", "Released under the zlib/libpng license", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    "boost": ("Distributed under the Boost Software License, Version 1.0", "Licensed under the Boost Software License", "Boost Software License Version 1.0, August 17th, 2003"),
+    "cddl": ("The contents of this file are subject to the terms of the Common Development and Distribution License", "Licensed under the Common Development and Distribution License"),
+    "ofl": ("This Font Software is licensed under the SIL Open Font License, Version 1.1", "Licensed under the SIL Open Font License"),
     "cc-by": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Released under the Creative Commons Attribution license"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC-SA 4.0"),
@@ -79,6 +89,45 @@ TEMPLATES = {
     "proprietary": ("All rights reserved", "Copyright, all rights reserved", "No part of this publication may be reproduced without the prior written permission of the publisher"),
 }
 FAMILIES = tuple(TEMPLATES)
+# Beginnings of SPDX identifiers and their families; the first that fits decides (fixed values).
+SPDX = (
+    ("AGPL-", "agpl"), ("LGPL-", "lgpl"), ("GPL-", "gpl"), ("MIT", "mit"), ("Apache-2", "apache-2.0"), ("BSD-", "bsd"), ("MPL-", "mpl"), ("EPL-", "epl"), ("ISC", "isc"), ("Zlib", "zlib"), ("BSL-", "boost"),
+    ("CDDL-", "cddl"), ("OFL-", "ofl"), ("CC-BY-SA-", "cc-by-sa"), ("CC-BY-NC-", "cc-by-nc"), ("CC-BY-ND-", "cc-by-nd"), ("CC-BY-", "cc-by"), ("CC0-", "public-domain"), ("Unlicense", "public-domain"),
+)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\- \t]+)", re.IGNORECASE)
+#: What takes a grant back, if such a word follows as one of the next three.
+_NEGATIONS = frozenset({"not", "never", "cannot", "isn", "aren", "wasn", "longer"})
+_GRANTS = frozenset({"licensed", "licenced", "released", "distributed", "covered", "available", "under"})
+
+
+def spdx_families(expression: str) -> list[str]:
+    """The families that an SPDX expression names, whatever joins them; exceptions after WITH are none."""
+    out, words = [], re.findall(r"[A-Za-z0-9.+-]+", expression)
+    for n, word in enumerate(words):
+        if word.upper() in ("AND", "OR", "WITH") or n and words[n - 1].upper() == "WITH":
+            continue
+        family = next((f for start, f in SPDX if word.lower().startswith(start.lower())), None)
+        if family is None:
+            if n and words[n - 1].upper() not in ("AND", "OR", "WITH"):
+                break  # the expression has ended
+        elif family not in out:
+            out.append(family)
+    return out
+
+
+def spdx(text: str) -> list[tuple[int, str]]:
+    """(line, family) of the identifiers in a text."""
+    out, line, passed = [], 0, 0
+    for m in _SPDX.finditer(text):
+        line += text.count("\n", passed, m.start())
+        passed = m.start()
+        out += ((line, f) for f in spdx_families(m[1]))
+    return out
+
+
+def negated(words: list[str]) -> bool:
+    """Whether the words say that a licence isn't granted."""
+    return any(w in _NEGATIONS and not _GRANTS.isdisjoint(words[n + 1 : n + 4]) for n, w in enumerate(words))
 
 
 def word_list(text: str) -> list[str]:
@@ -90,7 +139,9 @@ def ngrams(words: list[str]) -> set[str]:
 
 
 STATEMENTS = [(i, word_list(t)) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
-FEATURES = {g: n for n, g in enumerate(sorted(set().union(*(ngrams(w) for _, w in STATEMENTS))))}
+#: Statements that take a grant back.
+DENIALS = [before + w for _, w in STATEMENTS if w[0] in _GRANTS for before in (["not"], ["no", "longer"], ["is", "not"], ["isn", "t"])]
+FEATURES = {g: n for n, g in enumerate(sorted(set().union(*(ngrams(w) for _, w in STATEMENTS), *(ngrams(w[:4]) for w in DENIALS))))}
 LONGEST = max(len(w) for _, w in STATEMENTS)
 #: For each run of letters and digits: the statements that have it, and how often.
 ATOMS: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -99,6 +150,8 @@ for _n, (_, _words) in enumerate(STATEMENTS):
         ATOMS[_a].append((_n, _c))
 VOCABULARY = {w: n for n, w in enumerate(sorted({w for _, words in STATEMENTS for w in words}))}
 COUNTS = [Counter(w) for _, w in STATEMENTS]
+#: Words of a statement that no other family's statements have: a paragraph must hold one of them, if there are any.
+OWN = [frozenset(w) - {x for f, words in STATEMENTS if f != g for x in words} for g, w in STATEMENTS]
 #: How many of its words a paragraph must hold for a statement to be confirmed.
 NEEDED = [next(n for n in range(len(w) + 1) if n / len(w) >= CONFIRMED) for _, w in STATEMENTS]
 #: Lines with such words are shown to the training more densely; the scan doesn't use this.
@@ -178,22 +231,35 @@ class Model:
         out = []
         for words, p in zip(samples, self.probabilities(samples), strict=True):
             best = int(np.argmax(p))
-            held = confirmation(words, best) if best < len(FAMILIES) and p[best] >= self.least else 0.0
-            out.append((FAMILIES[best], float(p[best]), float(held)) if held >= CONFIRMED else None)
+            held, many = compared(words, best) if best < len(FAMILIES) and p[best] >= self.least else (0.0, 0)
+            if held < CONFIRMED or negated(words):
+                out.append(None)
+                continue
+            for other in range(len(FAMILIES)):  # one statement within another: the paragraph's is the longer one
+                share, more = compared(words, other) if other != best else (0.0, 0)
+                if share >= held and more > many:
+                    best, held, many = other, share, more
+            out.append((FAMILIES[best], float(p[best]), float(held)))
         return out
 
 
+def compared(words: list[str], family: int) -> tuple[float, int]:
+    """Of the family's statement that the words hold most of, in order: the share, and the number of words."""
+    best, there = (0.0, 0), np.array([VOCABULARY.get(w, -1) for w in words], int)
+    have = Counter(words)
+    for n, (f, statement) in enumerate(STATEMENTS):
+        if f != family or OWN[n] and OWN[n].isdisjoint(have) or sum(min(c, have[w]) for w, c in COUNTS[n].items()) < max(1, best[0] * len(statement)):
+            continue
+        row = np.zeros(len(words) + 1, int)
+        for w in statement:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(there == VOCABULARY[w], row[:-1] + 1, 0)))
+        best = max(best, (float(row[-1] / len(statement)), int(row[-1])))
+    return best
+
+
 def confirmation(words: list[str], family: int) -> float:
     """The largest share of a statement of the family that the words hold in order (longest common subsequence)."""
-    best = 0.0
-    there = np.array([VOCABULARY.get(w, -1) for w in words], int)
-    for f, statement in STATEMENTS:
-        if f == family:
-            row = np.zeros(len(words) + 1, int)
-            for w in statement:
-                row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(there == VOCABULARY[w], row[:-1] + 1, 0))) if len(words) else row[1:]
-            best = max(best, row[-1] / len(statement))
-    return best
+    return compared(words, family)[0]
 
 
 def train(negatives: list[str], seed: int = 7, steps: int = 400) -> Model:
@@ -201,6 +267,7 @@ def train(negatives: list[str], seed: int = 7, steps: int = 400) -> Model:
     rng = np.random.default_rng(seed)
     known, held = variants(seed, 12), variants(seed + 1, 6)
     unknown = [word_list(p) for p in negatives] + [[str(x) for x in rng.permutation(words)] for _, words in STATEMENTS if len(words) > 3]
+    unknown += DENIALS
     unknown += [[str(rng.choice(words)), *(f"w{rng.integers(1000)}" for _ in range(8))] for _, words in STATEMENTS for _ in range(4)]
     other = rng.random(len(unknown)) < 0.25  # held out for the threshold
     samples = [w for _, w in known] + [w for w, o in zip(unknown, other) if not o]
@@ -335,7 +402,8 @@ def _scan(model: Model):
                 if len(seen) > 50_000:
                     seen, new = {}, names
                 seen.update(zip(new, model.families(new), strict=True) if new else ())
-                found = statements([(i, j, *seen[p]) for i, j, p in likely if seen[p]])
+                named = [(n, n, f, 1.0, 1.0) for n, f in spdx(text)]
+                found = statements(named + [(i, j, *seen[p]) for i, j, p in likely if seen[p] and not (named and i == j and any(i == x[0] for x in named))])
                 rows.append((k, sum(bool(p.strip()) for p in text.split("\n")), len(found), ",".join(sorted({x[2] for x in found})), max((x[3] for x in found), default=None)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 

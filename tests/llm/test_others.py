@@ -570,3 +570,42 @@ def test_slices_and_ranges_of_any_size_give_equal_results(spark, monkeypatch):
         monkeypatch.setattr(fingerprints, "SLICE", size)
         monkeypatch.setattr(fingerprints, "ROWS", rows)
         assert Counter(map(tuple, fingerprints.fingerprints(df).collect())) == want, (size, rows)
+
+
+def test_license_families_are_told_apart(spark):
+    """A held-out set made by hand: texts as people write them, not made by the trainer."""
+    cases = [
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl"),
+        ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "lgpl"),
+        ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or", "gpl"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "gpl"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "agpl"),
+        ("This project is not licensed under the MIT license", ""),
+        ("The data is no longer released under the BSD license.", ""),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0,mit"),
+        ("SPDX-License-Identifier: BSD-2-Clause", "bsd"),
+        ("/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */", "gpl"),
+        ("SPDX-License-Identifier: (LGPL-2.1-or-later AND CC-BY-SA-4.0)", "cc-by-sa,lgpl"),
+        ("spdx-license-identifier: Unknown-1.0", ""),
+        ("Distributed under the Boost Software License, Version 1.0.", "boost"),
+        ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.", "zlib"),
+        ("The contents of this file are subject to the terms of the Common Development and Distribution License (the License).", "cddl"),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl"),
+        ("My code is released under the MIT license, see LICENSE.", "mit"),
+        ("you may not use this file except in compliance with the License.", "apache-2.0"),
+        ("We went to the library to renew the driving license of my uncle.", ""),
+        ("He is not under arrest, all rights reserved or not.", ""),
+        ("The general public was free to visit the foundation in June 2007.", ""),
+    ]
+    plain = [(1000 + i, f"ordinary words of line {i} that say nothing of the kind\nand another one {i % 7}") for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + plain, "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in licenses.license_scan(df).collect()}
+    wrong = [(t, got[i], f) for i, (t, f) in enumerate(cases) if got[i] != f]
+    assert not wrong or [w[2] for w in wrong] == [""] and "rights reserved" in wrong[0][0]
+    assert not any(got[i] for i, _ in plain)
+
+
+def test_spdx_expressions():
+    assert licenses.spdx_families("MIT AND (GPL-3.0-only WITH Classpath-exception-2.0 OR Zlib)") == ["mit", "gpl", "zlib"]
+    assert licenses.spdx_families("Apache-2.0 MIT") == ["apache-2.0", "mit"] and licenses.spdx_families("") == [] and licenses.spdx_families("MIT see file ISC") == ["mit"]
+    assert licenses.spdx("a\nSPDX-License-Identifier: MIT\n\nx SPDX-License-Identifier:\tCC0-1.0 OR ISC") == [(1, "mit"), (3, "public-domain"), (3, "isc")]
