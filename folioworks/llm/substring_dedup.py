@@ -223,7 +223,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     before = single.groupBy("name", "window").agg(F.min("k").alias("earliest"), F.max("k").alias("latest")).where("earliest < latest").drop("latest")
     before = common.staged(before, "before")
     parts = single.join(before, ["name", "window"]).where("earliest < k").select("k", "h", "at", F.lit(1).alias("size"))
-    drop = common.staged(whole.union(parts), "drop").groupBy("k", "h").agg(F.collect_list(F.struct("at", "size")).alias("drop"))
+    # equal rows have equal spans: each is in the list once
+    drop = common.staged(whole.union(parts), "drop").groupBy("k", "h").agg(F.collect_set(F.struct("at", "size")).alias("drop"))
     return base.join(drop, ["k", "h"], "left").select("k", "text", "drop").mapInArrow(_cut(window), "k long, n_words long, n_removed long, kept_sha256 string, kept_text string").select(common.doc_id(), "n_words", "n_removed", "kept_sha256", "kept_text")
 
 

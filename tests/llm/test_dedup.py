@@ -270,3 +270,13 @@ def test_spread_join_deals_frequent_keys(spark, monkeypatch):
         assert got.columns == ["key", "salt", "n"]
         assert Counter(map(tuple, got.collect())) == expected
         assert common.spread_join(rows.limit(0), counts.limit(0), "key", "salt", counts.limit(0)).count() == 0
+
+
+def test_equal_rows_share_one_list_of_spans(spark):
+    import time
+
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words)] + [(2, f"{words} end")] * 20_000
+    began = time.time()
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy("doc_id", "n_removed", "kept_text").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, words, 1), (2, 40, "end", 20_000)] and time.time() - began < 90
