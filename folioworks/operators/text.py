@@ -81,9 +81,11 @@ def phrases_by_question(index: DataFrame, column: str, questions: DataFrame, n:
         return F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, size), " ")))
 
     pairs = None
-    for size in range(1, n + 1):
+    for size in sorted(r["n"] for r in asked.select("n").distinct().collect()):  # n lengths at most
         found = docs.where(F.size("w") >= size).select("id", F.explode(F.array_distinct(grams(size))).alias("gram")).join(asked.where(F.col("n") == size).drop("n"), "gram")
         pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        return docs.select(F.lit(None).cast("long").alias("question_id"), "id", F.lit(None).cast("long").alias("tf")).limit(0)
     pairs = pairs.join(index.select("id", column), "id")
     return pairs.select("question_id", "id", occurrences(F.col(column), F.col("phrase")).cast("long").alias("tf")).where("tf > 0").distinct()
 

@@ -188,3 +188,20 @@ def tool_entity_sheets(a):
     place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("shared"), "other"))
     top = both.withColumn("place", place).where(F.col("place") <= 10).join(a.entities.select(F.col("id").alias("other"), "name", "type"), "other")
     return answers.entity_text(a.entities.where("id < 2000000").select("id", "name", "type"), seen, top)
+
+
+_ALIASES = """ba AS (SELECT id AS entity_id, 'Acct ' || id AS alias, 'acct ' || id AS normalized FROM ents WHERE type IN ('person', 'institution')),
+ ad AS (SELECT id AS entity_id, 'Old ' || name AS alias, 'old ' || lower(name) AS normalized FROM ents WHERE type IN ('person', 'institution') AND id % 5 = 0)"""
+
+
+@_q("alias_edits", ENTITIES, _ALIASES, "SELECT * FROM ba WHERE entity_id % 7 <> 0 UNION ALL SELECT * FROM ad")
+def alias_edits(a):
+    """Aliases of all people and institutions: some that are there already, under other spellings, and some new ones are added, some removed."""
+    people = a.entities.where(F.col("type").isin("person", "institution")).select(F.col("id").alias("entity_id"), "name")
+    named = lambda rows, alias: rows.select("entity_id", alias.alias("alias")).withColumn("normalized", exprs.normalized_name(F.col("alias")))
+    base = named(people, F.concat(F.lit("Acct "), "entity_id"))
+    again = named(people.where("entity_id % 3 = 0"), F.concat(F.lit(" ACCT   "), "entity_id"))
+    new = named(people.where("entity_id % 5 = 0"), F.concat(F.lit("Old "), "name"))
+    added = ledger.insert_or_ignore(base, again.unionByName(new), ["entity_id", "normalized"])
+    gone = base.where("entity_id % 7 = 0").select("entity_id", "normalized")
+    return added.join(gone, ["entity_id", "normalized"], "left_anti").select("entity_id", "alias", "normalized")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.sources import lease, shared
+from folioworks.sources import lease, log, shared
 from folioworks.sources.lease import Lease
 from folioworks.sources.versions import Table
 
@@ -47,16 +47,18 @@ def ingest_once(files: DataFrame, archive: str, checkpoint: str, hash_column: st
     """K1, K3: appends files whose content the archive hasn't got; a repeated run or batch adds nothing.
 
     A batch's rows are compared with the archive itself, so no state grows with it, and a
-    batch that is run again after a failure finds its own rows there.
+    batch that is run again after a failure finds its own rows there. The archive lies in folders of the
+    hashes' first two characters, so a small batch reads a small part of its hashes.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([hash_column])
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(archive)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.schema(new.schema).parquet(archive).select(hash_column), hash_column, "left_anti").select(*new.columns)
-        new.write.mode("append").parquet(archive)
+        new = batch.dropDuplicates([hash_column]).withColumn("prefix", _prefix(F.col(hash_column)))
+        if log.there(spark, archive):
+            prefixes = [r[0] for r in new.select("prefix").distinct().collect()]  # 256 of a hexadecimal hash at most
+            there = spark.read.schema(new.schema).parquet(archive).where(F.col("prefix").isin(*prefixes))
+            new = new.join(there.select("prefix", hash_column), ["prefix", hash_column], "left_anti").select(*new.columns)
+        new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(archive)
 
     files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
