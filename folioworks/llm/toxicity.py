@@ -36,8 +36,8 @@ HELD_OUT = 2
 THRESHOLD = 0.3
 #: Lengths of word beginnings that can be lexicon entries.
 STEMS = (4, 5, 6, 7)
-#: An entry has been in so many toxic documents, and its share of their words is so many times that of clean ones.
-LEAST_DOCS, LEAST_ODDS = 8, 5.0
+#: An entry has been in so large a share of the toxic documents, between LEAST_DOCS of them, and its share of their words is so many times that of clean ones.
+SHARE, LEAST_DOCS, LEAST_ODDS = 0.1, (3, 8), 5.0
 #: A phrase is an exception if so many clean documents have it and it is no likelier in toxic ones.
 EXCEPTION_DOCS = 5
 
@@ -238,8 +238,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING) -> Model:
     named = common.staged(_by_name(train.mapInArrow(_training, "name string, toxic int, times long")), "features")
     total = named.where("name = '||'").first()
     named = named.withColumn("odds", _odds((total["bad"], total["good"]))).where("name <> '||'")
-    named = named.where((F.col("docs") >= LEAST_DOCS) & (F.col("odds") >= float(np.log(LEAST_ODDS))))
-    top = named.select("name", "odds").collect()  # words of LEAST_DOCS training documents at least
+    least = min(LEAST_DOCS[1], max(LEAST_DOCS[0], int(SHARE * kinds[1])))
+    named = named.where((F.col("docs") >= least) & (F.col("odds") >= float(np.log(LEAST_ODDS))))
+    top = named.select("name", "odds").collect()  # words of several training documents
     entries: dict[str, float] = {}
     for r in sorted(top, key=lambda r: (len(r["name"]), r["name"])):
         word = r["name"].strip("|")
