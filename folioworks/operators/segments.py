@@ -1,7 +1,7 @@
 """A full-text index that is stored, searched where it lies, and kept up by segments.
 
     <path>/postings/segment=N/bucket=B   term, id, field, positions, length; sorted by term
-    <path>/terms/segment=N/bucket=B      term, n: documents of the segment that hold it
+    <path>/terms/segment=N               bucket, term, n: documents of the segment that hold it; sorted by term
     <path>/touched/segment=N             ids whose older rows are dead, and their length; null: gone
     <path>/versions                      what is in force: segments, buckets' merged segments, totals
 
@@ -25,10 +25,11 @@ from folioworks.operators import postings, text
 from folioworks.sources import log
 
 BUCKETS = postings.BUCKETS
+_POSTINGS = "term string, id long, field int, positions array<int>, length int"
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(word, 1, 2)), F.lit(BUCKETS)).cast("int")
+def _bucket(word: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.substring(word, 1, 2)), F.lit(buckets)).cast("int")
 
 
 @dataclass
@@ -37,6 +38,7 @@ class Version:
     updates: list[int]  # segments that updates wrote, in order of age
     merged: dict[str, int]  # of a bucket that was merged, the segment that holds all of its older rows
     folders: dict[str, str]  # of each segment
+    buckets: int
     n_docs: int
     total: int  # words
 
@@ -54,19 +56,20 @@ class Conflict(RuntimeError):
 
 
 class Index:
-    """splits: files of a bucket in a segment, over which a frequent term's documents are dealt."""
+    """buckets: of an index that is made; one that is there keeps its own. splits: files of a bucket in a segment, over which
+    a frequent term's documents are dealt."""
 
-    def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...] = postings.FIELDS, splits: int = 8):
-        self.spark, self.path, self.fields, self.splits = spark, path, fields, splits
+    def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...] = postings.FIELDS, buckets: int = BUCKETS, splits: int = 8):
+        self.spark, self.path, self.fields, self.new_buckets, self.splits = spark, path, fields, buckets, splits
 
     # versions
 
     def version(self) -> Version:
         number, content = log.last(self.spark, f"{self.path}/versions")
-        return Version(number, [], {}, {}, 0, 0) if content is None else Version(number, **content)
+        return Version(number, [], {}, {}, self.new_buckets, 0, 0) if content is None else Version(number, **content)
 
     def _commit(self, old: Version, **new) -> None:
-        content = {"updates": old.updates, "merged": old.merged, "folders": old.folders, "n_docs": old.n_docs, "total": old.total} | new
+        content = {"updates": old.updates, "merged": old.merged, "folders": old.folders, "buckets": old.buckets, "n_docs": old.n_docs, "total": old.total} | new
         if not log.put(self.spark, f"{self.path}/versions", old.number + 1, content):
             raise Conflict(f"version {old.number + 1} of {self.path}")
 
@@ -78,22 +81,22 @@ class Index:
         words = said.select("id", "length", F.explode("said").alias("f")).select("id", "length", "f.field", F.posexplode("f.words").alias("at", "term"))
         return words.groupBy("term", "id", "field").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.first("length").alias("length"))
 
-    def _write(self, segment: int, folder: str, rows: DataFrame) -> None:
-        dealt = rows.withColumn("bucket", _bucket(F.col("term")))
-        # each task gets whole (bucket, part)s, so a segment has BUCKETS x splits files
+    def _write(self, segment: int, folder: str, rows: DataFrame, buckets: int) -> None:
+        dealt = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
+        # each task gets whole (bucket, part)s, so a segment has buckets x splits files
         dealt = dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(self.splits))).sortWithinPartitions("bucket", "term", "id")
         dealt.write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}/{folder}")
 
     def _terms(self, segment: int, folder: str) -> None:
-        held = self.spark.read.parquet(f"{self.path}/postings/segment={segment}/{folder}")
+        held = self.spark.read.schema(_POSTINGS + ", bucket int").parquet(f"{self.path}/postings/segment={segment}/{folder}")
         each = held.groupBy("bucket", "term").agg(F.countDistinct("id").alias("n"))
-        each.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/terms/segment={segment}/{folder}")
+        each.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/terms/segment={segment}/{folder}")
 
     def update(self, changed: DataFrame, gone: DataFrame | None = None) -> Version:
         """Documents added or changed (id and the fields), and removed (id), as one segment; the first makes the index."""
         old = self.version()
         segment, folder = old.next, uuid.uuid4().hex
-        self._write(segment, folder, self._rows(changed))
+        self._write(segment, folder, self._rows(changed), old.buckets)
         self._terms(segment, folder)
         now = postings.lengths(changed, self.fields).select("id", F.col("length").cast("long").alias("length"))
         if gone is not None:
@@ -112,7 +115,7 @@ class Index:
         """One bucket written anew without its dead rows; other buckets and readers of older versions keep what they have."""
         old = self.version()
         segment, folder = old.next, uuid.uuid4().hex
-        self._write(segment, folder, self._alive(old, self._postings(old, [bucket])).drop("bucket", "segment"))
+        self._write(segment, folder, self._alive(old, self._postings(old, [bucket])).drop("bucket", "segment"), old.buckets)
         self._terms(segment, folder)
         self._commit(old, folders=old.folders | {str(segment): folder}, merged=old.merged | {str(bucket): segment})
         return self.version()
@@ -130,50 +133,43 @@ class Index:
                 out = out.unionByName(self.spark.read.schema("id long, length long").parquet(f"{self.path}/touched/segment={n}/{v.folders[str(n)]}").withColumn("segment", F.lit(n)))
         return out
 
-    def _folders(self, v: Version, buckets: list[int], kind: str) -> list[str]:
-        """The folders of these buckets in force: those of a merged bucket from its merge on."""
-        out = []
-        for b in buckets:
-            first = v.merged.get(str(b), -1)
-            for n in [first] * (first >= 0) + [n for n in v.updates if n > first]:
-                path = f"{self.path}/{kind}/segment={n}/{v.folders[str(n)]}/bucket={b}"
-                if log.there(self.spark, path):
-                    out.append(path)
-        return out
+    def _segments(self, v: Version, bucket: int) -> list[int]:
+        """The segments of a bucket in force: those from its merge on."""
+        first = v.merged.get(str(bucket), -1)
+        return [first] * (first >= 0) + [n for n in v.updates if n > first]
 
-    def _read(self, v: Version, buckets: list[int], kind: str, schema: str) -> DataFrame:
-        paths = self._folders(v, buckets, kind)
+    def _postings(self, v: Version, buckets: list[int]) -> DataFrame:
+        paths = [f"{self.path}/postings/segment={n}/{v.folders[str(n)]}/bucket={b}" for b in buckets for n in self._segments(v, b)]
+        paths = [p for p in paths if log.there(self.spark, p)]
         if not paths:
-            return self.spark.createDataFrame([], schema + ", segment int, bucket int")
-        parts = self.spark.read.schema(schema).parquet(*paths)
+            return self.spark.createDataFrame([], _POSTINGS + ", segment int, bucket int")
+        parts = self.spark.read.schema(_POSTINGS).parquet(*paths)
         name = F.col("_metadata.file_path")
         return parts.withColumns({"segment": F.regexp_extract(name, r"segment=(\d+)", 1).cast("int"), "bucket": F.regexp_extract(name, r"bucket=(\d+)", 1).cast("int")})
 
-    def _postings(self, v: Version, buckets: list[int]) -> DataFrame:
-        return self._read(v, buckets, "postings", "term string, id long, field int, positions array<int>, length int")
-
     def _alive(self, v: Version, rows: DataFrame) -> DataFrame:
         """Without rows of documents that a later segment touched; what merges wrote is as old as its last update."""
         later = self._touched(v, min(v.updates, default=0))
         newest = later.groupBy("id").agg(F.max("segment").alias("newest"))
         return rows.join(newest, "id", "left").where("newest is null or newest <= segment").drop("newest")
 
-    def buckets(self, words: list[str]) -> list[int]:
+    def buckets(self, words: list[str], v: Version | None = None) -> list[int]:
         """The words' buckets."""
-        rows = self.spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"))).distinct().collect()
-        return sorted(r[0] for r in rows)
+        v = v or self.version()
+        (row,) = self.spark.range(1).select(F.array(*(_bucket(F.lit(w), v.buckets) for w in words))).collect()
+        return sorted(set(row[0]))
 
     def prefix(self, word: str, v: Version | None = None) -> DataFrame:
         """(id, tf, length) of the words that begin with it, in any field; one letter reads all buckets."""
         v = v or self.version()
-        rows = self._postings(v, self.buckets([word]) if len(word) > 1 else [*range(BUCKETS)]).where(F.col("term").startswith(word))
+        rows = self._postings(v, self.buckets([word], v) if len(word) > 1 else [*range(v.buckets)]).where(F.col("term").startswith(word))
         return self._alive(v, rows).groupBy("id").agg(F.sum(F.size("positions")).alias("tf"), F.first("length").alias("length"))
 
     def phrase(self, words: list[str], v: Version | None = None) -> DataFrame:
         """(id, tf, length) of words in sequence within a field; the rarest word, by the stored counts, comes first."""
         v = v or self.version()
         counts = self.frequencies(words, v)
-        rows, found = self._alive(v, self._postings(v, self.buckets(words)).where(F.col("term").isin(*words))), None
+        rows, found = self._alive(v, self._postings(v, self.buckets(words, v)).where(F.col("term").isin(*words))), None
         for n in sorted(range(len(words)), key=lambda n: (counts.get(words[n], 0), n)):
             places = rows.where(F.col("term") == words[n]).select("id", "field", "length", F.explode("positions").alias("at")).withColumn("at", F.col("at") - n)
             found = places if found is None else found.join(places.drop("length"), ["id", "field", "at"])
@@ -182,8 +178,13 @@ class Index:
     def frequencies(self, words: list[str], v: Version | None = None) -> dict[str, int]:
         """How many documents, dead ones too, hold each of the query's words: from the stored counts."""
         v = v or self.version()
-        rows = self._read(v, self.buckets(words), "terms", "term string, n long").where(F.col("term").isin(*words)).groupBy("term").agg(F.sum("n").alias("n"))
-        return {r["term"]: r["n"] for r in rows.collect()}
+        found = self.spark.createDataFrame([], "term string, n long")
+        in_force = {b: self._segments(v, b) for b in self.buckets(words, v)}
+        for n in sorted({n for those in in_force.values() for n in those}):
+            mine = [b for b, those in in_force.items() if n in those]
+            rows = self.spark.read.schema("bucket int, term string, n long").parquet(f"{self.path}/terms/segment={n}/{v.folders[str(n)]}")
+            found = found.unionByName(rows.where(F.col("bucket").isin(*mine) & F.col("term").isin(*words)).select("term", "n"))
+        return {r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
     def scored(self, typed: str) -> DataFrame:
         """(id, tf, score) of a typed query by this index's own size and mean length."""

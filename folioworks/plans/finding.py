@@ -43,7 +43,7 @@ def _corpus(a):
     docs = _documents(a)
     groups = shared.staged(_groups(docs), "groups")
     place = shared.place(a.spark, "indexes")
-    indexes = [Index(a.spark, f"{place}/{name}", splits=1) for name in ("documents", "groups")]
+    indexes = [Index(a.spark, f"{place}/{name}", buckets=16, splits=1) for name in ("documents", "groups")]
     for index, records in zip(indexes, (docs, groups)):
         index.update(records)
     source = F.col("source_archive").alias("entity_id")
@@ -114,7 +114,7 @@ _KEPT = r"""kd AS (SELECT id, title, CASE WHEN id % 3 = 1 AND id % 4 <> 0 THEN '
 def _kept_up(a):
     """An index of three segments: all documents; a third changed, a third removed; some brought back or restored, some new."""
     docs = _documents(a)
-    index = Index(a.spark, shared.place(a.spark, "kept-up"), splits=1)
+    index = Index(a.spark, shared.place(a.spark, "kept-up"), buckets=16, splits=1)
     index.update(docs)
     amended = docs.where("id % 3 = 1").withColumn("description", F.concat(F.lit("Amended under licence, licensed under "), "lang"))
     index.update(amended, docs.where("id % 3 = 2"))
