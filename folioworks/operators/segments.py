@@ -75,17 +75,21 @@ class Index:
 
     # writing
 
-    def _rows(self, docs: DataFrame) -> DataFrame:
+    def _dealt(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """Each task gets whole (bucket, part)s, so a segment has buckets x splits files."""
+        parts = {"bucket": _bucket(F.col("term"), buckets), "part": F.pmod(F.xxhash64("id"), F.lit(self.splits)).cast("int")}
+        return rows.withColumns(parts).repartition("bucket", "part")
+
+    def _rows(self, docs: DataFrame, buckets: int) -> DataFrame:
         each = F.array(*(F.struct(F.lit(n).alias("field"), exprs.words(F.col(c)).alias("words")) for n, c in enumerate(self.fields)))
         said = docs.select("id", each.alias("said")).withColumn("length", F.aggregate("said", F.lit(0), lambda n, x: n + F.size(x["words"])))
-        words = said.select("id", "length", F.explode("said").alias("f")).select("id", "length", "f.field", F.posexplode("f.words").alias("at", "term"))
-        return words.groupBy("term", "id", "field").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.first("length").alias("length"))
+        fields = said.select("id", "length", F.explode("said").alias("f")).select("id", "length", "f.field", "f.words")
+        words = fields.select("id", "length", "field", F.posexplode("words").alias("at", "term"))  # no row keeps its text's words
+        # what is grouped lies together already: words are exchanged once
+        return self._dealt(words, buckets).groupBy("bucket", "part", "term", "id", "field").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.first("length").alias("length"))
 
-    def _write(self, segment: int, folder: str, rows: DataFrame, buckets: int) -> None:
-        dealt = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
-        # each task gets whole (bucket, part)s, so a segment has buckets x splits files
-        dealt = dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(self.splits))).sortWithinPartitions("bucket", "term", "id")
-        dealt.write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}/{folder}")
+    def _write(self, segment: int, folder: str, rows: DataFrame) -> None:
+        rows.drop("part").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}/{folder}")
 
     def _terms(self, segment: int, folder: str) -> None:
         held = self.spark.read.schema(_POSTINGS + ", bucket int").parquet(f"{self.path}/postings/segment={segment}/{folder}")
@@ -96,7 +100,7 @@ class Index:
         """Documents added or changed (id and the fields), and removed (id), as one segment; the first makes the index."""
         old = self.version()
         segment, folder = old.next, uuid.uuid4().hex
-        self._write(segment, folder, self._rows(changed), old.buckets)
+        self._write(segment, folder, self._rows(changed, old.buckets))
         self._terms(segment, folder)
         now = postings.lengths(changed, self.fields).select("id", F.col("length").cast("long").alias("length"))
         if gone is not None:
@@ -115,7 +119,7 @@ class Index:
         """One bucket written anew without its dead rows; other buckets and readers of older versions keep what they have."""
         old = self.version()
         segment, folder = old.next, uuid.uuid4().hex
-        self._write(segment, folder, self._alive(old, self._postings(old, [bucket])).drop("bucket", "segment"), old.buckets)
+        self._write(segment, folder, self._dealt(self._alive(old, self._postings(old, [bucket])).drop("bucket", "segment"), old.buckets))
         self._terms(segment, folder)
         self._commit(old, folders=old.folders | {str(segment): folder}, merged=old.merged | {str(bucket): segment})
         return self.version()
