@@ -2,8 +2,8 @@
 
 The unit is a run: the shortest block of lines, from a line on or up to it, with at least WORDS words; a line
 of that many is a run of its own, and every block that can be deleted is made of runs. A run belongs to the
-first document that holds it. A later document is paired with each first holder of a rare run that it has,
-one that stands in at most RARE places; both sequences of the runs that bind the two, with their places, are
+first document that holds it. A later document is paired with each first holder of a rare run that it has:
+one that stands in at most RARE places, or than which none that it shares is rarer; both sequences of the runs that bind the two, with their places, are
 aligned by patience diff, the rarest runs first, and what is aligned is deleted from the later document. Runs
 that the alignment leaves, because they stand in another order or their holder shares no rare run, are deleted
 by the index of first holders itself: so nothing that an earlier document has stays, and `n_aligned` says how
@@ -129,18 +129,19 @@ def _listed(least: int):
     return run
 
 
-def aligned(shared: list[dict]) -> tuple[list[int], int]:
+def aligned(shared: list[dict], rare: int = RARE) -> tuple[list[int], int]:
     """Places that go of a document, and how many of them by alignment.
 
     shared: of each run that an earlier document has, `early` (its first holder), run, starts, ends, places (in that
-    document, as many as starts at most) and rare.
+    document, as many as starts at most) and stands (in how many places of all documents).
     """
+    least = max(rare, min((x["stands"] for x in shared), default=0))
     partners: dict[tuple, list[dict]] = {}
     for x in shared:
         partners.setdefault(x["early"], []).append(x)
     gone: set[int] = set()
     for those in partners.values():
-        if any(x["rare"] for x in those):
+        if any(x["stands"] <= least for x in those):
             late = sorted((s, e, x["run"]) for x in those for s, e in zip(x["starts"], x["ends"]))
             early = sorted((p, x["run"]) for x in those for p in x["places"])
             for _, j in patience([r for _, r in early], [r for _, _, r in late]):
@@ -152,11 +153,14 @@ def aligned(shared: list[dict]) -> tuple[list[int], int]:
     return sorted(gone), n
 
 
-def _dropped(batches):
-    for batch in batches:
-        # one document's runs at a time are Python objects
-        got = [aligned([{**x, "early": (x["early"]["k"], x["early"]["h"])} for x in shared.as_py()]) for shared in batch.column("shared")]
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.int64())], ["k", "h", "drop", "n_aligned"])
+def _dropped(rare: int):
+    def run(batches):
+        for batch in batches:
+            # one document's runs at a time are Python objects
+            got = [aligned([{**x, "early": (x["early"]["k"], x["early"]["h"])} for x in shared.as_py()], rare) for shared in batch.column("shared")]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.int64())], ["k", "h", "drop", "n_aligned"])
+
+    return run
 
 
 def line_dedup(docs: DataFrame, least_words: int = WORDS, rare: int = RARE) -> DataFrame:
@@ -172,10 +176,10 @@ def line_dedup(docs: DataFrame, least_words: int = WORDS, rare: int = RARE) -> D
     lines = common.staged(lines.dropDuplicates(["k", "h"]), "lines")
     one = lines.mapInArrow(_listed(least_words), _RUNS).withColumn("node", F.struct("k", "h"))
     first = one.groupBy("run").agg(F.min(F.struct("node", F.col("starts").alias("places"))).alias("f"), F.max("node").alias("last"), F.count("*").alias("n"), F.sum(F.size("starts")).alias("stands")).where("f.node < last")
-    first = common.staged(first.select("run", F.col("f.node").alias("early"), "f.places", "n", (F.col("stands") <= rare).alias("rare")), "first-holders")
+    first = common.staged(first.select("run", F.col("f.node").alias("early"), "f.places", "n", "stands"), "first-holders")
     hits = common.spread_join(one.select("node", "run", "starts", "ends"), first, "run", "node", first).where("early.k < node.k")
-    hits = hits.select("node.k", "node.h", F.struct("early", "run", "starts", "ends", F.slice("places", F.lit(1), F.size("starts")).alias("places"), "rare").alias("x"))
-    drop = hits.groupBy("k", "h").agg(F.collect_list("x").alias("shared")).mapInArrow(_dropped, "k long, h long, drop array<int>, n_aligned long")
+    hits = hits.select("node.k", "node.h", F.struct("early", "run", "starts", "ends", F.slice("places", F.lit(1), F.size("starts")).alias("places"), "stands").alias("x"))
+    drop = hits.groupBy("k", "h").agg(F.collect_list("x").alias("shared")).mapInArrow(_dropped(rare), "k long, h long, drop array<int>, n_aligned long")
     out = base.join(drop, ["k", "h"], "left").withColumn("lines", split)
     # what lies between one dropped line and the next
     cuts = F.col("drop")

@@ -96,16 +96,18 @@ def test_patience():
     assert line_dedup.patience([], [1]) == []
 
 
-def shared(early, late, rare=True):
+def shared(early, late, stands=2):
     """What `aligned` gets of two sequences of single-line runs."""
-    return [{"early": 1, "run": x, "starts": [i for i, y in enumerate(late) if y == x], "ends": [i for i, y in enumerate(late) if y == x], "places": [i for i, y in enumerate(early) if y == x][: late.count(x)], "rare": rare} for x in set(early) & set(late)]
+    return [{"early": 1, "run": x, "starts": [i for i, y in enumerate(late) if y == x], "ends": [i for i, y in enumerate(late) if y == x], "places": [i for i, y in enumerate(early) if y == x][: late.count(x)], "stands": stands} for x in set(early) & set(late)]
 
 
 def test_aligned_runs_go_first_and_the_rest_by_the_index():
     assert line_dedup.aligned(shared([1, 2, 3, 4], [4, 1, 2, 3])) == ([0, 1, 2, 3], 3)  # the long block is aligned, not the line that crosses it
     assert line_dedup.aligned(shared([1, 2, 3], [7, 3, 2, 1])) == ([1, 2, 3], 1)
     assert line_dedup.aligned(shared([1, 2, 3], [1, 9, 2, 3, 1])) == ([0, 2, 3, 4], 3)
-    assert line_dedup.aligned(shared([1, 2], [1, 2], rare=False)) == ([0, 1], 0) and line_dedup.aligned([]) == ([], 0)
+    common, other = shared([1, 2], [1, 2], 900), shared([5], [9, 9, 5])
+    assert line_dedup.aligned(common) == ([0, 1], 2)  # no run that it shares is rarer
+    assert line_dedup.aligned(common + [{**x, "early": 2} for x in other]) == ([0, 1, 2], 1) and line_dedup.aligned([]) == ([], 0)
 
 
 def test_alignment_decides(spark, monkeypatch):
