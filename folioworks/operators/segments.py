@@ -110,7 +110,7 @@ class Index:
         now = self.spark.read.parquet(f"{self.path}/touched/segment={segment}/{folder}")
         n, total = now.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
         if old.updates:
-            was = self._lengths(old).join(now.select("id"), "id", "left_semi").agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            was = self._lengths(old, now.select("id")).agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
             n, total = n - was[0], total - was[1]
         self._commit(old, updates=[*old.updates, segment], folders=old.folders | {str(segment): folder}, n_docs=old.n_docs + n, total=old.total + total)
         return self.version()
@@ -126,9 +126,9 @@ class Index:
 
     # reading
 
-    def _lengths(self, v: Version) -> DataFrame:
-        """(id, length) of the live documents."""
-        return self._touched(v).groupBy("id").agg(F.max_by("length", "segment").alias("length")).where("length is not null")
+    def _lengths(self, v: Version, ids: DataFrame) -> DataFrame:
+        """(id, length) of those of the documents that are live."""
+        return self._touched(v).join(ids, "id", "left_semi").groupBy("id").agg(F.max_by("length", "segment").alias("length")).where("length is not null")
 
     def _touched(self, v: Version, after: int = -1) -> DataFrame:
         out = self.spark.createDataFrame([], "id long, length long, segment int")

@@ -45,8 +45,8 @@ class Lease:
 def acquire(spark: SparkSession, folder: str, holder: str, seconds: float = 600.0, clock: Callable[[], float] = time.time) -> Lease | None:
     """The lease, or None while somebody holds it."""
     number, last = log.last(spark, folder)
-    if number >= 0 and (last is None or last["until"] > clock()):
-        return None  # held, or its maker is about to write who holds it
+    if last is not None and last["until"] > clock():
+        return None
     fence = (last["fence"] if last else 0) + 1
     if not log.put(spark, folder, number + 1, {"holder": holder, "fence": fence, "until": clock() + seconds}):
         return None

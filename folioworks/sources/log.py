@@ -7,6 +7,7 @@ two writers of one version, or two holders of one lease, exactly one succeeds.
 from __future__ import annotations
 
 import json
+import time
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -42,13 +43,23 @@ def read(spark: SparkSession, folder: str, number: int) -> dict | None:
     return json.loads(raw) if raw else None
 
 
-def last(spark: SparkSession, folder: str) -> tuple[int, dict | None]:
-    """The latest entry's number and content; -1 without any."""
+def last(spark: SparkSession, folder: str, patience: float = 10.0) -> tuple[int, dict | None]:
+    """The latest entry's number, and the content that holds; -1 and None without any.
+
+    An entry that its writer is still making is waited for. If that takes longer than `patience` seconds its writer has
+    died, and what the entry before says holds; the number is taken all the same.
+    """
     path, store = _at(spark, folder)
     if not store.exists(path):
         return -1, None
-    numbers = [int(f.getPath().getName()[:-5]) for f in store.listStatus(path) if f.getPath().getName().endswith(".json")]
-    return (-1, None) if not numbers else (max(numbers), read(spark, folder, max(numbers)))
+    numbers = sorted((int(f.getPath().getName()[:-5]) for f in store.listStatus(path) if f.getPath().getName().endswith(".json")), reverse=True)
+    until = time.monotonic() + patience
+    for n in numbers:
+        while (content := read(spark, folder, n)) is None and time.monotonic() < until:
+            time.sleep(0.05)
+        if content is not None:
+            return numbers[0], content
+    return numbers[0] if numbers else -1, None
 
 
 def there(spark: SparkSession, path: str) -> bool:

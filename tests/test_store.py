@@ -1,6 +1,7 @@
 """The stored index, versions made once, and deep pages."""
 
 import math
+import os
 import re
 from collections import Counter
 
@@ -90,6 +91,9 @@ def test_an_entry_is_made_once(spark):
     folder = shared.place(spark, "log")
     assert log.last(spark, folder) == (-1, None)
     assert log.put(spark, folder, 0, {"a": 1}) and not log.put(spark, folder, 0, {"a": 2})
+    open(f"{folder.removeprefix('file://')}/{5:012d}.json", "w").close()  # of a writer that died
+    assert log.last(spark, folder, 0.2) == (5, {"a": 1})
+    os.remove(f"{folder.removeprefix('file://')}/{5:012d}.json")
     assert log.put(spark, folder, 1, {"b": "é"}) and log.last(spark, folder) == (1, {"b": "é"}) and log.read(spark, folder, 0) == {"a": 1}
 
 
