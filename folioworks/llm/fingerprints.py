@@ -34,7 +34,7 @@ EXACT = 4
 #: Sums of two counters each; a hash serves 32.
 PACKED = 63
 #: Documents of a slice, within which the next document is looked up, and of a task that sorts slices.
-SLICE, ROWS = 1000, 100_000
+SLICE, ROWS = 1000, 20_000
 _LOW32 = 2**32 - 1
 _FIELDS = 1 | 1 << 32
 
