@@ -108,8 +108,11 @@ def merged_groups(links: DataFrame, keep: int, discard: int) -> DataFrame:
 
 
 def renamed(entities: DataFrame, changes: DataFrame) -> DataFrame:
-    """New names and types by id (changes: id, new_name, new_type, NULL for no change), names normalised again."""
-    both = entities.join(changes, "id", "left")
+    """New names and types by id (changes: id, new_name, new_type, NULL for no change), names normalised again.
+
+    Changes with a type hold for the entity of that id and type alone: a large archive's kinds of entities share ids.
+    """
+    both = entities.join(changes, ["id", "type"] if "type" in changes.columns else "id", "left")
     name = F.coalesce("new_name", "name")
     return both.select("id", name.alias("name"), F.coalesce("new_type", "type").alias("type"), exprs.normalized_name(name).alias("normalized_name"))
 

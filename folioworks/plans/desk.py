@@ -280,7 +280,7 @@ def weak_purge_kept(a):
 def entity_rename(a):
     """M13"""
     places_ = a.entities.where("type = 'place'")
-    return entities.renamed(a.entities, places_.select("id", F.concat(F.lit("The  "), "name").alias("new_name"), F.lit("region").alias("new_type")))
+    return entities.renamed(a.entities, places_.select("id", "type", F.concat(F.lit("The  "), "name").alias("new_name"), F.lit("region").alias("new_type")))
 
 
 @_q("entity_rename_clashes", ENTITIES, "SELECT normalized_name, type, count(*) AS entities FROM ents WHERE type = 'object' GROUP BY 1, 2 HAVING count(*) > 1")
