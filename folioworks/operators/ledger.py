@@ -116,9 +116,9 @@ def purged(transactions: DataFrame, least: int, key: str) -> tuple[DataFrame, Da
     return marked.where("not weak").drop("weak", "score"), audit
 
 
-def swept(entities: DataFrame, *links: DataFrame) -> DataFrame:
-    """Entities that some link still names."""
-    used = links[0].select("entity_id")
+def swept(entities: DataFrame, *links: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Entities that some link still names; `also`: columns that a link and its entity must share beside the id."""
+    used = links[0].select("entity_id", *also)
     for x in links[1:]:
-        used = used.union(x.select("entity_id"))
-    return entities.join(used.select(F.col("entity_id").alias("id")), "id", "left_semi")
+        used = used.union(x.select("entity_id", *also))
+    return entities.join(used.withColumnRenamed("entity_id", "id"), ["id", *also], "left_semi")

@@ -330,8 +330,9 @@ def wipe_metadata_children(a):
 
 @_q("entity_detach_sweep", *_BASE, "SELECT id FROM ents WHERE type <> 'object' AND id IN (SELECT entity_id FROM dents WHERE role <> 'lot' UNION SELECT entity_id FROM gents)")
 def entity_detach_sweep(a):
-    """Detached entities that nothing else names go."""
-    return ledger.swept(a.entities, a.document_entities.where("role <> 'lot'"), a.group_entities).select("id")
+    """Detached entities that nothing else names go; a lot's link names an object, any other one doesn't, whatever ids they share."""
+    links = a.document_entities.withColumn("lot", F.col("role") == "lot").where("not lot")
+    return ledger.swept(a.entities.withColumn("lot", F.col("type") == "object"), links, a.group_entities.withColumn("lot", F.lit(False)), also=("lot",)).select("id")
 
 
 @_q("group_txn_crud", DOCS, TXNS, GROUP_TXNS, "SELECT group_id, round(sum(CASE WHEN lot_number = '2' THEN price * 2 ELSE price END), 2) AS total, count(*) AS n FROM gtxns WHERE lot_number <> '3' GROUP BY 1")
