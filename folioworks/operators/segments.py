@@ -17,14 +17,18 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.functions import exprs
 from folioworks.operators import postings, text
-from folioworks.sources import log
+from folioworks.sources import log, shared
 
 BUCKETS = postings.BUCKETS
+#: Words of a task that writes a segment; it makes a file in each bucket.
+WORDS = 1_000_000
 _POSTINGS = "term string, id long, field int, positions array<int>, length int"
 
 
@@ -32,6 +36,23 @@ def _bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.substring(word, 1, 2)), F.lit(buckets)).cast("int")
 
 
+def _placed(batches):
+    """Each row (id, length, field, words) as rows of its different words with their places in order."""
+    for batch in batches:
+        lists = batch.column("words")
+        sizes = np.diff(lists.offsets.to_numpy())
+        row, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        said = lists.flatten().dictionary_encode()
+        code = said.indices.to_numpy()
+        order = np.lexsort((code, row))  # stable: places of a word stay in order
+        row, code = row[order], code[order]
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place[order], pa.int32()))
+        of = pa.array(row[first])
+        columns = [said.dictionary.take(pa.array(code[first])), batch.column("id").take(of), batch.column("field").take(of), positions, batch.column("length").take(of)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "field", "positions", "length"])
+
+
 @dataclass
 class Version:
     number: int
@@ -56,8 +77,8 @@ class Conflict(RuntimeError):
 
 
 class Index:
-    """buckets: of an index that is made; one that is there keeps its own. splits: files of a bucket in a segment, over which
-    a frequent term's documents are dealt."""
+    """buckets: of an index that is made; one that is there keeps its own. splits: the least files of a bucket in a segment, over which
+    documents are dealt; a segment has more as it has more words."""
 
     def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...] = postings.FIELDS, buckets: int = BUCKETS, splits: int = 8):
         self.spark, self.path, self.fields, self.new_buckets, self.splits = spark, path, fields, buckets, splits
@@ -75,40 +96,43 @@ class Index:
 
     # writing
 
-    def _dealt(self, rows: DataFrame, buckets: int) -> DataFrame:
-        """Each task gets whole (bucket, part)s, so a segment has buckets x splits files."""
-        parts = {"bucket": _bucket(F.col("term"), buckets), "part": F.pmod(F.xxhash64("id"), F.lit(self.splits)).cast("int")}
-        return rows.withColumns(parts).repartition("bucket", "part")
+    def _dealt(self, rows: DataFrame, words: int) -> DataFrame:
+        """Rows by document, in tasks of about WORDS words, so a task's work grows neither with the segment nor with a bucket's share of it."""
+        return rows.repartition(max(self.splits, -(-words // WORDS)), "id")
+
+    def _said(self, docs: DataFrame) -> DataFrame:
+        """(id, said, length): each field's words, staged, so that texts are cut into words once."""
+        said = shared.staged(docs.select("id", F.array(*(exprs.words(F.col(c)) for c in self.fields)).alias("said")), "words")
+        return said.withColumn("length", sum((F.size(F.col("said")[n]) for n in range(len(self.fields))), F.lit(0)))
 
-    def _rows(self, docs: DataFrame, buckets: int) -> DataFrame:
-        each = F.array(*(F.struct(F.lit(n).alias("field"), exprs.words(F.col(c)).alias("words")) for n, c in enumerate(self.fields)))
-        said = docs.select("id", each.alias("said")).withColumn("length", F.aggregate("said", F.lit(0), lambda n, x: n + F.size(x["words"])))
-        fields = said.select("id", "length", F.explode("said").alias("f")).select("id", "length", "f.field", "f.words")
-        words = fields.select("id", "length", "field", F.posexplode("words").alias("at", "term"))  # no row keeps its text's words
-        # what is grouped lies together already: words are exchanged once
-        return self._dealt(words, buckets).groupBy("bucket", "part", "term", "id", "field").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.first("length").alias("length"))
+    def _rows(self, said: DataFrame, buckets: int, words: int) -> DataFrame:
+        fields = self._dealt(said, words).select("id", "length", F.posexplode("said").alias("field", "words"))
+        # a row's words are grouped within it: they are exchanged once, as texts and not word by word
+        shared.importable(self.spark)
+        return fields.mapInArrow(_placed, _POSTINGS).withColumn("bucket", _bucket(F.col("term"), buckets))
 
     def _write(self, segment: int, folder: str, rows: DataFrame) -> None:
-        rows.drop("part").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}/{folder}")
+        rows.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}/{folder}")
 
-    def _terms(self, segment: int, folder: str) -> None:
-        held = self.spark.read.schema(_POSTINGS + ", bucket int").parquet(f"{self.path}/postings/segment={segment}/{folder}")
-        each = held.groupBy("bucket", "term").agg(F.countDistinct("id").alias("n"))
-        each.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/terms/segment={segment}/{folder}")
+    def _terms(self, segment: int, folder: str, counts: DataFrame) -> None:
+        held = shared.staged(counts, "terms")  # a range exchange reads its rows twice
+        held.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/terms/segment={segment}/{folder}")
 
     def update(self, changed: DataFrame, gone: DataFrame | None = None) -> Version:
         """Documents added or changed (id and the fields), and removed (id), as one segment; the first makes the index."""
         old = self.version()
         segment, folder = old.next, uuid.uuid4().hex
-        self._write(segment, folder, self._rows(changed, old.buckets))
-        self._terms(segment, folder)
-        now = postings.lengths(changed, self.fields).select("id", F.col("length").cast("long").alias("length"))
+        said = self._said(changed)
+        now = said.select("id", F.col("length").cast("long").alias("length"))
         if gone is not None:
             removed = gone.select("id").distinct().join(now.select("id"), "id", "left_anti")
             now = now.unionByName(removed.withColumn("length", F.lit(None).cast("long")))
         now.write.parquet(f"{self.path}/touched/segment={segment}/{folder}")
         now = self.spark.read.parquet(f"{self.path}/touched/segment={segment}/{folder}")
         n, total = now.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        self._write(segment, folder, self._rows(said, old.buckets, total))
+        counts = said.select(F.explode(F.array_distinct(F.flatten("said"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        self._terms(segment, folder, counts.select(_bucket(F.col("term"), old.buckets).alias("bucket"), "term", "n"))
         if old.updates:
             was = self._lengths(old, now.select("id")).agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
             n, total = n - was[0], total - was[1]
@@ -119,8 +143,10 @@ class Index:
         """One bucket written anew without its dead rows; other buckets and readers of older versions keep what they have."""
         old = self.version()
         segment, folder = old.next, uuid.uuid4().hex
-        self._write(segment, folder, self._dealt(self._alive(old, self._postings(old, [bucket])).drop("bucket", "segment"), old.buckets))
-        self._terms(segment, folder)
+        rows = self._postings(old, [bucket])
+        self._write(segment, folder, self._dealt(self._alive(old, rows).drop("segment"), rows.count()))
+        held = self.spark.read.schema(_POSTINGS + ", bucket int").parquet(f"{self.path}/postings/segment={segment}/{folder}")
+        self._terms(segment, folder, held.groupBy("bucket", "term").agg(F.countDistinct("id").alias("n")))
         self._commit(old, folders=old.folders | {str(segment): folder}, merged=old.merged | {str(bucket): segment})
         return self.version()
 

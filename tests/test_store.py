@@ -117,3 +117,16 @@ def test_picked_ranges():
     assert pages.picked(sizes, 0, 10) == ([0], 0) and pages.picked(sizes, 9, 2) == ([0, 2], 9)
     assert pages.picked(sizes, 10, 5) == ([2], 0) and pages.picked(sizes, 14, 30) == ([2, 3], 4) and pages.picked(sizes, 35, 5)[0] == []
     assert segments.BUCKETS > 1
+
+
+def test_a_large_segment_is_dealt_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(segments, "WORDS", 500)
+    texts = {i: f"red fox {i % 7} " * 20 + "fox" for i in range(100)}
+    index = Index(spark, shared.place(spark, "index"), buckets=2, splits=1)
+    index.update(table(spark, texts))
+    index.merge(index.buckets(["fox"])[0])
+    for typed in ("fo", "red fox"):
+        got, want = found(index, typed), expected(texts, typed.split())
+        assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-6 for i in want)
+    rows = spark.read.parquet(f"{index.path}/postings/segment=0").groupBy(F.input_file_name()).agg(F.sum(F.size("positions"))).collect()
+    assert len(rows) > 10 and max(r[1] for r in rows) < 1500  # 6,300 words, most of them in few terms
