@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import exprs
 from folioworks.operators.records import between
+from folioworks.sources import shared
 from folioworks.sources.archive import Archive
 
 
 def memberships(a: Archive, types: tuple[str, ...] | None = None) -> DataFrame:
     """(kind, record_id, entity_id, role) of live standalone documents and live groups, of the given entity types."""
-    docs = a.document_entities.join(a.standalone.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    links = shared.staged(a.document_entities, "links")  # a stage of distinct links, joins and types at once holds memory for each of its steps
+    docs = links.join(a.standalone.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     groups = a.group_entities.join(a.live_groups.select(F.col("id").alias("group_id")), "group_id", "left_semi")
     both = docs.select(F.lit("d").alias("kind"), F.col("document_id").alias("record_id"), "entity_id", "role")
     both = both.unionByName(groups.select(F.lit("g").alias("kind"), F.col("group_id").alias("record_id"), "entity_id", "role"))
@@ -30,14 +32,20 @@ def nodes(members: DataFrame) -> DataFrame:
 BLOCK = 1000
 
 
-def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(kind, record_id, entity_id, n, i, j, side): each record's entities, as often as they have roles (n), in the
-    pairs of blocks that they are compared in.
+#: Pairs, and rows that are to be paired, of a task: tasks follow what there is, and none grows with it.
+PAIRS = 500_000
 
-    A record of up to `block` entities is one block. Of one with more, an entity's block meets each other block once,
-    so no key (kind, record_id, i, j) makes more than about block x block pairs, and no record is gathered.
-    """
-    each = members.groupBy("kind", "record_id", "entity_id").agg(F.count("*").alias("n"))
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PAIRS))
+
+
+def _counted(members: DataFrame) -> DataFrame:
+    """(kind, record_id, entity_id, n): each record's entities, as often as they have roles."""
+    return members.groupBy("kind", "record_id", "entity_id").agg(F.count("*").alias("n"))
+
+
+def _blocked(each: DataFrame, block: int) -> DataFrame:
     hubs = each.groupBy("kind", "record_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
     rows = each.join(hubs, ["kind", "record_id"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
@@ -47,12 +55,41 @@ def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return left.unionByName(met.where("other <= own").select("kind", "record_id", "entity_id", "n", F.col("other").alias("i"), F.col("own").alias("j"), F.lit("right").alias("side")))
 
 
+def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(kind, record_id, entity_id, n, i, j, side): each record's entities, as often as they have roles (n), in the
+    pairs of blocks that they are compared in.
+
+    A record of up to `block` entities is one block. Of one with more, an entity's block meets each other block once,
+    so no key (kind, record_id, i, j) makes more than about block x block pairs, and no record is gathered.
+    """
+    return _blocked(_counted(members), block)
+
+
+def _paired(members: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """`paired`, and the tasks that its rows are to be dealt over by pair. Members are counted and staged when this is called."""
+    each = shared.staged(_counted(members), "members")
+    sizes = each.groupBy("kind", "record_id").agg(F.count("*").alias("m"))
+    pairs, rows, most = sizes.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1)), F.lit(0)), F.coalesce(F.sum(F.col("m") * F.ceil(F.col("m") / block)), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    if most <= block:  # no hub: each record is one block
+        sides, key = (each, each), ["kind", "record_id"]
+    else:
+        all_, key = _blocked(each, block), ["kind", "record_id", "i", "j"]
+        sides = tuple(all_.where(F.col("side") == side) for side in ("left", "right"))
+    left, right = (x.select(*key, F.col("entity_id").alias(name), F.col("n").alias(f"n_{name}")).repartition(_tasks(each, rows), *key) for x, name in zip(sides, "ab"))
+    both = left.join(right, key).where("a < b" if most <= block else "i < j or a < b")
+    out = both.select("kind", "record_id", F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), (F.col("n_a") * F.col("n_b")).alias("n"))
+    return out, _tasks(each, pairs // 2)
+
+
 def paired(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """(kind, record_id, source, target, n): the pairs of each record's entities, n their combinations of roles."""
-    rows = blocked(members, block)
-    left, right = (rows.where(F.col("side") == side).select("kind", "record_id", "i", "j", F.col("entity_id").alias(name), F.col("n").alias(f"n_{name}")) for side, name in (("left", "a"), ("right", "b")))
-    both = left.join(right, ["kind", "record_id", "i", "j"]).where("i < j or a < b")
-    return both.select("kind", "record_id", F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), (F.col("n_a") * F.col("n_b")).alias("n"))
+    return _paired(members, block)[0]
+
+
+def _by_pair(members: DataFrame) -> DataFrame:
+    """`paired`, dealt by pair: what is grouped by pair isn't exchanged again."""
+    rows, tasks = _paired(members, BLOCK)
+    return rows.repartition(tasks, "source", "target")
 
 
 def edges(members: DataFrame, min_weight: int = 1) -> DataFrame:
@@ -60,7 +97,7 @@ def edges(members: DataFrame, min_weight: int = 1) -> DataFrame:
 
     weight counts combinations of roles, shared_records distinct records.
     """
-    each = paired(members).groupBy("kind", "source", "target").agg(F.sum("n").alias("weight"), F.count("*").alias("shared_records")).where(F.col("weight") >= min_weight)
+    each = _by_pair(members).groupBy("kind", "source", "target").agg(F.sum("n").alias("weight"), F.count("*").alias("shared_records")).where(F.col("weight") >= min_weight)
     return each.groupBy("source", "target").agg(F.sum("weight").alias("weight"), F.sum("shared_records").alias("shared_records"))
 
 
@@ -101,14 +138,14 @@ def evidence(members: DataFrame, pairs: DataFrame, most: int = 8) -> DataFrame:
     and not an entity's edges times its records; those that no edge has go, and the window's
     limit is applied before its exchange.
     """
-    shared = paired(members).join(pairs.select("source", "target"), ["source", "target"], "left_semi")
+    both = _by_pair(members).join(pairs.select("source", "target"), ["source", "target"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("source", "target").orderBy("kind", "record_id"))
-    return shared.withColumn("rank", rank).where(F.col("rank") <= most).select("source", "target", "kind", "record_id", "rank")
+    return both.withColumn("rank", rank).where(F.col("rank") <= most).select("source", "target", "kind", "record_id", "rank")
 
 
 def pair_records(members: DataFrame, least: int = 2) -> DataFrame:
     """Of each pair the records they share, with repeats by role, as two ordered lists; pairs with at least so many."""
-    both = paired(members)
+    both = _by_pair(members)
 
     def listed(kind: str):
         return F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.array_repeat("record_id", F.col("n").cast("int"))))))
