@@ -2,7 +2,10 @@
 
 import datetime as dt
 import os
+import random
+import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +107,70 @@ def test_interval_join_drops_what_comes_too_late(spark):
 def test_states_without_events_make_nothing(watermark):
     run = progress.Run()
     assert list(run.advance(watermark)) == [] and run.timer() is None
+
+
+class State:
+    """What a step sees of its state."""
+
+    exists, hasTimedOut, get = False, False, None
+
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, new):
+        self.exists, self.get = True, new
+
+    def remove(self):
+        self.exists = False
+
+    def setTimeoutTimestamp(self, at):
+        self.due = at
+
+
+def test_a_worker_of_many_events_is_sorted_once():
+    n, part = 300_000, 100
+    order = [k * 7919 % n for k in range(n)]  # any order; an event a second
+    kinds = ("scan", "done_file", "error")
+    state, began = State(0), time.time()
+    frames = (pd.DataFrame({"us": [k * 1_000_000 for k in mine], "event_id": mine, "type": [kinds[k % 3] for k in mine]}) for mine in (order[i : i + part] for i in range(0, n, part)))
+    assert sum(map(len, progress._step((5,), frames, state))) == 0
+    state.watermark, state.hasTimedOut = 1000 * (n - 10), True
+    rows = pd.concat(progress._step((5,), iter(()), state))
+    assert time.time() - began < 60
+    assert len(rows) == n - 10 + 1 and list(rows["seq"]) == list(range(n - 9)) and set(rows["worker"]) == {5}
+    assert list(rows["event_id"][1:]) == list(range(n - 10)) and tuple(rows.iloc[-1][["found", "processed", "errors"]]) == (99_997, 99_997, 99_996)
+    state.watermark = 1000 * (n + 100_000)
+    rows = pd.concat(progress._step((5,), iter(()), state))
+    assert [*rows["type"]][-5:] == ["error", "heartbeat", "heartbeat", "heartbeat", "done"] and rows["errors"].iloc[-1] == 100_000 and not state.exists
+
+
+def test_steps_in_parts_equal_one_by_one(monkeypatch):
+    """Runs by a loop over rows, against frames of few rows and watermarks anywhere."""
+    hour = 3_600_000_000
+    for seed in range(60):
+        monkeypatch.setattr(progress, "MOST", random.Random(seed).choice((8, 80, 500_000)))
+        r, run, got, all_, mark = random.Random(seed), progress.Run(), [], set(), 0
+        for _ in range(4):
+            rows = [(mark + r.choice((0, 1, hour, hour + 1, 4 * hour, 4 * hour + 1)) * r.randint(0, 3), r.randint(0, 9), r.choice(("scan", "error", "done_file", "other"))) for _ in range(r.randint(0, 9))]
+            all_ |= set(rows)
+            run.take([tuple(np.array(c, object if k == 2 else np.int64) for k, c in enumerate(zip(*rows[i : i + 3]))) for i in range(0, len(rows), 3)])
+            mark += r.choice((0, hour // 2, 5 * hour, 40 * hour))
+            got += [(*x[:3], x[3], None if x[4] is pd.NA else x[4], *x[5:]) for f in run.advance(mark) for x in f.itertuples(index=False)]
+        want, events = [], sorted(x for x in all_ if x[0] < mark)
+        begin, counts = None, None
+        for n, (at, event, kind) in enumerate(events):
+            if begin is None:
+                begin, seq, counts = at, 0, [0, 0, 0]
+                want.append((begin, seq, "start", at, None, 0, 0, 0))
+            counts = [counts[0] + (kind == "scan"), counts[1] + (kind == "done_file"), counts[2] + (kind == "error")]
+            after = events[n + 1][0] if n + 1 < len(events) else mark
+            beats = [at + k * hour for k in (1, 2, 3) if at + k * hour < after]
+            made = [(kind, at, event), *(("heartbeat", b, None) for b in beats), *([("done", at + 4 * hour, None)] if at + 4 * hour < after else [])]
+            for k, t, e in made:
+                seq += 1
+                want.append((begin, seq, k, t, e, *counts))
+            begin = None if made[-1][0] == "done" else begin
+        assert [tuple(x) for x in got] == want, seed
