@@ -80,7 +80,8 @@ def keyword(c: Corpus, typed: str, filters: Filters = Filters()) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("record_type", "id").agg(F.min_by(F.struct("title", "score", "snippet", "source"), "source").alias("x")).select("record_type", "id", "x.*")
+    # a column of its own for each: where snippets aren't asked for, no text is read for them
+    return out.groupBy("record_type", "id").agg(*(F.min_by(c, "source").alias(c) for c in ("title", "score", "snippet")), F.min("source").alias("source"))
 
 
 def browsed(c: Corpus, filters: Filters) -> DataFrame:

@@ -1,6 +1,8 @@
 """A full-text index that is stored, searched where it lies, and kept up by segments.
 
     <path>/postings/segment=N/bucket=B   term, id, field, positions, length; sorted by term
+                             bucket=-1   a row for each document: id, length
+                             bucket=-2   term, and how many of a batch's documents hold it, as length
     <path>/terms/segment=N               bucket, term, n: documents of the segment that hold it; sorted by term
     <path>/touched/segment=N             ids whose older rows are dead, and their length; null: gone
     <path>/versions                      what is in force: segments, buckets' merged segments, totals
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +30,10 @@ from folioworks.operators import postings, text
 from folioworks.sources import log, shared
 
 BUCKETS = postings.BUCKETS
-#: Words of a task that writes a segment; it makes a file in each bucket.
-WORDS = 1_000_000
+#: Words of a task that writes a segment, and the fewest letters that a word counts for; a task makes a file in each bucket.
+WORDS, LETTERS = 1_000_000, 4
+#: In place of a bucket: documents' lengths, and terms' counts by batch.
+LENGTHS, COUNTS = -1, -2
 _POSTINGS = "term string, id long, field int, positions array<int>, length int"
 
 
@@ -36,21 +41,40 @@ def _bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.substring(word, 1, 2)), F.lit(buckets)).cast("int")
 
 
-def _placed(batches):
-    """Each row (id, length, field, words) as rows of its different words with their places in order."""
-    for batch in batches:
-        lists = batch.column("words")
-        sizes = np.diff(lists.offsets.to_numpy())
-        row, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        said = lists.flatten().dictionary_encode()
-        code = said.indices.to_numpy()
-        order = np.lexsort((code, row))  # stable: places of a word stay in order
-        row, code = row[order], code[order]
-        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
-        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place[order], pa.int32()))
-        of = pa.array(row[first])
-        columns = [said.dictionary.take(pa.array(code[first])), batch.column("id").take(of), batch.column("field").take(of), positions, batch.column("length").take(of)]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "field", "positions", "length"])
+def _placed(fields: int):
+    """Rows (id, said), said being the words of each field, as rows of their different words with their places, in order of the
+    words; then the rows of LENGTHS and COUNTS, under these as `field`."""
+    names = ["term", "id", "field", "positions", "length"]
+
+    def rows(term, id_, field, ends, places, length):
+        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+        return pa.RecordBatch.from_arrays([term, id_, pa.array(field, pa.int32()), positions, pa.array(length, pa.int32())], names=names)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("said").flatten()  # one for each document's field
+            sizes = np.diff(lists.offsets.to_numpy())
+            row, place = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            length = sizes.reshape(-1, fields).sum(axis=1)
+            said = lists.flatten().dictionary_encode()
+            if len(said):
+                order = pc.sort_indices(said.dictionary).to_numpy()
+                terms, rank = said.dictionary.take(pa.array(order)), np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                key = rank[said.indices.to_numpy()] * len(sizes) + row
+                order = np.argsort(key, kind="stable")  # places of a word stay in order
+                key = key[order]
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                code, of = np.divmod(key[first], len(sizes))
+                doc = of // fields
+                yield rows(terms.take(pa.array(code)), batch.column("id").take(pa.array(doc)), of % fields, np.append(first, len(key)), place[order], length[doc])
+                new = (np.diff(code, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)  # a term counts once in a document's fields
+                n = len(terms)
+                yield rows(terms, pa.nulls(n, pa.int64()), np.full(n, COUNTS), np.zeros(n + 1), [], np.bincount(code[new], minlength=n))
+            n = batch.num_rows
+            yield rows(pa.nulls(n, pa.string()), batch.column("id"), np.full(n, LENGTHS), np.zeros(n + 1), [], length)
+
+    return run
 
 
 @dataclass
@@ -100,20 +124,22 @@ class Index:
         """Rows by document, in tasks of about WORDS words, so a task's work grows neither with the segment nor with a bucket's share of it."""
         return rows.repartition(max(self.splits, -(-words // WORDS)), "id")
 
-    def _said(self, docs: DataFrame) -> DataFrame:
-        """(id, said, length): each field's words, staged, so that texts are cut into words once."""
-        said = shared.staged(docs.select("id", F.array(*(exprs.words(F.col(c)) for c in self.fields)).alias("said")), "words")
-        return said.withColumn("length", sum((F.size(F.col("said")[n]) for n in range(len(self.fields))), F.lit(0)))
-
-    def _rows(self, said: DataFrame, buckets: int, words: int) -> DataFrame:
-        fields = self._dealt(said, words).select("id", "length", F.posexplode("said").alias("field", "words"))
-        # a row's words are grouped within it: they are exchanged once, as texts and not word by word
+    def _rows(self, docs: DataFrame, buckets: int) -> DataFrame:
+        """The rows of a segment: texts are cut into words, and these grouped within their document, in one pass over them."""
+        texts = [F.coalesce(F.col(c), F.lit("")) for c in self.fields]
+        letters = docs.agg(F.sum(sum((F.length(t) for t in texts), F.lit(0)))).first()[0] or 0
+        said = self._dealt(docs.select("id", *self.fields), letters // LETTERS).select("id", F.array(*(exprs.words(F.col(c)) for c in self.fields)).alias("said"))
         shared.importable(self.spark)
-        return fields.mapInArrow(_placed, _POSTINGS).withColumn("bucket", _bucket(F.col("term"), buckets))
+        place = F.when(F.col("field") < 0, F.col("field")).otherwise(_bucket(F.col("term"), buckets))
+        return said.mapInArrow(_placed(len(self.fields)), _POSTINGS).withColumn("bucket", place)
 
     def _write(self, segment: int, folder: str, rows: DataFrame) -> None:
         rows.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}/{folder}")
 
+    def _part(self, segment: int, folder: str, bucket: int) -> DataFrame:
+        path = f"{self.path}/postings/segment={segment}/{folder}/bucket={bucket}"
+        return self.spark.read.schema(_POSTINGS).parquet(path) if log.there(self.spark, path) else self.spark.createDataFrame([], _POSTINGS)
+
     def _terms(self, segment: int, folder: str, counts: DataFrame) -> None:
         held = shared.staged(counts, "terms")  # a range exchange reads its rows twice
         held.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.path}/terms/segment={segment}/{folder}")
@@ -122,16 +148,15 @@ class Index:
         """Documents added or changed (id and the fields), and removed (id), as one segment; the first makes the index."""
         old = self.version()
         segment, folder = old.next, uuid.uuid4().hex
-        said = self._said(changed)
-        now = said.select("id", F.col("length").cast("long").alias("length"))
+        self._write(segment, folder, self._rows(changed, old.buckets))
+        now = self._part(segment, folder, LENGTHS).select("id", F.col("length").cast("long").alias("length"))
         if gone is not None:
             removed = gone.select("id").distinct().join(now.select("id"), "id", "left_anti")
             now = now.unionByName(removed.withColumn("length", F.lit(None).cast("long")))
         now.write.parquet(f"{self.path}/touched/segment={segment}/{folder}")
-        now = self.spark.read.parquet(f"{self.path}/touched/segment={segment}/{folder}")
+        now = self.spark.read.schema("id long, length long").parquet(f"{self.path}/touched/segment={segment}/{folder}")
         n, total = now.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        self._write(segment, folder, self._rows(said, old.buckets, total))
-        counts = said.select(F.explode(F.array_distinct(F.flatten("said"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        counts = self._part(segment, folder, COUNTS).groupBy("term").agg(F.sum("length").alias("n"))
         self._terms(segment, folder, counts.select(_bucket(F.col("term"), old.buckets).alias("bucket"), "term", "n"))
         if old.updates:
             was = self._lengths(old, now.select("id")).agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
