@@ -129,11 +129,14 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int, block: int = QUESTIO
 
 
 def sparse(vectors: DataFrame, questions: DataFrame, k: int, width: int = 512, block: int = QUESTIONS) -> DataFrame:
-    """V1: (query_id, id, score, rank) by dot product of (id, slot, weight) vectors; only vectors that share a slot with the question."""
+    """V1: (query_id, id, score, rank) by dot product of vectors (id, slot, weight) or (id, slots, weights); only vectors that share a
+    slot with the question."""
 
     shared.importable(vectors.sparkSession)
 
     def rows(df: DataFrame, name: str) -> DataFrame:
+        if "slots" in df.columns:
+            return df.select(F.col("id").alias(name), "slots", "weights")
         both = df.groupBy(F.col("id").alias(name)).agg(F.collect_list(F.struct("slot", "weight")).alias("x"))
         return both.select(name, F.col("x.slot").cast("array<int>").alias("slots"), F.col("x.weight").alias("weights"))
 

@@ -39,13 +39,26 @@ def _groups(docs):
     return own.select(g.alias("id"), F.concat(F.lit("Group "), g).alias("title"), "description", F.lit(None).cast("string").alias("transcription"), F.when(g % 3 == 0, "licensed set").alias("annotation"), (g % 7 == 0).cast("int").alias("is_trashed"), "source_archive", "date_depicted", "lang")
 
 
-def _corpus(a):
+class _WhenRead(Index):
+    """An index of records that is made when it is first read."""
+
+    records, making = None, False
+
+    def version(self):
+        if not self.making:
+            self.making = True
+            self.update(self.records)
+        return super().version()
+
+
+def _corpus(a, staged=True):
+    """staged: groups are read several times."""
     docs = _documents(a)
-    groups = shared.staged(_groups(docs), "groups")
+    groups = shared.staged(_groups(docs), "groups") if staged else _groups(docs)
     place = shared.place(a.spark, "indexes")
-    indexes = [Index(a.spark, f"{place}/{name}", buckets=16, splits=1) for name in ("documents", "groups")]
+    indexes = [_WhenRead(a.spark, f"{place}/{name}", buckets=16, splits=1) for name in ("documents", "groups")]
     for index, records in zip(indexes, (docs, groups)):
-        index.update(records)
+        index.records = records
     source = F.col("source_archive").alias("entity_id")
     names = docs.select(source).distinct().select("entity_id", F.when(F.col("entity_id").isin("src1", "src2"), F.concat("entity_id", F.lit(" MIT archive"))).otherwise(F.col("entity_id")).alias("name"))
     links = [x.select(F.col("id").alias(key), source) for x, key in ((docs, "document_id"), (groups, "group_id"))]
@@ -152,8 +165,8 @@ _SEM = _TOK, _EMB, "qv AS (SELECT slot, weight FROM em WHERE id = 7)"
 @_q("search_semantic_filtered", _WORLD, *_SEM, "SELECT id, title, round(coalesce(dot, 0), 6) AS score FROM wd JOIN (SELECT id, sum(em.weight * qv.weight) AS dot FROM em LEFT JOIN qv USING (slot) GROUP BY 1) USING (id) WHERE NOT trashed AND lang = 'en' ORDER BY 3 DESC, id LIMIT 50")
 def search_semantic_filtered(a):
     """V1: live documents with a tag, by likeness to the text of one."""
-    c = _corpus(a)
-    vectors = text.embedding(c.docs, "description")
+    c = _corpus(a, staged=False)  # groups are read only where no vector is found
+    vectors = text.spread(shared.staged(text.vectors(c.docs, "description"), "vectors"))
     asked = vectors.where("id = 7").select("slot", "weight")
     return search.page(search.semantic(c, vectors, asked, "text of 7", Filters(tags=("en",)))).select("id", "title", "score")
 
@@ -162,7 +175,7 @@ def search_semantic_filtered(a):
 def search_semantic_or_keyword(a):
     """V2: keyword search where the question, or every document that passes the filters, has no vector; its archive filter is dropped."""
     c = _corpus(a)
-    vectors = text.embedding(c.docs.where("lang <> 'de'"), "description")
+    vectors = text.spread(shared.staged(text.vectors(c.docs.where("lang <> 'de'"), "description"), "vectors"))
     asked, filters = vectors.where("id = 7").select("slot", "weight"), Filters(tags=("de",), archive="src2")
     one = search.semantic(c, vectors, asked, "licen", filters).withColumn("why", F.lit("no vectors"))
     two = search.semantic(c, text.embedding(c.docs, "description"), asked.limit(0), "licen", filters).withColumn("why", F.lit("no question"))

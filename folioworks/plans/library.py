@@ -10,6 +10,7 @@ from folioworks.functions import exprs
 from folioworks.operators import groups, ledger, nearest, places, text
 from folioworks.plans.ctes import AUDIT, DOCS, PAGES, sql
 from folioworks.plans.registry import query
+from folioworks.sources import shared
 from folioworks.sources.archive import Archive
 
 
@@ -93,7 +94,7 @@ def hashed_embedding(a):
  (SELECT q.id AS query_id, e.id, round(sum(e.weight * q.weight), 6) AS score FROM em e JOIN em q ON q.slot = e.slot WHERE q.id % 100 = 0 GROUP BY 1, 2)) WHERE rank <= 5""")
 def semantic_topk(a):
     """V1: every hundredth document as a query against all."""
-    e = text.embedding(_docs(a), "description")
+    e = shared.staged(text.vectors(_docs(a), "description"), "vectors")
     return text.similar(e, e.where("id % 100 = 0"), 5).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
 
 

@@ -63,3 +63,19 @@ def test_questions_without_a_hit_get_similar_documents(spark):
         expected |= {(q, d, how, n + 1) for n, (_, d) in enumerate(sorted(found)[:2])}
     assert {(r["question_id"], r["id"], r["how"], r["rank"]) for r in got} == expected
     assert {q for q, _, how, _ in expected if how == "similar"} == {4, 6}
+
+
+def test_words_are_exchanged_within_their_text(spark):
+    """Vectors and phrases pair rows by text: no row for each word goes through an exchange or a join of words."""
+    docs, asked = frames(spark)
+    plan = text.vectors(docs, "description")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "token" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    plan = text.phrases_by_question(text.indexed(docs, "description"), "w_description", asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "xxhash64" not in plan
+
+
+def test_vectors_of_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (1, "fox 中文"), (1, None), (2, ""), (3, None), (4, "red fox fox 中文")], "id long, description string")
+    got = {r["id"]: dict(zip(r["slots"], r["weights"])) for r in text.vectors(docs, "description").collect()}
+    assert got.keys() == {1, 4} and got[1].keys() == got[4].keys() and all(abs(got[1][k] - got[4][k]) < 1e-12 for k in got[1])
+    assert abs(sum(w * w for w in got[1].values()) - 1) < 1e-12
