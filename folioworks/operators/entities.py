@@ -9,6 +9,9 @@ from folioworks.functions import exprs
 from folioworks.sources import shared
 from folioworks.sources.archive import Archive
 
+#: Links of a task that drops repeats.
+LINKS = 1_000_000
+
 
 def record_links(a: Archive) -> DataFrame:
     """Distinct (entity_id, record_id, kind) over standalone documents, child pages' groups and groups."""
@@ -82,9 +85,14 @@ def resolved(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataF
 
 
 def merged(links: DataFrame, keep: int, discard: int) -> DataFrame:
-    """One entity's links move to another; links that it has already are dropped, NULL roles never collide."""
-    moved = links.withColumn("entity_id", F.when(F.col("entity_id") == discard, keep).otherwise(F.col("entity_id")))
-    return moved.where("role is not null").dropDuplicates(["document_id", "entity_id", "role"]).unionByName(moved.where("role is null"))
+    """One entity's links move to another; links that it has already are dropped, NULL roles never collide.
+
+    Links are staged and dealt over tasks of about LINKS rows, so a task's memory doesn't grow with the table.
+    """
+    moved = shared.staged(links.withColumn("entity_id", F.when(F.col("entity_id") == discard, keep).otherwise(F.col("entity_id"))), "moved")
+    key = ["document_id", "entity_id", "role"]
+    dealt = moved.where("role is not null").repartition(max(1, -(-moved.count() // LINKS)), *key)
+    return dealt.dropDuplicates(key).unionByName(moved.where("role is null"))
 
 
 def new_aliases(offered: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
