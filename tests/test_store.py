@@ -130,3 +130,12 @@ def test_a_large_segment_is_dealt_over_more_tasks(spark, monkeypatch):
         assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-6 for i in want)
     rows = spark.read.parquet(f"{index.path}/postings/segment=0").groupBy(F.input_file_name()).agg(F.sum(F.size("positions"))).collect()
     assert len(rows) > 10 and max(r[1] for r in rows) < 1500  # 6,300 words, most of them in few terms
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """A segment is written in one pass: no words are staged to be read again."""
+    names, staged = [], shared.staged
+    monkeypatch.setattr(shared, "staged", lambda df, name: (names.append(name), staged(df, name))[1])
+    index = Index(spark, shared.place(spark, "index"), buckets=2, splits=1)
+    index.update(table(spark, TEXTS))
+    assert names == ["terms"] and index.version().total == sum(len(re.findall(r"\w+", f"Title {i} {t or ''} note")) for i, t in TEXTS.items())
