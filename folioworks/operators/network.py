@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,10 @@ BLOCK = 1000
 PAIRS = 500_000
 
 
+#: Pairs that are exchanged at once by `shared_first`: more are dealt into slices, each of which is done before the next.
+SLICE = 100_000_000
+
+
 def _tasks(df: DataFrame, rows: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PAIRS))
 
@@ -101,6 +107,42 @@ def edges(members: DataFrame, min_weight: int = 1) -> DataFrame:
     return each.groupBy("source", "target").agg(F.sum("weight").alias("weight"), F.sum("shared_records").alias("shared_records"))
 
 
+def counted(members: DataFrame, outer: bool = False) -> DataFrame:
+    """(kind, record_id, entity_id, n), staged: each record's entities, as often as they have roles."""
+    return shared.staged(_counted(members), "members", outer)
+
+
+def shared_first(each: DataFrame, least: int, most: int, block: int = BLOCK) -> Iterator[DataFrame]:
+    """(source, target, evidence, kinds) of pairs with at least so many combinations of roles in their records:
+    ids and kinds of the first records, documents before groups, at most so many. A table for each slice of the pairs of `counted` members.
+
+    A record's entities (of a hub, those of two blocks) are one row, which is unfolded into the pairs of a slice; these are
+    exchanged once, with their counts. So disk follows SLICE and the number of members, not the number of pairs.
+    """
+    with shared.cleaned(each.sparkSession):
+        sizes = each.groupBy("kind", "record_id").agg(F.count("*").alias("m"))
+        pairs, largest = sizes.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0)).cast("long"), F.coalesce(F.max("m"), F.lit(0))).first()
+    tasks, one = _tasks(each, pairs), F.struct("entity_id", "n")
+    if largest <= block:  # no hub: each record is one block
+        key, ys, meet = ["kind", "record_id"], "xs", "x.entity_id < y.entity_id"
+        sets = each.repartition(tasks, *key).groupBy(*key).agg(F.collect_list(one).alias("xs"))
+    else:
+        key, ys, meet = ["kind", "record_id", "i", "j"], "ys", "i < j or x.entity_id < y.entity_id"
+        sides = [F.collect_list(F.when(F.col("side") == side, one)).alias(name) for side, name in (("left", "xs"), ("right", "ys"))]
+        sets = _blocked(each, block).repartition(tasks, *key).groupBy(*key).agg(*sides)
+    sets = shared.staged(sets, "sets")
+    slices = max(1, -(-pairs // SLICE))
+    met = sets.withColumn("x", F.explode("xs")).withColumn("y", F.explode(ys)).where(meet)
+    met = met.select("kind", "record_id", F.least("x.entity_id", "y.entity_id").alias("source"), F.greatest("x.entity_id", "y.entity_id").alias("target"), (F.col("x.n") * F.col("y.n")).alias("n"))
+    ordered = Window.partitionBy("source", "target").orderBy("kind", "record_id")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for number in range(slices):
+        mine = met.where(F.pmod(F.xxhash64("source", "target"), F.lit(slices)) == number).repartition(_tasks(each, pairs // slices), "source", "target")
+        ranked = mine.withColumns({"all": F.sum("n").over(whole), "rank": F.row_number().over(ordered)}).where((F.col("all") >= least) & (F.col("rank") <= most))
+        first = ranked.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("kind", "record_id"))).alias("x"))
+        yield first.select("source", "target", F.col("x.record_id").alias("evidence"), F.col("x.kind").alias("kinds"))
+
+
 def capped(nodes_: DataFrame, edges_: DataFrame, most: int = 400) -> tuple[DataFrame, DataFrame]:
     """The largest nodes, and the edges with both ends among them."""
     kept = nodes_.orderBy(F.desc("doc_count"), "entity_id").limit(most)
